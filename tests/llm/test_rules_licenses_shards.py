@@ -58,7 +58,8 @@ def test_shards_hold_every_source_in_its_share(spark):
     for s in range(16):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(count[s]))
     hot = Counter(r.shard for r in got if r.source == "hot")
-    assert max(hot.values()) - min(hot.values()) <= 2
+    # a cut can move by what the 52 other sources round away: a tenth of the share here
+    assert all(abs(n - 1001 / 16) <= 6.3 for n in hot.values())
     by = {r.doc_id: r for r in got}
     for r in rows:
         raw = (r.text or "").encode()
