@@ -1,11 +1,72 @@
-"""Corpus pipeline: each stage is one operator, works on all that its predecessor kept, and its decisions take effect."""
+"""Corpus pipeline: each stage is one operator, works on all that its predecessor kept, and its decisions take effect.
 
-STAGES = []
+All stages but the last return the columns of documents. Nulls: rows without an id or a text go through every stage
+by the rules of its operator; a row without an id is kept by the filters.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lotlens.llm.decontam import find_contamination
+from lotlens.llm.near_dedup import near_duplicates
+from lotlens.llm.packing import pack
+from lotlens.llm.pii import redact_pii
+from lotlens.llm.quality_classifier import classify_quality
+from lotlens.llm.queries import held_out, tokenizer_path
+from lotlens.llm.spark_util import table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be good."""
+    labels = table(spark, sf_dir, "labels")
+    scored = classify_quality(docs, labels.filter(~held_out(F.col("doc_id"))))
+    return _without(docs, scored.filter("predicted = 0"))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id. Rows with equal ids are one."""
+    return _without(docs, near_duplicates(docs, percent=80).filter("not kept")).dropDuplicates(["doc_id"])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return _without(docs, find_contamination(docs, table(spark, sf_dir, "benchmark")))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data replaced by its kind."""
+    return redact_pii(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents with their sequences."""
+    return pack(docs, tokenizer_path())
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Spark broadcasts the dropped ids only if they are under its size threshold."""
+    ids = dropped.select("doc_id").distinct()
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("near-duplicates", dedup),
+    ("benchmark decontamination", decontaminate),
+    ("personal data", personal_data),
+    ("packing", packing),
+]
+
+#: A trained network, a randomised join and a tokenizer are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

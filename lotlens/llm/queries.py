@@ -4,15 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotlens.llm.decontam import find_contamination
 from lotlens.llm.license_scan import scan_licenses
+from lotlens.llm.lm_scoring import cross_entropy_difference
+from lotlens.llm.near_dedup import near_duplicates
+from lotlens.llm.packing import pack
+from lotlens.llm.pii import find_pii
+from lotlens.llm.quality_classifier import classify_quality
 from lotlens.llm.quality_rules import apply_rules
+from lotlens.llm.secret_scan import scan_secrets
 from lotlens.llm.sharding import interleave_shards
 from lotlens.llm.spark_util import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def held_out(doc_id: Column) -> Column:
+    """Rows whose labels are never learnt."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -26,10 +44,39 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op5_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    scored = classify_quality(table(spark, sf_dir, "documents"), labels.filter(~held_out(F.col("doc_id"))))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1"))
+
+
+def op10_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_license_scan": op1_license_scan,
-    "op2_stratified_interleave": op2_stratified_interleave,
-    "op3_host_rules": op3_host_rules,
+    f.__name__: f
+    for f in (op1_license_scan, op2_stratified_interleave, op3_host_rules, op4_semi_markov_pii, op5_chosen_path_dedup, op6_secret_ownership, op7_linear_grouping_packing, op8_quality_classifier, op9_cross_entropy_difference, op10_bm25_decontamination)
 }
 
 ORACLES: dict[str, str] = {}

@@ -13,10 +13,10 @@ an id are placed by their text. Repeated rows are placed one by one. An empty ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotlens.llm.spark_util import materialize, pick, unsigned_crc32
+from lotlens.llm.spark_util import exact_rank, materialize, pick, unsigned_crc32
 
 UNIT = float(1 << 40)
 
@@ -26,7 +26,7 @@ def _uniform(*cols) -> F.Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / F.lit(UNIT)
 
 
-def interleave_shards(docs: DataFrame, shards: int = 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cell_rows: int = 20_000) -> DataFrame:
+def interleave_shards(docs: DataFrame, shards: int = 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cell_rows: int = 4_000) -> DataFrame:
     """Columns doc_id, source, size, text_crc32, shard, slot; shard counts differ by one row at most."""
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = pick(docs, doc_id=docs[id_col], source=docs[source_col], size=(F.octet_length(text) + 1).cast("long"), text_crc32=unsigned_crc32(text), tie=F.xxhash64(text))
@@ -34,12 +34,12 @@ def interleave_shards(docs: DataFrame, shards: int = 16, seed: int = 17, id_col:
 
     per_source = rows.groupBy("source").agg(F.count("*").alias("n")).withColumn("cells", F.ceil(F.col("n") / cell_rows))
     placed = _join(rows, per_source).withColumn("cell", F.floor(F.col("u") * F.col("cells")))
-    ranked = _rank(placed, ["source", "cell"], ["source"], ["cell"], ["u", "tie", "doc_id", "size"])
+    ranked = exact_rank(placed, ["source", "cell"], ["source"], ["cell"], ["u", "tie", "doc_id", "size"])
     fraction = (F.col("rank") + _uniform(F.lit(seed + 1), "source")) / F.col("n")
     total = rows.agg(F.count("*").alias("total"))
     spread = ranked.withColumn("fraction", fraction).select("doc_id", "source", "size", "text_crc32", "tie", "fraction").crossJoin(F.broadcast(total))
-    spread = materialize(spread.withColumn("span", F.floor(F.col("fraction") * F.ceil(F.col("total") / cell_rows))).withColumn("all", F.lit(0)))
-    placed = _rank(spread, ["span"], ["all"], ["span"], ["fraction", "source", "tie", "doc_id", "size"])
+    spread = materialize(spread.withColumn("span", F.floor(F.col("fraction") * F.ceil(F.col("total") / cell_rows))))
+    placed = exact_rank(spread, ["span"], [], ["span"], ["fraction", "source", "tie", "doc_id", "size"])
     shard = F.floor(F.col("rank") * shards / F.col("total"))
     begins = F.ceil(shard * F.col("total") / F.lit(float(shards)))
     return placed.select("doc_id", "source", "size", "text_crc32", shard.cast("int").alias("shard"), (F.col("rank") - begins).cast("long").alias("slot"))
@@ -49,15 +49,3 @@ def _join(rows: DataFrame, per_source: DataFrame) -> DataFrame:
     """Null sources join too; Spark broadcasts the counts only if they are under its size threshold."""
     key = F.struct(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("z"))
     return rows.withColumn("_k", key).join(per_source.withColumn("_k", key).drop("source"), "_k").drop("_k")
-
-
-def _rank(rows: DataFrame, cell: list[str], group: list[str], order: list[str], inner: list[str]) -> DataFrame:
-    """An exact 0-based `rank` in each group, by cells that are ordered within the group and sorted inside."""
-    counts = rows.groupBy(*cell).agg(F.count("*").alias("_c"))
-    before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts if group[0] in cell else counts.withColumn(group[0], F.lit(0))
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cell])
-    within = F.row_number().over(Window.partitionBy("_cell").orderBy(*inner)) - 1
-    keyed = rows.withColumn("_cell", key).withColumn("_in", within)
-    return keyed.join(offsets.select(key.alias("_cell"), "_before"), "_cell").withColumn("rank", F.col("_in") + F.col("_before")).drop("_in", "_before", "_cell")

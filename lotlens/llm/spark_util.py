@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,18 @@ def pick(df: DataFrame, **columns: Column | str) -> DataFrame:
 
 def unsigned_crc32(col: Column) -> Column:
     return F.crc32(F.coalesce(col, F.lit("")).cast("binary")).cast("long")
+
+
+def exact_rank(rows: DataFrame, cell: list[str], group: list[str], order: list[str], inner: list[str]) -> DataFrame:
+    """An exact 0-based `rank` in each group, by cells that are ordered within the group and sorted inside.
+
+    A running sum over the cell counts, a table of one row per cell, gives each cell's offset; so a group may hold
+    any share of the rows as long as its cells are small.
+    """
+    counts = rows.groupBy(*cell).agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*[c for c in group if c in cell] or [F.lit(0)]).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cell])
+    within = F.row_number().over(Window.partitionBy("_cell").orderBy(*inner)) - 1
+    keyed = rows.withColumn("_cell", key).withColumn("_in", within)
+    return keyed.join(offsets.select(key.alias("_cell"), "_before"), "_cell").withColumn("rank", F.col("_in") + F.col("_before")).drop("_in", "_before", "_cell")
