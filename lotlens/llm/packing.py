@@ -28,7 +28,7 @@ from lotlens.llm.spark_util import exact_rank, materialize, pick
 END_ID = 2
 CELL_ROWS = 4_000
 #: Groups of large lengths, and the part of the capacity from which a length is large.
-GROUPS, LARGE_PART = 64, 5
+GROUPS, LARGE_PART = 1024, 3
 
 
 def config_fill(sizes: list[int], left: list[int], first: int, capacity: int) -> list[int]:
@@ -97,6 +97,13 @@ class PackingPlan:
                 take = min(n, share - filled)
                 groups[-1].append([length, take])
                 filled, n = filled + take, n - take
+        merged: list[list[list[int]]] = []
+        for g in groups:  # groups that are rounded to one size are one
+            if merged and merged[-1][0][0] == g[0][0]:
+                merged[-1] += g
+            else:
+                merged.append(g)
+        groups = merged
         sizes = [g[0][0] for g in groups]
         left = [sum(n for _, n in g) for g in groups]
         for g in range(len(groups)):
