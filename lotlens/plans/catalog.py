@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from lotlens.plans import basics, listings, scoring, serving, state, texts, units, validation  # noqa: F401  they register
+from lotlens.plans.registry import ORACLES, QUERIES, Tables
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return validation.signal_lift(Tables(spark, sf_dir))
