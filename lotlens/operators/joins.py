@@ -37,12 +37,12 @@ def condo_lookup(buildings: DataFrame, key: str, units: str) -> DataFrame:
 
 def resolve_condo(df: DataFrame, buildings: DataFrame, key: str, units: str, min_condo_lot: int = 1000) -> DataFrame:
     """Adds `resolved` and `method`: the key itself if it is a building, else the block's main building for a condo lot."""
-    direct = buildings.select(F.col(key).alias("resolved_direct")).distinct()
-    out = df.withColumn("_block", block_of(F.col(key)))
-    out = out.join(direct, F.col(key) == F.col("resolved_direct"), "left").join(condo_lookup(buildings, key, units), F.col("_block") == F.col("block"), "left")
-    condo = F.when(lot_of(F.col(key)) >= min_condo_lot, F.col("main"))
-    method = F.when(F.col("resolved_direct").isNotNull(), "direct").when(condo.isNotNull(), "condo").otherwise("none")
-    return out.withColumn("resolved", F.coalesce("resolved_direct", condo)).withColumn("method", method).drop("_block", "block", "main", "resolved_direct")
+    direct = buildings.select(F.col(key).alias("_k"), F.col(key).alias("_direct")).distinct()
+    main = condo_lookup(buildings, key, units).select(F.col("block").alias("_block"), F.col("main").alias("_main"))
+    out = df.withColumn("_block", block_of(F.col(key))).withColumn("_k", F.col(key)).join(direct, "_k", "left").join(main, "_block", "left")
+    condo = F.when(lot_of(F.col(key)) >= min_condo_lot, F.col("_main"))
+    method = F.when(F.col("_direct").isNotNull(), "direct").when(condo.isNotNull(), "condo").otherwise("none")
+    return out.withColumn("resolved", F.coalesce("_direct", condo)).withColumn("method", method).select(*df.columns, "resolved", "method")
 
 
 def resolve_tiers(df: DataFrame, tiers: Sequence[tuple[str, Sequence[str], DataFrame]], target: str) -> DataFrame:
