@@ -7,9 +7,10 @@ Small nodes are compared exhaustively on sketches of minwise tokens, whose cut-o
 below `SKETCH_LOSS`; what sketches leave together is confirmed on full sets, read again from the texts.
 
 Only what connects a group is passed on, never all its pairs: within a node or cluster a search over the members
-yields one edge per member. A node that branching can't split is a group of alike sets: its members are dealt into
-chunks that all meet the same leaders, and those that stay outside the largest component then meet every chunk, so
-nothing is capped.
+yields one edge per member. A node that branching can't split is a group of alike sets and goes to the exact stage as
+it is. There a cluster under a bound of members and shingles is one task's work; the members of a larger one are dealt
+into chunks that all meet the same leaders, and those that stay outside the largest component then meet every chunk,
+so nothing is capped.
 
 A pair of similarity J meets in a tree with a chance of at least J * (1 - (1 - J)^2)^2: with 10 trees, under 1e-7 of
 pairs at J = 0.85 never meet.
@@ -31,8 +32,10 @@ from lotlens.llm.components import connected_components
 from lotlens.llm.spark_util import materialize, pick
 
 TREES, SKETCH, SHINGLE = 10, 128, 5
-#: Members of a node or chunk that one task compares.
-NODE = 400
+#: Members of a node that are compared exhaustively.
+NODE = 1000
+#: Members and shingles of a cluster that one task compares (16 MB of hashes).
+CLUSTER, CLUSTER_SHINGLES = 4000, 2_000_000
 BRANCHES, DEPTH, LEADERS = 2, 3, 32
 SKETCH_LOSS = 1e-6
 
@@ -133,16 +136,19 @@ def _by_set(payload: list[bytes], percent: int) -> Link:
     n = np.array([len(s) for s in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     begin = np.concatenate([[0], np.cumsum(n)])
-    mark = np.zeros(ids.max() + 1, np.int64)
+    mark = np.zeros(ids.max() + 1, np.int32)
 
     def linked(p: int, left: np.ndarray) -> np.ndarray:
-        mark[ids[begin[p] : begin[p + 1]]] = 1
-        near = left[(100 * np.minimum(n[left], n[p]) >= percent * np.maximum(n[left], n[p]))]
-        both = np.zeros(len(sets), np.int64)
-        for x in near:
-            both[x] = mark[ids[begin[x] : begin[x + 1]]].sum()
-        mark[ids[begin[p] : begin[p + 1]]] = 0
-        both = both[left]
+        mine = ids[begin[p] : begin[p + 1]]
+        near = np.flatnonzero(100 * np.minimum(n[left], n[p]) >= percent * np.maximum(n[left], n[p]))
+        both = np.zeros(len(left), np.int64)
+        mark[mine] = 1
+        if 4 * len(near) < len(sets):
+            for k in near:
+                both[k] = mark[ids[begin[left[k]] : begin[left[k] + 1]]].sum()
+        else:
+            both[near] = np.add.reduceat(mark[ids], begin[:-1])[left[near]]
+        mark[mine] = 0
         return 100 * both >= percent * (n[left] + n[p] - both)
 
     return linked
@@ -169,32 +175,34 @@ def _collected(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.collect_list(F.struct("cls", "payload")).alias("members"))
 
 
-def group_edges(rows: DataFrame, kernel: Callable[[list[bytes], int], Link], percent: int, limit: int = NODE) -> DataFrame:
-    """Edges that connect the members of each group as all its linked pairs would.
+def exact_labels(rows: DataFrame, percent: int) -> DataFrame:
+    """node, label of the members (grp, size, weight, cls, payload) that are linked within their cluster.
 
-    rows: grp, size (of the group), cls, payload. Groups over `limit` are dealt into chunks; every chunk is compared
-    within itself and with the group's leaders, then members outside the group's largest component meet all chunks.
+    size and weight are the cluster's members and shingles. A cluster under both bounds is settled in one task. A
+    larger one is dealt into chunks; every chunk is compared within itself and with the cluster's leaders, then the
+    members outside its largest component meet all chunks.
     """
-    small = _edges(_collected(rows.filter(F.col("size") <= limit), "grp"), kernel, percent)
-    large = rows.filter(F.col("size") > limit)
+    fits = (F.col("size") <= CLUSTER) & (F.col("weight") <= CLUSTER_SHINGLES)
+    small = _edges(_collected(rows.filter(fits), "grp"), _by_set, percent)
+    small = materialize(small)
+    settled = small.select(F.col("b").alias("node"), F.col("a").alias("label")).union(small.select("a", "a").distinct())
+    large = rows.filter(~fits)
     if large.limit(1).count() == 0:
-        return small
-    large = large.withColumn("h", F.xxhash64("cls", F.lit(3))).withColumn("chunks", F.ceil(F.col("size") / limit).cast("int"))
-    large = large.withColumn("chunk", F.pmod("h", "chunks").cast("int"))
+        return settled
+    chunks = F.ceil(F.greatest(F.col("size") / CLUSTER, F.col("weight") / CLUSTER_SHINGLES)).cast("int")
+    large = large.withColumn("h", F.xxhash64("cls", F.lit(3))).withColumn("chunks", chunks).withColumn("chunk", F.pmod("h", "chunks").cast("int"))
     lead = large.groupBy("grp", F.pmod(F.xxhash64("cls", F.lit(5)), F.lit(LEADERS)).alias("k")).agg(F.min_by(F.struct("cls", "payload", "chunks"), F.struct("h", "cls")).alias("x"))
     lead = lead.select("grp", "x.cls", "x.payload", F.explode(F.sequence(F.lit(0), F.col("x.chunks") - 1)).alias("chunk"))
-    first = materialize(_edges(_collected(large.select("grp", "cls", "payload", "chunk").union(lead.select("grp", "cls", "payload", "chunk")), "grp", "chunk"), kernel, percent))
-    labels = connected_components(first)
-    placed = large.select("grp", "cls", "chunk", "chunks").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    first = materialize(_edges(_collected(large.select("grp", "cls", "payload", "chunk").union(lead.select("grp", "cls", "payload", "chunk")), "grp", "chunk"), _by_set, percent))
+    placed = large.select("grp", "cls", "chunk", "chunks").join(connected_components(first).withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     main = placed.groupBy("grp", "label").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     outside = placed.join(main, "grp").filter("label <> main").select("grp", "cls", "chunks")
-    per = outside.groupBy("grp").agg(F.ceil(F.count("*") / limit).cast("int").alias("blocks"))
+    # an outsider's block is as large as a chunk, so a task holds two chunks at most
+    per = outside.groupBy("grp").agg(F.count("*").alias("n"), F.max("chunks").alias("most")).join(large.select("grp", "size").distinct(), "grp").select("grp", F.ceil(F.col("n") * F.col("most") / F.col("size")).cast("int").alias("blocks"))
     outside = materialize(outside.join(per, "grp").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(7)), "blocks").cast("int")))
-    if outside.limit(1).count() == 0:
-        return small.union(first)
     every = large.join(per, "grp").select("grp", "cls", "payload", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     out = outside.join(large.select("grp", "cls", "payload"), ["grp", "cls"]).select("grp", "cls", "payload", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block")
-    return small.union(first).union(_edges(_collected(every.union(out), "grp", "chunk", "block"), kernel, percent))
+    return settled.union(connected_components(first.union(_edges(_collected(every.union(out), "grp", "chunk", "block"), _by_set, percent))))
 
 
 def _meet(members: DataFrame) -> DataFrame:
@@ -218,10 +226,10 @@ def candidate_clusters(classes: DataFrame, percent: int) -> DataFrame:
         rows = rows.union(s)
     # independent trees often hold the same members: each set of members is compared once
     nodes = rows.groupBy("node").agg(F.sort_array(F.collect_list("cls")).alias("members")).groupBy(F.xxhash64("members").alias("grp")).agg(F.first("members").alias("members"))
-    once = nodes.select("grp", F.size("members").alias("size"), F.explode("members").alias("cls"))
-    hot = level.filter(F.col("size") > NODE).select(F.col("node").alias("grp"), "size", "cls")
-    joined = once.union(hot).join(sketches, "cls").select("grp", "size", "cls", "payload")
-    return connected_components(group_edges(joined, _by_sketch, percent))
+    once = nodes.select("grp", F.explode("members").alias("cls")).join(sketches, "cls")
+    hot = level.filter(F.col("size") > NODE)
+    alike = hot.join(hot.groupBy("node").agg(F.min("cls").alias("a")), "node").select("a", F.col("cls").alias("b")).distinct()
+    return connected_components(_edges(_collected(once, "grp"), _by_sketch, percent).union(alike))
 
 
 def _confirm_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +239,8 @@ def _confirm_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             sets, begin = shingle_sets(data, offsets)
             raw = [sets[begin[i] : begin[i + 1]].tobytes() for i in range(stop - row)]
             same = [i for i in range(stop - row) if xxhash.xxh128_digest(raw[i]) == expected[row + i]]
-            yield pa.RecordBatch.from_arrays([pa.array([expected[row + i] for i in same], pa.binary()), batch.column(2).slice(row, stop - row).take(pa.array(same, pa.int64())), pa.array([raw[i] for i in same], pa.binary())], ["cls", "grp", "payload"])
+            kept = [batch.column(k).slice(row, stop - row).take(pa.array(same, pa.int64())) for k in (2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([pa.array([expected[row + i] for i in same], pa.binary()), *kept, pa.array([raw[i] for i in same], pa.binary())], ["cls", "grp", "size", "weight", "payload"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -246,13 +255,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = pick(docs, row_key=F.coalesce(docs[id_col].cast("long"), F.xxhash64(text)), doc_id=docs[id_col].cast("long"), text=text)
     signed = materialize(keyed.mapInArrow(_sign, "row_key long, doc_id long, n_shingles long, cls binary, keys array<long>, sketch binary"))
     some = signed.filter("n_shingles > 0")
-    classes = materialize(some.groupBy("cls").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    classes = materialize(some.groupBy("cls").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
     clusters = candidate_clusters(classes, percent)
-    sized = clusters.join(clusters.groupBy("label").agg(F.count("*").alias("size")), "label").select(F.col("node").alias("cls"), F.col("label"), "size")
-    wanted = materialize(classes.select("cls", "row_key").join(sized, "cls").select("row_key", "cls", F.xxhash64("label").alias("grp"), "size"))
-    read = keyed.join(wanted.select("row_key", "cls", "grp"), "row_key").select("text", "cls", "grp").mapInArrow(_confirm_sets, "cls binary, grp long, payload binary")
-    full = materialize(read.join(wanted.select("cls", "size"), "cls").select("grp", "size", "cls", "payload"))
-    labels = connected_components(group_edges(full, _by_set, percent))
+    members = clusters.withColumnRenamed("node", "cls").join(classes.select("cls", "row_key", "n"), "cls")
+    sized = members.groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    wanted = materialize(members.join(sized, "label").select("row_key", "cls", F.xxhash64("label").alias("grp"), "size", "weight"))
+    read = keyed.join(wanted.select("row_key", "cls", "grp", "size", "weight"), "row_key").select("text", "cls", "grp", "size", "weight")
+    full = materialize(read.mapInArrow(_confirm_sets, "cls binary, grp long, size long, weight long, payload binary"))
+    labels = exact_labels(full, percent)
     rooted = classes.select("cls", "least", "class_size").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("label", "cls"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     resolved = rooted.join(roots, "root").select("cls", "class_size", "component_id")

@@ -62,9 +62,9 @@ def corpus(seed=1):
 
 @pytest.mark.parametrize(("percent", "node"), [(85, 400), (80, 12)])
 def test_against_all_pairs(spark, monkeypatch, percent, node):
-    """With nodes of 12 members the large groups branch, are chunked and meet leaders."""
+    """With 12 members a node or cluster, the large groups branch, are chunked and meet leaders."""
     monkeypatch.setattr(near_dedup, "NODE", node)
-    monkeypatch.setattr(near_dedup.group_edges, "__defaults__", (node,))
+    monkeypatch.setattr(near_dedup, "CLUSTER", node)
     rows = corpus()
     df = spark.createDataFrame([Row(doc_id=d, text=t) for d, t in rows]).selectExpr("*", "1 as cls", "2 as grp", "3 as size", "4 as row_key", "5 as label")
     got = near_duplicates(df, percent=percent).collect()
