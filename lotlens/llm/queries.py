@@ -79,4 +79,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_license_scan, op2_stratified_interleave, op3_host_rules, op4_semi_markov_pii, op5_chosen_path_dedup, op6_secret_ownership, op7_linear_grouping_packing, op8_quality_classifier, op9_cross_entropy_difference, op10_bm25_decontamination)
 }
 
-ORACLES: dict[str, str] = {}
+_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: The others hold a trained model, a seeded hash, a tokenizer or an automaton, and are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op3_host_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+ g AS (SELECT r, i, [ws[i], ws[i + 1], ws[i + 2]] AS tri FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+ twice AS (SELECT r, tri FROM g GROUP BY ALL HAVING count(*) > 1),
+ cover AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT g.r, unnest([i, i + 1, i + 2]) AS p FROM g JOIN twice USING (r, tri)) GROUP BY 1),
+ c AS (SELECT w.r, doc_id, host, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+   len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(ls) AS n_lines FROM w LEFT JOIN cover USING (r)),
+ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 10 * n_symbols > n_words AS hard,
+   CAST(100 * n_dup_lines > 30 * n_lines AS INTEGER) + CAST(word_chars < 3 * n_words OR word_chars > 12 * n_words AS INTEGER) AS soft FROM c),
+ h AS (SELECT host, count(*) AS host_docs, count(*) FILTER (WHERE base_failed OR hard OR soft > 0) AS host_failed FROM b GROUP BY 1),
+ m AS (SELECT avg(host_failed / host_docs) AS m, coalesce(var_samp(host_failed / host_docs), 0) AS v FROM h),
+ p AS (SELECT m, greatest(1, least(1000, CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1000 END)) AS k FROM m),
+ v AS (SELECT host, host_docs, host_failed, (host_failed + m * k) / (host_docs + k) AS rate FROM h, p),
+ x AS (SELECT *, CASE WHEN rate >= 0.8 THEN 'blocked' WHEN rate >= 0.35 THEN 'suspect' ELSE 'good' END AS host_verdict FROM v)
+SELECT doc_id, b.host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ NOT base_failed AND NOT hard AND host_verdict <> 'blocked' AND soft <= CASE WHEN host_verdict = 'suspect' THEN 0 ELSE 1 END AS kept, host_docs, host_failed, round(rate, 9) AS host_rate, host_verdict
+FROM b JOIN x ON b.host IS NOT DISTINCT FROM x.host""",
+    "op5_chosen_path_dedup": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({_AZ}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM d)),
+ n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY 1),
+ c AS (SELECT k, min(doc_id) AS rep, any_value(n) AS n, count(*) AS size FROM n GROUP BY 1),
+ cs AS (SELECT rep, g FROM c JOIN s ON s.doc_id = c.rep),
+ i AS (SELECT a.rep AS a, b.rep AS b, count(*) AS shared FROM cs a JOIN cs b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2),
+ l AS (SELECT a, b FROM i JOIN c x ON x.rep = a JOIN c y ON y.rep = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+ reach(a, b) AS (SELECT rep, rep FROM c UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+ m AS (SELECT a AS rep, min(b) AS component FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept, coalesce(c.size, 0) AS class_size
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.k = n.k LEFT JOIN m ON m.rep = c.rep""",
+}
