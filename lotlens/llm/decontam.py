@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lotlens.llm import text as tx
 from lotlens.llm.spark_util import pick
 
-INDEX_ITEMS, BLOCK = 2000, 8
+INDEX_ITEMS, BLOCK = 500, 2
 K1, B = 1.2, 0.75
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -58,8 +58,9 @@ class ItemIndex:
         frequency = np.zeros(len(every), np.int64)
         for *_, w in words:
             frequency[np.searchsorted(every, np.unique(w))] += 1
-        # items with the same most common word stand together: they share a language and its frequent words
-        words.sort(key=lambda x: (int(every[np.searchsorted(every, x[2])[np.argmax(frequency[np.searchsorted(every, x[2])])]]), x[0]))
+        # alike items stand together, so that a block's maxima are near its items' own impacts: first those that share
+        # their most common word, hence a language, then those of about one length, hence of about one impact a word
+        words.sort(key=lambda x: (int(every[np.searchsorted(every, x[2])[np.argmax(frequency[np.searchsorted(every, x[2])])]]), len(x[2]), x[0]))
         self.vocabulary, self.ids, self.gram = every, [i for i, *_ in words], gram
         n, mean = len(words), np.mean([len(w) for *_, w in words]) if words else 1.0
         idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
@@ -146,30 +147,25 @@ def passage_hits(index: ItemIndex, data: np.ndarray, offsets: np.ndarray, thresh
     doc = np.repeat(np.arange(len(n)), n)
     segment = base[doc] + (np.arange(len(h)) - first[doc]) // step
     known = token >= 0
+    segment, token, begins = segment[known], token[known], base[doc[known]]
+    # passage s is segments s and s + 1 of a text; a word counts once in it, so both are joined before they are summed
     width = len(index.vocabulary) + 1
-    pair = np.unique(segment[known] * width + token[known])
-    if not len(pair):
-        return {}
-    owner, word = pair // width, pair % width
-    some, begin = np.unique(owner, return_index=True)
-    bound = np.zeros((base[-1] + 1, index.blocks), np.float32)
-    bound[some] = np.add.reduceat(index.block_max[word], begin)
-    both = bound[:-1].copy()
-    joined = np.ones(base[-1], bool)
-    joined[base[1:][segments > 0] - 1] = False  # a text's last segment has none after it
-    both[joined] += bound[1:][joined]
-    rows, columns = np.nonzero(both >= threshold * 0.9999)
+    back = segment > begins
+    pair = np.unique(np.concatenate([segment * width + token, (segment[back] - 1) * width + token[back]]))
     out: dict[tuple[int, int], tuple[float, float, float, int]] = {}
-    if not len(rows):
+    if not len(pair):
         return out
+    passage_of, word = pair // width, pair % width
+    some, begin = np.unique(passage_of, return_index=True)
+    bound = np.add.reduceat(index.block_max[word], begin)
     ends_of = np.append(begin[1:], len(word))
-    place = {int(s): (int(a), int(b)) for s, a, b in zip(some, begin, ends_of, strict=True)}
-    for s in np.unique(rows):
+    for k in np.flatnonzero(bound.max(1) >= threshold * 0.9999):
+        s = int(some[k])
         d = int(np.searchsorted(base, s, "right") - 1)
-        tokens = {int(t) for x in ((s, s + 1) if joined[s] else (s,)) if int(x) in place for t in word[slice(*place[int(x)])]}
         lo = int(first[d] + (s - base[d]) * step)
         passage = h[lo : min(lo + 2 * step, int(first[d + 1]))]
-        for item, score in index.search(tokens, threshold, set(columns[rows == s].tolist())):
+        blocks = set(np.flatnonzero(bound[k] >= threshold * 0.9999).tolist())
+        for item, score in index.search(word[begin[k] : ends_of[k]].tolist(), threshold, blocks):
             question, answer, whole = index.verify(item, passage)
             if (min(question, answer) >= overlap or whole >= overlap) and out.get((d, item), (-1.0,))[0] < whole:
                 out[d, item] = (whole, question, answer, lo - int(first[d]))
