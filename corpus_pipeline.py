@@ -29,7 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id. Rows with equal ids are one."""
-    return _without(docs, near_duplicates(docs, percent=80).filter("not kept")).dropDuplicates(["doc_id"])
+    kept = _without(docs, near_duplicates(docs, percent=80).filter("not kept"))
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
