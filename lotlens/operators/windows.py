@@ -46,3 +46,27 @@ def changes(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: st
     """The rows at which the value differs from the row before, with the earlier value in `previous`."""
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("previous", F.lag(value).over(w)).filter(F.col("previous").isNotNull() & (F.col("previous") != F.col(value)))
+
+
+def global_rank(df: DataFrame, value: str, tie: str, name: str = "rank", cells: int = 256) -> DataFrame:
+    """An exact rank from 0 over all rows, the largest value first, without one task that sorts them all.
+
+    Approximate quantiles cut the values into cells; a running sum over the cells' counts, at most cells + 1 rows,
+    gives where each begins, and rows are numbered inside their cell. The cut only decides who counts where.
+    """
+    edges = df.agg(F.percentile_approx(value, [i / cells for i in range(1, cells)], 10_000).alias("_edges"))
+    celled = df.crossJoin(F.broadcast(edges)).withColumn("_cell", F.size(F.filter("_edges", lambda e: e <= F.col(value)))).drop("_edges")
+    before = F.sum("_n").over(Window.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1))
+    starts = celled.groupBy("_cell").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(before, F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("_cell").orderBy(F.desc(value), tie)) - 1
+    return celled.withColumn("_in", inside).join(F.broadcast(starts), "_cell").withColumn(name, F.col("_start") + F.col("_in")).drop("_cell", "_in", "_start")
+
+
+def global_tiles(df: DataFrame, value: str, tie: str, tiles: int, name: str = "tile") -> DataFrame:
+    """Tiles 1..n of the global order, the first ones a row larger where they can't be equal."""
+    total = df.agg(F.count("*").alias("_total"))
+    out = global_rank(df, value, tie, "_rank").crossJoin(F.broadcast(total))
+    size, more = F.floor(F.col("_total") / tiles), F.col("_total") % tiles
+    late = F.col("_rank") - more * (size + 1)
+    tile = F.when(late < 0, F.floor(F.col("_rank") / (size + 1))).otherwise(more + F.floor(F.try_divide(late, size)))
+    return out.withColumn(name, (tile + 1).cast("int")).drop("_rank", "_total")

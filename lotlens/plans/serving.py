@@ -110,11 +110,11 @@ def price_history_export(t: Tables) -> DataFrame:
     return joined.select("o_orderkey", "c_name", F.col("o_orderdate").cast("date").alias("day"), "o_totalprice")
 
 
-@query("""WITH n AS (SELECT o_custkey, count(*) AS owned, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1) SELECT o_custkey, owned, value, CAST(ntile(5) OVER (ORDER BY owned DESC, value DESC, o_custkey) AS INTEGER) AS grade FROM n""")
+@query("""WITH n AS (SELECT o_custkey, count(*) AS owned, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1) SELECT o_custkey, owned, value, CAST(ntile(5) OVER (ORDER BY value DESC, o_custkey) AS INTEGER) AS grade FROM n""")
 def owner_portfolio(t: Tables) -> DataFrame:
-    """Owners graded in fifths: exact, by one global sort of one row per owner."""
+    """Owners graded in exact fifths by what they hold."""
     n = t.orders.groupBy("o_custkey").agg(F.count("*").alias("owned"), F.round(F.sum("o_totalprice"), 2).alias("value"))
-    return n.withColumn("grade", F.ntile(5).over(Window.orderBy(F.desc("owned"), F.desc("value"), "o_custkey")))
+    return windows.global_tiles(n, "value", "o_custkey", 5, "grade")
 
 
 @query("""SELECT o_custkey, o_orderkey, CAST(d - prev AS INTEGER) AS days FROM (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS d, lag(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders) WHERE d - prev <= 60""")
@@ -135,3 +135,25 @@ def complaint_density(t: Tables) -> DataFrame:
 def area_median(t: Tables) -> DataFrame:
     m = t.part.groupBy("p_brand").agg(F.percentile_approx("p_retailprice", 0.5, 1_000_000).alias("median"))
     return t.part.join(m, "p_brand").select("p_partkey", "median", F.round(F.col("p_retailprice") / F.col("median"), 6).alias("ratio"))
+
+
+@query("""SELECT c_custkey, o_orderkey, o_totalprice FROM (SELECT c_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'AUTOMOBILE' AND o_orderstatus = 'O') WHERE k <= 2""")
+def building_listings(t: Tables) -> DataFrame:
+    """The dearest open listings of each asked building."""
+    keys = t.customer.filter("c_mktsegment = 'AUTOMOBILE'").select(F.col("c_custkey").alias("o_custkey"))
+    found = joins.semi(t.orders.filter("o_orderstatus = 'O'"), keys, "o_custkey")
+    return windows.first_n(found.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice"), ["c_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 2)
+
+
+@query("""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), p AS (SELECT item_id, lower(text) AS q FROM benchmark) SELECT doc_id, item_id FROM d JOIN p ON contains(t, q)""")
+def phrase_matches(t: Tables) -> DataFrame:
+    """Documents that contain a phrase as it is; the phrases are measured before they are broadcast."""
+    phrases = t.benchmark.select("item_id", F.col("text").alias("phrase"))
+    return joins.phrase_join(t.documents.select("doc_id", "text"), "text", phrases, "phrase").select("doc_id", "item_id")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_retailprice <= e[1] THEN 0 WHEN p_retailprice <= e[2] THEN 1 WHEN p_retailprice <= e[3] THEN 2 ELSE 3 END AS part FROM part, (SELECT quantile_disc(p_retailprice, [0.25, 0.5, 0.75]) AS e FROM part)""")
+def split_over_full(t: Tables) -> DataFrame:
+    """A price range cut at its quartiles, as an over-full bucket is."""
+    edges = t.part.agg(F.percentile_approx("p_retailprice", [0.25, 0.5, 0.75], 1_000_000).alias("e"))
+    return t.part.crossJoin(F.broadcast(edges)).select("p_partkey", F.size(F.filter("e", lambda x: x < F.col("p_retailprice"))).alias("part"))
