@@ -16,6 +16,7 @@ from base64 import b64decode
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -178,6 +179,17 @@ def piece_lengths(n: int, capacity: int) -> list[int]:
     return [n - full * capacity, *[capacity] * full]
 
 
+@lru_cache(maxsize=1)
+def _encoder(tokenizer_path: str):
+    """Made once for each Python worker: it takes a second and a hundred megabytes."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(tokenizer_path, "rb") as lines:
+        ranks = {b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32.
 
@@ -186,12 +198,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-        import tiktoken
-
-        with open(tokenizer_path, "rb") as lines:
-            ranks = {b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        encode = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encode = _encoder(tokenizer_path).encode_ordinary
         for batch in batches:
             out = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -229,6 +236,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    celled = pieces.join(histogram, "length").withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.ceil(F.col("n") / CELL_ROWS)))
+    # at most `capacity` rows
+    celled = pieces.join(F.broadcast(histogram), "length").withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.ceil(F.col("n") / CELL_ROWS)))
     ranked = exact_rank(celled, ["length", "cell"], ["length"], ["cell"], ["doc_id", "piece", "ids_crc32"])
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
