@@ -123,6 +123,12 @@ def rooms_label(beds: Column, baths: Column) -> Column:
     return F.concat_ws(" / ", bed, bath)
 
 
+def derived_fields(street: Column, unit: Column, city: Column, price: Column, area: Column, beds: Column, baths: Column) -> Column:
+    """Struct of the full address, the rooms label and the price per area unit (null without an area)."""
+    place = F.array_join(F.filter(F.array(F.concat_ws(" ", street, F.when(unit != "", unit)), city), lambda x: x != ""), ", ")
+    return F.struct(place.alias("full_address"), rooms_label(beds, baths).alias("rooms"), F.round(F.try_divide(price.cast("double"), F.nullif(area, F.lit(0)).cast("double")), 2).alias("price_per_area"))
+
+
 def price_bucket(price: Column, edges: tuple[float, ...]) -> Column:
     """Number of edges at or under the price."""
     return sum((F.when(price >= e, 1).otherwise(0) for e in edges), F.lit(0))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotlens.operators.windows import first_n
+
 
 def share(part: Column, whole: Column, digits: int = 4, factor: float = 100.0) -> Column:
     return F.round(F.try_divide(factor * part, whole), digits)
@@ -22,10 +24,14 @@ def safe_sum(c: Column) -> Column:
     return F.sum(F.coalesce(c.try_cast("double"), F.lit(0.0)))
 
 
-def first_k_text(value: str, order: Sequence[str], k: int = 3, sep: str = "; ", max_length: int = 200) -> Column:
-    """The first k values by the order, joined and cut."""
-    ordered = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(*order, value))))
-    return F.left(F.array_join(F.transform(F.slice(ordered, 1, k), lambda x: x[value]), sep), F.lit(max_length))
+def first_k_text(df: DataFrame, by: Sequence[str], value: str, order: Sequence[str], k: int = 3, sep: str = "; ", max_length: int = 200, name: str = "text") -> DataFrame:
+    """The first k values of each group by the order and the value, joined and cut.
+
+    The group is cut to k rows before it is collected, already in each task, so no group is ever held whole.
+    """
+    kept = first_n(df.filter(F.col(value).isNotNull()).select(*by, *order, value), by, [F.col(c) for c in (*order, value)], k)
+    ordered = F.array_sort(F.collect_list(F.struct(*order, value)))
+    return kept.groupBy(*by).agg(F.left(F.array_join(F.transform(ordered, lambda x: x[value]), sep), F.lit(max_length)).alias(name))
 
 
 def labelled_text(label: str, value: str, sep: str = ", ") -> Column:

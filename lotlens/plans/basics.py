@@ -173,7 +173,7 @@ def document_profile(t: Tables) -> DataFrame:
 SELECT l_orderkey, left(string_agg(s_name, '; ' ORDER BY l_linenumber, s_name), 200) AS parties FROM r WHERE k <= 3 GROUP BY 1""")
 def top_k_concat(t: Tables) -> DataFrame:
     named = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    return named.groupBy("l_orderkey").agg(agg.first_k_text("s_name", ["l_linenumber"]).alias("parties"))
+    return agg.first_k_text(named, ["l_orderkey"], "s_name", ["l_linenumber"], name="parties")
 
 
 @query("""SELECT s_nationkey, string_agg(x, ', ' ORDER BY x) AS people FROM (SELECT DISTINCT s_nationkey, 'supplier: ' || s_name AS x FROM supplier) GROUP BY 1""")

@@ -221,3 +221,11 @@ def amenities(t: Tables) -> DataFrame:
 @query("""SELECT CAST(CASE WHEN o_totalprice >= 300000 THEN 3 WHEN o_totalprice >= 150000 THEN 2 WHEN o_totalprice >= 50000 THEN 1 ELSE 0 END AS INTEGER) AS bucket, count(*) AS n FROM orders GROUP BY 1""")
 def price_buckets(t: Tables) -> DataFrame:
     return t.orders.groupBy(listing.price_bucket(F.col("o_totalprice"), (50_000, 150_000, 300_000)).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, p_size || ' Oak St' || CASE WHEN p_size % 2 = 0 THEN ' 3A' ELSE '' END || ', Bronx' AS full_address, CASE p_size % 3 WHEN 0 THEN 'Studio' WHEN 1 THEN '1 Bed' ELSE '2 Beds' END || CASE WHEN p_size % 2 = 0 THEN ' / 1 Bath' ELSE ' / 1.5 Baths' END AS rooms,
+  CASE WHEN p_size % 5 > 0 THEN round(p_retailprice / (p_size % 5), 2) END AS price_per_area FROM part""")
+def derived_fields(t: Tables) -> DataFrame:
+    s = F.col("p_size")
+    fields = listing.derived_fields(F.concat(s.cast("string"), F.lit(" Oak St")), F.when(s % 2 == 0, "3A").otherwise(""), F.lit("Bronx"), F.col("p_retailprice"), s % 5, s % 3, F.when(s % 2 == 0, 1.0).otherwise(1.5))
+    return t.part.select("p_partkey", fields.alias("f")).select("p_partkey", "f.*")

@@ -19,9 +19,9 @@ def assemble_documents(master: DataFrame, legals: DataFrame, parties: DataFrame,
     kept = master.filter(F.col(type_col).isin(*types))
     ids = kept.select(doc)
     parcel = joins.semi(legals, ids, doc).groupBy(doc).agg(F.min("parcel").alias("parcel"))
-    side = lambda s: F.array_join(F.slice(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("name")))), 1, k), "; ")
-    names = joins.semi(parties, ids, doc).groupBy(doc).agg(side(1).alias("sellers"), side(2).alias("buyers"))
-    return joins.star(kept.join(parcel, doc), doc, names)
+    named = joins.semi(parties, ids, doc)
+    side = lambda s, name: agg.first_k_text(named.filter(F.col("side") == s), [doc], "name", [], k, name=name)
+    return joins.star(kept.join(parcel, doc), doc, side(1, "sellers"), side(2, "buyers")).fillna({"sellers": "", "buyers": ""})
 
 
 @query("""WITH m AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'P')),

@@ -63,8 +63,8 @@ def sales(master: DataFrame, legals: DataFrame, parties: DataFrame, known: DataF
     unit = F.when(clean.is_unit(c("unit")), F.upper(F.trim("unit")))
     parcel = windows.best_per_group(lots.select("document_id", c("resolved").alias("bbl"), unit.alias("unit"), (c("method") != "direct").alias("_far")), ["document_id"], [c("_far"), c("bbl"), c("unit")]).drop("_far")
     named = joins.semi(parties, ids, "document_id")
-    side = lambda kind: named.filter(c("party_type") == kind).groupBy("document_id")
-    out = wanted.join(parcel, "document_id").join(side("1").agg(first_k_text("name", []).alias("seller")), "document_id", "left").join(side("2").agg(first_k_text("name", []).alias("buyer")), "document_id", "left")
+    side = lambda kind, name: first_k_text(named.filter(c("party_type") == kind), ["document_id"], "name", [], name=name)
+    out = joins.star(wanted.join(parcel, "document_id"), "document_id", side("1", "seller"), side("2", "buyer"))
     return out.select("document_id", "bbl", "unit", "doc_type", day(c("document_date")).alias("document_date"), day(c("recorded_datetime")).alias("recorded_date"), clean.money(c("document_amt"), 0.0).alias("amount"), "seller", "buyer")
 
 
