@@ -26,15 +26,19 @@ def _words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " +"))
 
 
-def _repeat_words(words: Column) -> Column:
-    """Places of a text that lie in a three-word window which stands in it twice or more.
+def _window_hashes(words: Column) -> Column:
+    """A 64-bit hash of each three-word window."""
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    return F.when(F.size(words) < 4, F.array().cast("array<bigint>")).otherwise(hashes)
 
-    The windows' hashes are sorted with their places, so that equal ones are neighbours; the places of these,
-    sorted, cover three words each less what the next one covers.
+
+def _repeated_places(ordered: Column) -> Column:
+    """Sorted places of the windows that stand in a text twice or more.
+
+    `ordered` holds the windows sorted by hash with their places, so that equal ones are neighbours.
     """
-    # a window of three words is hashed with two seeds' worth of input, 64 bits in all
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
-    return F.when(F.size(words) < 4, F.array().cast("array<struct<h:bigint,i:int>>")).otherwise(F.array_sort(windows))
+    same = F.filter(ordered, lambda x, i: (F.when(i > 0, F.get(ordered, i - 1)["h"]) == x["h"]) | (F.get(ordered, i + 1)["h"] == x["h"]))
+    return F.array_sort(F.transform(same, lambda x: x["i"]))
 
 
 def _covered(places: Column) -> Column:
@@ -49,10 +53,12 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(docs[text_col], F.lit(""))
     df = pick(docs, doc_id=docs[id_col].cast("long"), host=docs[host_col], text=text)
     df = df.withColumn("words", _words(F.col("text")))
-    df = df.withColumn("sorted", _repeat_words(F.col("words")))
-    s = F.col("sorted")
-    same = F.filter(s, lambda x, i: (F.when(i > 0, F.get(s, i - 1)["h"]) == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]))
-    df = df.withColumn("places", F.array_sort(F.transform(same, lambda x: x["i"])))
+    df = df.withColumn("hashes", _window_hashes(F.col("words")))
+    h = F.col("hashes")
+    pairs = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+    # most texts repeat no window, which a set of the hashes tells without a sort
+    df = df.withColumn("ordered", F.when(F.size(F.array_distinct(h)) < F.size(h), F.array_sort(pairs)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    df = df.withColumn("places", _repeated_places(F.col("ordered")))
     lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, SPACES, "") != "")
     df = df.withColumn("lines", lines)
     return df.select(
