@@ -40,7 +40,7 @@ def numbered_units(buildings: DataFrame, key: str, n: str, cap: int) -> DataFram
 
 def _orders_by_unit(t: Tables, status: str, source: str, confidence: float) -> DataFrame:
     o = t.orders.filter(F.col("o_orderstatus") == status)
-    return o.select(F.col("o_custkey").alias("key"), (F.col("o_orderkey") % 6).cast("string").alias("unit"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"), F.col("o_orderpriority").alias("kind")).dropDuplicates(["key", "unit", "kind"]).groupBy("key", "unit", "source", "confidence").agg(F.min("kind").alias("kind"))
+    return o.select(F.col("o_custkey").alias("key"), (F.col("o_orderkey") % 6).cast("string").alias("unit"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"), F.col("o_orderpriority").alias("kind")).groupBy("key", "unit", "source", "confidence").agg(F.min("kind").alias("kind"))
 
 
 def _units(t: Tables) -> DataFrame:
