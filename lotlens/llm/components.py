@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotlens.llm.spark_util import materialize
+from lotlens.llm.spark_util import materialize, skew_join
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -18,10 +18,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = materialize(both)
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     for _ in range(max_rounds):
-        heard = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
+        heard = skew_join(both, labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
         nearer = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         up = nearer.select(F.col("node").alias("label"), F.col("label").alias("upper"))
-        jumped = nearer.join(up, "label").select("node", F.least("label", "upper").alias("label"), "old")
+        jumped = skew_join(nearer, up, "label").select("node", F.least("label", "upper").alias("label"), "old")
         jumped = materialize(jumped)
         labels = jumped.select("node", "label")
         if jumped.filter("old <> label").limit(1).count() == 0:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lotlens.llm import text as tx
 from lotlens.llm.components import connected_components
-from lotlens.llm.spark_util import materialize, pick
+from lotlens.llm.spark_util import materialize, pick, skew_join
 
 TREES, SKETCH, SHINGLE = 10, 128, 5
 #: Members of a node that are compared exhaustively.
@@ -207,7 +207,7 @@ def exact_labels(rows: DataFrame, percent: int) -> DataFrame:
 
 def _meet(members: DataFrame) -> DataFrame:
     """node, size, cls of the nodes with two members or more."""
-    return materialize(members.join(members.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "node").select("node", "size", "cls"))
+    return materialize(skew_join(members, members.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "node").select("node", "size", "cls"))
 
 
 def candidate_clusters(classes: DataFrame, percent: int) -> DataFrame:
@@ -228,7 +228,7 @@ def candidate_clusters(classes: DataFrame, percent: int) -> DataFrame:
     nodes = rows.groupBy("node").agg(F.sort_array(F.collect_list("cls")).alias("members")).groupBy(F.xxhash64("members").alias("grp")).agg(F.first("members").alias("members"))
     once = nodes.select("grp", F.explode("members").alias("cls")).join(sketches, "cls")
     hot = level.filter(F.col("size") > NODE)
-    alike = hot.join(hot.groupBy("node").agg(F.min("cls").alias("a")), "node").select("a", F.col("cls").alias("b")).distinct()
+    alike = skew_join(hot, hot.groupBy("node").agg(F.min("cls").alias("a")), "node").select("a", F.col("cls").alias("b")).distinct()
     return connected_components(_edges(_collected(once, "grp"), _by_sketch, percent).union(alike))
 
 
