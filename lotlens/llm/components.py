@@ -14,8 +14,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round takes the least label of all neighbours, aggregated before it is shuffled, then the label's own label,
     so long chains close in a logarithmic number of rounds. Only one row of progress reaches the driver.
     """
-    both = edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select("b", "a")).distinct()
-    both = materialize(both)
+    # both directions must come from one evaluation: edges may depend on the order in which rows arrive
+    edges = materialize(edges.filter("a <> b").select("a", "b"))
+    both = materialize(edges.union(edges.select("b", "a")).distinct())
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     for _ in range(max_rounds):
         heard = skew_join(both, labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))

@@ -172,7 +172,8 @@ def _edges(groups: DataFrame, kernel: Callable[[list[bytes], int], Link], percen
 
 
 def _collected(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.groupBy(*by).agg(F.collect_list(F.struct("cls", "payload")).alias("members"))
+    """Members in a fixed order, so that a task that runs again gives the same edges."""
+    return rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("cls", "payload"))).alias("members"))
 
 
 def exact_labels(rows: DataFrame, percent: int) -> DataFrame:
