@@ -1,10 +1,16 @@
 """Cross-entropy difference between two n-gram models over one vocabulary.
 
-A target model and a background model of the same order count the same hashed vocabulary: words that the corpus as a
-whole holds at least twice, everything else is one unknown word. Both are interpolated bigram models. Counts are
-taken over every document: tasks count into arrays of a fixed size and Spark sums the buckets, so the traffic grows
-with the corpus and the model does not. A document's score is its mean loss per token under the target model less
-that under the background model: the lower, the more like the target.
+A target model and a background model of the same order count the same words. Both are interpolated bigram models;
+in their one-word part the words that the corpus as a whole holds only once are one unknown word. A document's score
+is its mean loss per token under the target model less that under the background model: the lower, the more like the
+target.
+
+Words and bigrams are counted exactly, under hashes of 64 bits, and neither model is ever in one place. Documents are
+cut into chunks, each kept as its distinct words and the places of its tokens among them. A chunk sends its own
+distinct words and bigrams with its counts, in order and by ranges of the hash; the totals come back to it in the
+order sent, without the keys. A word or bigram is sent once by a chunk, however frequent it is, so no range is hot.
+
+Labels reach a chunk as a bit for each document, so no text is exchanged.
 
 Null and empty texts have no tokens, losses and a score of 0. Rows without a target label belong to the background
 alone. Repeated rows count and are scored one by one. An empty table gives no rows.
@@ -12,103 +18,238 @@ alone. Repeated rows count and are scored one by one. An empty table gives no ro
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotlens.llm import text as tx
-from lotlens.llm.spark_util import pick
+from lotlens.llm.spark_util import materialize, pick
 
-WORDS, PAIRS = 1 << 18, 1 << 20
+#: Bytes of text in a chunk, unless a single text is longer; tokens whose keys one range of the hash takes.
+CHUNK_BYTES, RANGE_TOKENS = 12 << 20, 2_000_000
+#: Documents whose label bits are broadcast (64 MB); beyond that they are joined by an exchange.
+BROADCAST_DOCS = 1 << 29
 _NEXT = np.uint64(0xA24BAED4963EE407)
 #: Place in a pair of a text's first word.
 _START = np.uint64(0x2545F4914F6CDD1D)
+_SUMS = ["known", "rare_background", "rare_target", "all_background", "all_target"]
 
 
-def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word bucket, bucket of the word before, pair bucket of every token, and where each text's tokens begin."""
-    data = tx.LOWER[data]
-    starts, ends, first = tx.words(data, offsets, tx.ALNUM_WORD)
-    h = tx.word_hashes(data, starts, ends)
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    before[first[:-1][np.diff(first) > 0]] = _START
-    pair = tx.mixed(before * _NEXT + h)
-    return (h & np.uint64(WORDS - 1)).astype(np.int64), (before & np.uint64(WORDS - 1)).astype(np.int64), (pair & np.uint64(PAIRS - 1)).astype(np.int64), first
+def _shut(*arrays: np.ndarray) -> bytes:
+    raw = pickle.dumps(arrays, 5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, befores, pairs = np.zeros((2, WORDS), np.int64), np.zeros((2, WORDS), np.int64), np.zeros((2, PAIRS), np.int64)
-    for batch in batches:
-        target = np.array(batch.column(1).to_pylist(), bool)
-        for row, stop, data, offsets in tx.slices(batch.column(0)):
-            w, v, p, first = ngrams(data, offsets)
-            mine = np.repeat(target[row:stop], np.diff(first))
-            for side, chosen in enumerate((~mine, mine)):
-                words[side] += np.bincount(w[chosen], minlength=WORDS)
-                befores[side] += np.bincount(v[chosen], minlength=WORDS)
-                pairs[side] += np.bincount(p[chosen], minlength=PAIRS)
-    for kind, counts in enumerate((words, befores, pairs)):
-        some = np.flatnonzero(counts.sum(0))
-        for lo in range(0, len(some), 50_000):
-            at = some[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(counts[0, at]), pa.array(counts[1, at])], ["kind", "bucket", "background", "target"])
+def _opened(blob: bytes) -> tuple[np.ndarray, ...]:
+    return pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True))
 
 
-class PairModel:
-    """Losses of both models for token buckets; arrays of a fixed size."""
+def _planes(values: np.ndarray) -> np.ndarray:
+    """Bytes of equal weight together, which compress better."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.copy()
 
-    def __init__(self, kind: np.ndarray, bucket: np.ndarray, counts: np.ndarray, weight: float = 0.6, least: int = 2):
-        words, befores, pairs = np.zeros((WORDS, 2)), np.zeros((WORDS, 2)), np.zeros((PAIRS, 2))
-        for k, into in enumerate((words, befores, pairs)):
-            into[bucket[kind == k]] = counts[kind == k]
-        known = words.sum(1) >= least
-        size = int(known.sum()) + 1
-        shared = np.where(known[:, None], words, words[~known].sum(0))
-        self.word = ((1 - weight) * (shared + 1) / (words.sum(0) + size)).astype(np.float32)
-        self.before = (weight / np.maximum(befores, 1)).astype(np.float32)
-        self.pair = pairs.astype(np.float32)
 
-    def losses(self, w: np.ndarray, v: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """A row of background and target loss for each token."""
-        # two pairs in one bucket may count more than the word before does alone
-        seen = np.minimum(self.pair[p] * self.before[v], 1)
-        return -np.log(self.word[w] + seen)
+def _values(planes: np.ndarray, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
-def fit_models(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> PairModel:
-    """Models of the documents whose ids are in `targets`, and of all others; bounded sums reach the driver.
+class Chunk:
+    """Some whole documents: their ids, distinct words, and each token's place among these."""
 
-    The target ids grow with the corpus, so they are merged with the documents at every size and never broadcast.
-    """
-    wanted = pick(targets, doc_id=targets[id_col].cast("long")).dropna().distinct().withColumn("target", F.lit(True))
-    marked = pick(docs, doc_id=docs[id_col].cast("long"), text=docs[text_col]).join(wanted.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counted = marked.mapInArrow(_count, "kind int, bucket long, background long, target long")
-    rows = counted.groupBy("kind", "bucket").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow()
-    at = lambda c: rows.column(c).to_numpy()
-    return PairModel(at("kind"), at("bucket"), np.stack([at("background"), at("target")], 1).astype(np.float64))
+    def __init__(self, blob: bytes):
+        self.ids, self.null, self.first, words, tokens = _opened(blob)
+        stored = _values(words, np.uint64)
+        order = np.argsort(stored)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.words, self.token = stored[order], place[_values(tokens, np.uint32)]
+        self.before = np.empty_like(self.token)
+        self.before[1:] = self.token[:-1]
+        self.before[self.first[:-1][np.diff(self.first) > 0]] = np.searchsorted(self.words, _START)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct bigrams, and each token's place among them."""
+        return np.unique(tx.mixed(self.words[self.before] * _NEXT + self.words[self.token]), return_inverse=True)
+
+    @staticmethod
+    def write(ids: pa.Array, first: np.ndarray, hashes: np.ndarray) -> bytes:
+        """Words are stored by falling classes of frequency, so that most places are small and compress."""
+        words, place, n = np.unique(np.append(hashes, _START), return_inverse=True, return_counts=True)
+        order = np.argsort(-np.log2(n).astype(np.int64), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
+        return _shut(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), first, _planes(words[order]), _planes(rank[place[:-1]]))
 
+    def counts(self, target: np.ndarray, places: np.ndarray, n: int) -> list[np.ndarray]:
+        """Background and target counts of the n keys."""
+        mine = np.repeat(target, np.diff(self.first))
+        return [np.bincount(places[side], minlength=n).astype(np.int32) for side in (~mine, mine)]
+
+    def word_counts(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words, and their counts as a token and as the word before one."""
+        n = len(self.words)
+        return self.words, np.stack([*self.counts(target, self.token, n), *self.counts(target, self.before, n)])
+
+    def pair_counts(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, places = self.pairs()
+        return keys, np.stack(self.counts(target, places, len(keys)))
+
+
+def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for row, stop, data, offsets in tx.slices(batch.column(1), CHUNK_BYTES):
+            data = tx.LOWER[data]
+            starts, ends, first = tx.words(data, offsets, tx.ALNUM_WORD)
+            blob = Chunk.write(batch.column(0).slice(row, stop - row), first, tx.word_hashes(data, starts, ends))
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([stop - row]), pa.array([len(starts)]), pa.array([blob], pa.binary())], ["chunk", "docs", "tokens", "blob"])
+            number += 1
+
+
+def _ids(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, chunk and place in it of each document with an id."""
+    for batch in batches:
+        for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, null, *_ = _opened(blob.as_py())
+            at = np.flatnonzero(~null)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.full(len(at), chunk)), pa.array(at)], ["doc_id", "chunk", "place"])
 
-def score_documents(docs: DataFrame, model: PairModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss and score of every whole text; one narrow pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # about 13 MB at every input size
+
+def _bits(table: pa.Table) -> pa.Table:
+    bits = np.zeros(int(table.column("place").to_numpy().max()) + 1, bool)
+    bits[table.column("place").to_numpy()] = True
+    return pa.table([table.column("chunk")[:1], pa.array([np.packbits(bits).tobytes()], pa.binary())], ["chunk", "bits"])
+
+
+def _sent(marked: DataFrame, what: str, ranges: int) -> DataFrame:
+    """chunk, range and a blob of the range's keys and counts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            for row, stop, data, offsets in tx.slices(batch.column(1)):
-                w, v, p, first = ngrams(data, offsets)
-                loss = m.losses(w, v, p).astype(np.float64)
-                n = np.diff(first)
-                mean = np.stack([tx.per_text(loss[:, k], first) for k in (0, 1)]) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), pa.array(n, pa.int64()), pa.array(mean[1]), pa.array(mean[0]), pa.array(mean[1] - mean[0])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    out = pick(docs, doc_id=docs[id_col].cast("long"), text=docs[text_col]).mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+            for chunk, blob, bits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                docs = Chunk(blob.as_py())
+                target, given = np.zeros(len(docs.ids), bool), np.unpackbits(np.frombuffer(bits or b"", np.uint8))[: len(docs.ids)]
+                target[: len(given)] = given
+                keys, counts = getattr(docs, what)(target)
+                range_of = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                some, lo = np.unique(range_of, return_index=True)
+                cuts = list(pairwise([*lo, len(keys)]))  # none without keys
+                blobs = [_shut(_planes(keys[a:b]), counts[:, a:b]) for a, b in cuts]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int64()), pa.array(some), pa.array(blobs, pa.binary())], ["chunk", "range", "blob"])
+
+    return marked.mapInArrow(run, "chunk long, range long, blob binary")
+
+
+def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Distinct keys of a range, their totals, each sent key's place among them, and how many each chunk sent."""
+    parts = [_opened(b.as_py()) for b in table.column("blob")]
+    keys, place = np.unique(np.concatenate([_values(k, np.uint64) for k, _ in parts]), return_inverse=True)
+    totals = np.zeros((len(parts[0][1]), len(keys)), np.int64)
+    done = 0
+    for _, counts in parts:  # a chunk's keys are distinct
+        totals[:, place[done : done + counts.shape[1]]] += counts
+        done += counts.shape[1]
+    return keys, totals, place, [c.shape[1] for _, c in parts]
+
+
+def _returned(sent: DataFrame, least: int) -> DataFrame:
+    """chunk, range and the totals of the keys that the chunk sent; sums over the range's distinct keys in its first row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        _, totals, place, sizes = _summed(table)
+        ends = np.cumsum(sizes)
+        blobs = [_shut(totals[:, place[b - n : b]].astype(np.int64 if totals.max() >> 31 else np.int32)) for n, b in zip(sizes, ends, strict=True)]
+        known = totals[:2].sum(0) >= least
+        sums = [int(known.sum()), *totals[:2, ~known].sum(1).tolist(), *totals[:2].sum(1).tolist()]
+        rest = [0] * (len(sizes) - 1)
+        return pa.table([table.column("chunk"), table.column("range"), pa.array(blobs, pa.binary()), *(pa.array([x, *rest], pa.int64()) for x in sums)], ["chunk", "range", "blob", *_SUMS])
+
+    return sent.groupBy("range").applyInArrow(run, "chunk long, range long, blob binary, " + ", ".join(f"{c} long" for c in _SUMS))
+
+
+def losses(chunk: Chunk, words: np.ndarray, pairs: np.ndarray, size: int, rare: np.ndarray, tokens: np.ndarray, weight: float, least: int) -> np.ndarray:
+    """A row for each model with the loss of each token of a chunk, from the totals of its words and bigrams."""
+    known = words[:2].sum(0) >= least
+    shared = np.where(known, words[:2], rare[:, None])
+    word = (1 - weight) * (shared + 1) / (tokens[:, None] + size)
+    before = weight / np.maximum(words[2:], 1)
+    return -np.log(word[:, chunk.token] + pairs[:, chunk.pairs()[1]] * before[:, chunk.before])
+
+
+@dataclass(frozen=True)
+class PairModel:
+    """Both models over the corpus that they count: its chunks, and the totals of each chunk's words."""
+
+    chunks: DataFrame
+    marked: DataFrame
+    words: DataFrame
+    ranges: int
+    size: int
+    rare: np.ndarray
+    tokens: np.ndarray
+    weight: float
+    least: int
+
+    def pairs(self) -> DataFrame:
+        """chunk, range and the totals of each chunk's bigrams."""
+        return _returned(_sent(self.marked, "pair_counts", self.ranges), self.least)
+
+    def pair_totals(self) -> DataFrame:
+        """A row (background, target) for each distinct bigram of the corpus."""
+
+        def run(table: pa.Table) -> pa.Table:
+            return pa.table([pa.array(x) for x in _summed(table)[1]], ["background", "target"])
+
+        return _sent(self.marked, "pair_counts", self.ranges).groupBy("range").applyInArrow(run, "background long, target long")
+
+    @property
+    def pair(self) -> np.ndarray:
+        """The bigram totals on the driver: for looking into small corpora, no operator needs it."""
+        return np.array([tuple(r) for r in self.pair_totals().collect()], float).reshape(-1, 2)
+
+
+def fit_models(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: float = 0.6, least: int = 2) -> PairModel:
+    """Models of the documents whose ids are in `targets`, and of all others; seven numbers and the label bits reach the driver.
+
+    The target ids grow with the corpus, so they are merged with the documents at every size and never broadcast.
+    """
+    chunks = materialize(pick(docs, doc_id=docs[id_col].cast("long"), text=docs[text_col]).mapInArrow(_chunks, "chunk long, docs long, tokens long, blob binary"))
+    n, tokens = (x or 0 for x in chunks.agg(F.sum("docs"), F.sum("tokens")).first())
+    wanted = pick(targets, doc_id=targets[id_col].cast("long")).dropna().distinct()
+    placed = chunks.select("chunk", "blob").mapInArrow(_ids, "doc_id long, chunk long, place long")
+    bits = placed.join(wanted.hint("merge"), "doc_id").select("chunk", "place").groupBy("chunk").applyInArrow(_bits, "chunk long, bits binary")
+    marked = chunks.join(F.broadcast(bits) if n <= BROADCAST_DOCS else bits, "chunk", "left").select("chunk", "blob", "bits")
+    ranges = max(1, -(-tokens // RANGE_TOKENS))
+    words = materialize(_returned(_sent(marked, "word_counts", ranges), least))
+    known, *sums = (x or 0 for x in words.agg(*[F.sum(c) for c in _SUMS]).first())
+    return PairModel(chunks, marked, words.select("chunk", "range", "blob"), ranges, known + 1, np.array(sums[:2], float), np.array(sums[2:], float), weight, least)
+
+
+def score_documents(model: PairModel) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss and score of every whole text of the model's corpus."""
+    weight, least, size, rare, tokens = model.weight, model.least, model.size, model.rare, model.tokens
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = sorted(zip(table.column("kind").to_pylist(), table.column("range").to_pylist(), table.column("blob").to_pylist(), strict=True))
+        chunk = Chunk(parts[0][2])
+        words, pairs = (np.concatenate([np.zeros((width, 0), np.int32), *(_opened(b)[0] for k, _, b in parts if k == kind)], 1) for kind, width in ((1, 4), (2, 2)))
+        loss = losses(chunk, words, pairs, size, rare, tokens, weight, least)
+        n = np.diff(chunk.first)
+        mean = np.stack([tx.per_text(loss[k], chunk.first) for k in (0, 1)]) / np.maximum(n, 1)
+        columns = [pa.array(chunk.ids, pa.int64(), mask=chunk.null), pa.array(n, pa.int64()), pa.array(mean[1]), pa.array(mean[0]), pa.array(mean[1] - mean[0])]
+        return pa.table(columns, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    parts = [df.select("chunk", F.lit(kind).alias("kind"), "range", "blob") for kind, df in enumerate((model.chunks.select("chunk", "blob").withColumn("range", F.lit(0).cast("long")), model.words, model.pairs()))]
+    out = parts[0].union(parts[1]).union(parts[2]).groupBy("chunk").applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
     return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return score_documents(docs, fit_models(docs, targets, id_col, text_col), id_col, text_col)
+    return score_documents(fit_models(docs, targets, id_col, text_col))

@@ -181,6 +181,41 @@ def test_counts_against_plain_counting(spark):
     assert sorted(model.pair[model.pair.sum(1) > 0].ravel().tolist()) == sorted([float(pairs[s, v, x]) for v, x in {k[1:] for k in pairs} for s in (False, True)])
 
 
+def test_losses_are_exact_beyond_any_fixed_number_of_words(spark):
+    """300,000 words and as many bigrams, most of them once: no count may be another word's or bigram's."""
+    from collections import Counter
+    from math import log
+
+    from lotlens.llm import lm_scoring as lm
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in range(a, a + 10_000)) for a in range(0, 300_000, 10_000)] + ["w1 w2 w1 w2 new w3", "w7 w8 w9", "w7 w8 w9"] + [" ".join(f"w{k}" for k in rng.integers(0, 50, 40)) for _ in range(8)]
+    df = frame(spark, texts)
+    marked = [i % 3 == 0 for i in range(len(texts))]
+    word, before, pair = ([Counter(), Counter()] for _ in range(3))
+    for i, t in enumerate(texts):
+        w = t.split()
+        word[marked[i]].update(w)
+        before[marked[i]].update(["^", *w[:-1]])
+        pair[marked[i]].update(zip(["^", *w[:-1]], w, strict=True))
+    model = lm.fit_models(df, df.filter("doc_id % 3 = 0"))
+    totals = Counter((float(pair[0][p]), float(pair[1][p])) for p in {*pair[0], *pair[1]})
+    assert Counter(map(tuple, model.pair.tolist())) == totals
+    every = word[0] + word[1]
+    known = {w for w, n in every.items() if n >= 2}
+    size = [sum(word[s].values()) for s in (0, 1)]
+    rare = [sum(n for w, n in word[s].items() if w not in known) for s in (0, 1)]
+    for r in lm.score_documents(model).collect():
+        w, loss = texts[r.doc_id].split(), [0.0, 0.0]
+        if len(w) > 100:
+            continue
+        for v, x in zip(["^", *w[:-1]], w, strict=True):
+            for s in (0, 1):
+                alone = (word[s][x] if x in known else rare[s]) + 1
+                loss[s] -= log(0.4 * alone / (size[s] + len(known) + 1) + 0.6 * pair[s][v, x] / max(before[s][v], 1)) / len(w)
+        assert (r.n_tokens, r.background_loss, r.target_loss, r.score) == pytest.approx((len(w), loss[0], loss[1], loss[1] - loss[0]), abs=2e-6)
+
+
 def test_wand_against_scoring_all(spark):
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     index = ItemIndex([(r.item_id, r.text) for r in items])
