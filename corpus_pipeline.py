@@ -16,7 +16,7 @@ from lotlens.llm.near_dedup import near_duplicates
 from lotlens.llm.packing import pack
 from lotlens.llm.pii import redact_pii
 from lotlens.llm.quality_classifier import classify_quality
-from lotlens.llm.queries import held_out, tokenizer_path
+from lotlens.llm.queries import held_out, tokenizer_added, tokenizer_path
 from lotlens.llm.spark_util import table
 
 
@@ -45,7 +45,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents with their sequences."""
-    return pack(docs, tokenizer_path())
+    return pack(docs, tokenizer_path(), added=tokenizer_added())
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:

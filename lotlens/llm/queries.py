@@ -11,7 +11,7 @@ from lotlens.llm.decontam import find_contamination
 from lotlens.llm.license_scan import scan_licenses
 from lotlens.llm.lm_scoring import cross_entropy_difference
 from lotlens.llm.near_dedup import near_duplicates
-from lotlens.llm.packing import pack
+from lotlens.llm.packing import added_tokens, pack
 from lotlens.llm.pii import find_pii
 from lotlens.llm.quality_classifier import classify_quality
 from lotlens.llm.quality_rules import apply_rules
@@ -26,6 +26,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def tokenizer_added() -> dict[str, int]:
+    import public_tokenizers
+
+    return added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never learnt."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -57,7 +63,7 @@ def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), added=tokenizer_added())
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

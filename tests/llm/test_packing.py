@@ -75,3 +75,22 @@ def test_pieces_are_the_tokens(spark):
             end += length
         assert end <= 1024
     assert pack(df.filter("false"), tokenizer_path()).count() == 0
+
+
+def test_added_tokens_in_plain_text_have_their_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    from lotlens.llm import queries
+
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b <|endoftext|", " \n<|endoftext|>\n x", "word " * 2000 + "<|endoftext|>" + " tail" * 1500, None, "none"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {}
+    for i, text in enumerate(texts):
+        ids, start = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4"), 0
+        for piece, length in enumerate(piece_lengths(len(ids), 1024)):
+            want[i, piece] = (start, length, crc32(ids[start : start + length].tobytes()))
+            start += length
+    for got in (queries.op7_linear_grouping_packing(spark, str(tmp_path)), corpus_pipeline.packing(spark, df, str(tmp_path))):
+        assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got.collect()} == want
