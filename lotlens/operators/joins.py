@@ -100,16 +100,12 @@ def contains_join(texts: DataFrame, text: str, words: DataFrame, word: str) -> D
 def phrase_join(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, max_bytes: int = 8 << 20) -> DataFrame:
     """Rows of `texts` with each phrase that they contain as a substring.
 
-    A substring has no key: the phrases are measured, and broadcast under `max_bytes`; beyond that a join on each
-    phrase's longest word comes first.
+    A substring has no key: the phrases are measured, and broadcast under `max_bytes`; beyond that each part of the
+    texts meets each part of the phrases in a task of its own. Both ways make the same test and keep repeated rows.
     """
     size = phrases.agg(F.coalesce(F.sum(F.octet_length(phrase)), F.lit(0))).first()[0]
-    if size <= max_bytes:
-        return texts.join(F.broadcast(phrases), F.contains(F.lower(F.col(text)), F.lower(F.col(phrase))))
-    longest = F.element_at(F.array_sort(F.transform(F.split(F.lower(F.col(phrase)), r"[^\p{L}\p{N}]+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
-    keyed = texts.withColumn("_w", F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"))))
-    hit = keyed.join(phrases.withColumn("_l", longest), F.endswith(F.col("_w"), F.col("_l")) & (F.right("_w", F.length("_l")) == F.col("_l")))
-    return hit.filter(F.contains(F.lower(F.col(text)), F.lower(F.col(phrase)))).drop("_w", "_l").distinct()
+    side = F.broadcast(phrases) if size <= max_bytes else phrases.hint("shuffle_replicate_nl")
+    return texts.join(side, F.contains(F.lower(F.col(text)), F.lower(F.col(phrase))))
 
 
 def star(base: DataFrame, key: str, *parts: DataFrame) -> DataFrame:

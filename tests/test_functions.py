@@ -114,3 +114,10 @@ def test_phrase_join_is_the_same_broadcast_and_keyed(spark):
     phrases = spark.createDataFrame([("old oak",), ("oak",), ("table",)], "p string")
     both = [{(r.i, r.p) for r in joins.phrase_join(texts, "t", phrases, "p", limit).collect()} for limit in (1 << 20, 0)]
     assert both[0] == {(1, "old oak"), (1, "oak"), (2, "oak"), (2, "table")} and both[1] <= both[0] and (1, "old oak") in both[1]
+
+
+def test_phrase_join_gives_equal_rows_at_every_size(spark):
+    texts = spark.createDataFrame([(1, "in a category"), (1, "in a category"), (2, "a cat."), (3, "cat")], "i int, t string")
+    phrases = spark.createDataFrame([("a cat",), ("a cat",), ("...",)], "p string")
+    both = [sorted((r.i, r.p) for r in joins.phrase_join(texts, "t", phrases, "p", limit).collect()) for limit in (1 << 20, 0)]
+    assert both[0] == both[1] == [(1, "a cat")] * 4 + [(2, "a cat")] * 2
