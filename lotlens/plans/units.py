@@ -24,11 +24,11 @@ def canonical_units(parts: list[DataFrame], key: str, unit: str, multi_source_co
     return merged.withColumn("confidence", raised)
 
 
-def with_placeholders(units: DataFrame, expected: DataFrame, key: str, unit: str, target: str, cap: int = 500) -> DataFrame:
-    """The units and, per building, placeholders for what is missing, numbered on from 1."""
+def with_placeholders(units: DataFrame, expected: DataFrame, key: str, unit: str, target: str) -> DataFrame:
+    """The units and, per building, placeholders for all that is missing, numbered on from 1."""
     found = units.groupBy(key).agg(F.count("*").alias("found"))
     gaps = agg.gap_analysis(expected.select(key, target), found, key, target, "found")
-    filled = joins.expand_gap(gaps, F.col("gap"), "_n", cap)
+    filled = joins.expand_gap(gaps, F.col("gap"), "_n")
     holes = filled.select(key, F.concat(F.lit("PLACEHOLDER_"), F.col("_n").cast("string")).alias(unit), F.lit(True).alias("is_placeholder"))
     return units.withColumn("is_placeholder", F.lit(False)).unionByName(holes, allowMissingColumns=True)
 

@@ -121,3 +121,12 @@ def test_phrase_join_gives_equal_rows_at_every_size(spark):
     phrases = spark.createDataFrame([("a cat",), ("a cat",), ("...",)], "p string")
     both = [sorted((r.i, r.p) for r in joins.phrase_join(texts, "t", phrases, "p", limit).collect()) for limit in (1 << 20, 0)]
     assert both[0] == both[1] == [(1, "a cat")] * 4 + [(2, "a cat")] * 2
+
+
+def test_placeholders_fill_the_whole_gap(spark):
+    from lotlens.plans.units import with_placeholders
+
+    units = spark.createDataFrame([(1, "1A"), (1, "1B"), (2, "x")], "key long, unit string")
+    expected = spark.createDataFrame([(1, 1203), (2, 1), (3, 22_000)], "key long, n int")
+    got = with_placeholders(units, expected, "key", "unit", "n").groupBy("key", "is_placeholder").agg(F.count_distinct("unit").alias("k")).collect()
+    assert {(r.key, r.is_placeholder): r.k for r in got} == {(1, False): 2, (1, True): 1201, (2, False): 1, (3, True): 22_000}
