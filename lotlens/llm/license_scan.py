@@ -58,6 +58,14 @@ class TokenAutomaton:
         self.accepting = end
         self.closure = [self._close(s) for s in range(len(self.words))]
         self.first = {w for s in self.closure[0] for w in self.words[s]}
+        self.needed = self._needed(markup.lower())
+
+    def _needed(self, markup: str) -> set[bytes]:
+        """Words of which every accepted run holds at least one: the longest mandatory word, else the first words."""
+        while (bare := re.sub(r"\[\[(?:(?!\[\[|\]\]).)*\]\]", " ", markup, flags=re.DOTALL)) != markup:
+            markup = bare
+        mandatory = re.findall(r"[^\s\[\]{}]+", re.sub(r"\{\{\d+\}\}", " ", markup))
+        return {max(mandatory, key=len).encode()} if mandatory else self.first
 
     def _state(self) -> int:
         self.words.append({})
@@ -130,8 +138,9 @@ class LicenseMatcher:
         for name, a in self.automata.items():
             for w in a.first:
                 self.by_first.setdefault(w, []).append(name)
-        #: Every label needs one of these, which stand in few texts.
-        self.gate = re.compile(rb"licen[sc]e|permission|redistribution|public domain|cc" + _SEPARATOR + rb"by|copyright")
+        #: Every label needs one of these, which stand in few texts: a text without them is accepted by nothing.
+        needed = [re.escape(w) for a in self.automata.values() for w in a.needed] + [_SEPARATOR.join(re.escape(w) for w in p.encode().split()) for p in phrases]
+        self.gate = re.compile(b"|".join(sorted(set(needed))) or b"(?!)")
         self.anchors = anchors
 
     def scan(self, lower: bytes) -> tuple[list[tuple[int, str]], list[tuple[int, int, str]]]:
@@ -149,6 +158,13 @@ class LicenseMatcher:
         return base, hits
 
 
+def gated(gate: re.Pattern[bytes], raw: bytes, offsets: np.ndarray) -> np.ndarray:
+    """Texts that the gate hits; a hit over the edge of two texts may hide one behind it, so it counts for both."""
+    spans = np.array([m.span() for m in gate.finditer(raw)], np.int64).reshape(-1, 2)
+    lo, hi = (np.searchsorted(offsets, x, "right") - 1 for x in (spans[:, 0], spans[:, 1] - 1))
+    return np.unique(np.concatenate([lo, *(np.arange(a, b + 1) for a, b in zip(lo, hi, strict=True) if a < b)]))
+
+
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_templates long"
 
 
@@ -168,8 +184,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 _, _, first = tx.words(data, offsets, tx.ALNUM_WORD)
                 n, raw = stop - row, data.tobytes()
                 out = {"n_base": [0] * n, "first_word": [None] * n, "last_word": [None] * n, "base_labels": [""] * n, "labels": [""] * n, "score": [0.0] * n, "n_templates": [0] * n}
-                gates = np.fromiter((m.start() for m in matcher.gate.finditer(raw)), np.int64)
-                for i in np.unique(np.searchsorted(offsets, gates, "right") - 1):
+                for i in gated(matcher.gate, raw, offsets):
                     base, hits = matcher.scan(raw[offsets[i] : offsets[i + 1]])
                     labels = {x for _, x in base}
                     if base:

@@ -97,3 +97,15 @@ def test_empty_tables(spark):
     empty = docs(spark).filter("false")
     for op in (scan_licenses, interleave_shards, apply_rules):
         assert op(empty).count() == 0
+
+
+def test_the_gate_lets_through_all_that_an_automaton_accepts(spark):
+    released = "This is free and unencumbered software released into the "
+    texts = [released + "public\n// domain", released + "public  domain", released + "public\tdomain", "nothing", None, "under the mit", " license"]
+    got = {r.doc_id: r for r in scan_licenses(docs(spark, texts)).collect()}
+    assert all((got[i].labels, got[i].score, got[i].n_templates) == ("unlicense", 1.0, 1) for i in range(3))
+    assert all(got[i].score == 0 for i in range(3, 7))
+    own = {"beer": "[[licence]] {{2}} buy me a beer [[permission]]", "free": "[[do]] [[what]]"}
+    texts = ["so buy me\na beer", "what", "see COPYING,\nplease", "buy a beer", "see", "copying please: see copying please"]
+    got = {r.doc_id: r for r in scan_licenses(docs(spark, texts), templates=own, phrases={"see copying please": "see"}).collect()}
+    assert [got[i].labels for i in range(6)] == ["beer", "free", "see", "", "", "see"]
