@@ -165,55 +165,108 @@ def test_language_scores_tell_the_corpora_apart(spark):
     assert got[0].n_tokens == 0 and got[0].score == 0 and got[2].score < 0 and cross_entropy_difference(odd.filter("false"), odd).count() == 0
 
 
-def test_counts_against_plain_counting(spark):
+def plain_losses(texts, marked, least=2, weight=0.6):
+    """Both losses of each text by plain counting, its own counts left out."""
     from collections import Counter
+    from math import log
 
+    split = [(t or "").split() for t in texts]
+    every = Counter(x for w in split for x in w)
+    split = [[x if every[x] >= least else "<unknown>" for x in w] for w in split]
+    size = sum(n >= least for n in every.values()) + 1
+    pairs = [list(zip(["<start>", *w], w, strict=False)) for w in split]
+    word, before, pair = ([Counter(), Counter()] for _ in range(3))
+    for w, p, side in zip(split, pairs, marked, strict=True):
+        word[side].update(w)
+        before[side].update(v for v, _ in p)
+        pair[side].update(p)
+    out = []
+    for w, p, mine in zip(split, pairs, marked, strict=True):
+        loss = [0.0, 0.0]
+        for side in (False, True):
+            own = [Counter(c) if side == mine else Counter() for c in (w, [v for v, _ in p], p)]
+            total = sum(word[side].values()) - sum(own[0].values())
+            for v, x in p:
+                chance = (word[side][x] - own[0][x] + 1) / (total + size)
+                if (n := before[side][v] - own[1][v]) > 0:
+                    chance = (1 - weight) * chance + weight * (pair[side][v, x] - own[2][v, x]) / n
+                loss[side] -= log(chance) / len(w)
+        out.append((len(w), loss[0], loss[1], loss[1] - loss[0]))
+    return out, pair
+
+
+def test_counts_and_losses_against_plain_counting(spark):
     from lotlens.llm import lm_scoring as lm
 
-    texts = ["a b a", "b c", None, "a b"]
+    rng = np.random.default_rng(6)
+    texts = ["a b a", "b c", None, "a b", "", "a b a", "q"] + [" ".join(f"w{k}" for k in rng.zipf(1.5, rng.integers(1, 60)) % 90) for _ in range(60)]
+    marked = [i % 3 == 0 for i in range(len(texts))]
     df = frame(spark, texts)
-    model = lm.fit_models(df, df.filter("doc_id in (0, 3)"))
-    pairs = Counter()
-    for i, t in enumerate(texts):
-        w = (t or "").split()
-        for v, x in zip(["^", *w], w, strict=False):
-            pairs[i in (0, 3), v, x] += 1
-    assert sorted(model.pair[model.pair.sum(1) > 0].ravel().tolist()) == sorted([float(pairs[s, v, x]) for v, x in {k[1:] for k in pairs} for s in (False, True)])
+    model = lm.fit_models(df.repartition(3), df.filter("doc_id % 3 = 0").select("doc_id"))
+    want, pair = plain_losses(texts, marked)
+    assert sorted(map(tuple, model.pair.tolist())) == sorted((float(pair[0][p]), float(pair[1][p])) for p in {*pair[0], *pair[1]})
+    got = {r.doc_id: (r.n_tokens, r.background_loss, r.target_loss, r.score) for r in lm.score_documents(model).collect()}
+    assert len(got) == len(texts)
+    for i, w in enumerate(want):
+        assert got[i] == pytest.approx(w, abs=2e-6), texts[i]
 
 
 def test_losses_are_exact_beyond_any_fixed_number_of_words(spark):
-    """300,000 words and as many bigrams, most of them once: no count may be another word's or bigram's."""
+    """300,000 words and as many bigrams, most of them twice: no count may be another word's or bigram's."""
     from collections import Counter
-    from math import log
 
     from lotlens.llm import lm_scoring as lm
 
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{k}" for k in range(a, a + 10_000)) for a in range(0, 300_000, 10_000)] + ["w1 w2 w1 w2 new w3", "w7 w8 w9", "w7 w8 w9"] + [" ".join(f"w{k}" for k in rng.integers(0, 50, 40)) for _ in range(8)]
+    texts += [" ".join(f"w{k}" for k in range(a, a + 30_000)) for a in range(0, 300_000, 30_000)]
     df = frame(spark, texts)
     marked = [i % 3 == 0 for i in range(len(texts))]
-    word, before, pair = ([Counter(), Counter()] for _ in range(3))
-    for i, t in enumerate(texts):
-        w = t.split()
-        word[marked[i]].update(w)
-        before[marked[i]].update(["^", *w[:-1]])
-        pair[marked[i]].update(zip(["^", *w[:-1]], w, strict=True))
     model = lm.fit_models(df, df.filter("doc_id % 3 = 0"))
-    totals = Counter((float(pair[0][p]), float(pair[1][p])) for p in {*pair[0], *pair[1]})
-    assert Counter(map(tuple, model.pair.tolist())) == totals
-    every = word[0] + word[1]
-    known = {w for w, n in every.items() if n >= 2}
-    size = [sum(word[s].values()) for s in (0, 1)]
-    rare = [sum(n for w, n in word[s].items() if w not in known) for s in (0, 1)]
+    want, pair = plain_losses(texts, marked)
+    assert Counter(map(tuple, model.pair.tolist())) == Counter((float(pair[0][p]), float(pair[1][p])) for p in {*pair[0], *pair[1]})
     for r in lm.score_documents(model).collect():
-        w, loss = texts[r.doc_id].split(), [0.0, 0.0]
-        if len(w) > 100:
-            continue
-        for v, x in zip(["^", *w[:-1]], w, strict=True):
-            for s in (0, 1):
-                alone = (word[s][x] if x in known else rare[s]) + 1
-                loss[s] -= log(0.4 * alone / (size[s] + len(known) + 1) + 0.6 * pair[s][v, x] / max(before[s][v], 1)) / len(w)
-        assert (r.n_tokens, r.background_loss, r.target_loss, r.score) == pytest.approx((len(w), loss[0], loss[1], loss[1] - loss[0]), abs=2e-6)
+        assert (r.n_tokens, r.background_loss, r.target_loss, r.score) == pytest.approx(want[r.doc_id], abs=2e-6)
+
+
+def test_models_sum_to_one_after_every_word():
+    from lotlens.llm.lm_scoring import _START, Chunk, Sums
+    from lotlens.llm.text import mixed
+
+    h = mixed(np.arange(1, 5, dtype=np.uint64))  # a b c, and d which stands once
+    tokens = h[[0, 1, 0, 2, 1, 0, 1, 2, 3]]
+    import pyarrow as pa
+
+    corpus = Chunk(Chunk.write(pa.array([1, 2]), np.array([0, 5, 9]), tokens))
+    sides = np.array([False, True])
+    words = corpus.word_counts(sides)[1]
+    known = words[:2].sum(0) >= 2
+    sums = Sums(4, words[:, ~known & (corpus.words != _START)].sum(1), words[:2].sum(1), 0.6, 2)
+    pairs, counts = corpus.pair_counts(sides, known)
+    every = np.append(h, _START)
+    total = dict(zip(corpus.words.tolist(), words.T.tolist(), strict=True))
+    both = dict(zip(pairs.tolist(), counts.T.tolist(), strict=True))
+    for v in h:  # a third document "v x" for each known x and one unknown word, whose own counts stand in neither model
+        chance = np.zeros(2)
+        for x in h:
+            new = Chunk(Chunk.write(pa.array([3]), np.array([0, 2]), np.array([v, x])))
+            seen = np.array([total.get(w, [0] * 4) for w in new.words.tolist()]).T
+            mine = new.word_counts(np.array([False]))[1]
+            keys, own = new.pair_counts(np.array([False]), seen[:2].sum(0) >= 2)
+            found = np.array([both.get(k, [0, 0]) for k in keys.tolist()]).T
+            rare = mine[:, (seen[:2].sum(0) < 2) & (new.words != _START)].sum(1)
+            with_it = Sums(4, sums.rare + rare, sums.tokens + [2, 0], 0.6, 2)
+            chance += np.exp(-with_it.losses(new, np.array([False]), np.where(seen[:2].sum(0) >= 2, seen + mine, seen), found + own)[:, 1])
+        assert chance == pytest.approx([1, 1])
+    assert len(every) == 5
+
+
+def test_membership_cannot_be_read_from_the_score(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    good = labels.filter("quality = 1").select("doc_id")
+    scores = {r.doc_id: r.score for r in cross_entropy_difference(docs, good.filter("pmod(xxhash64(doc_id), 2) = 0")).collect()}
+    sides = {r.doc_id: r.side for r in good.selectExpr("doc_id", "pmod(xxhash64(doc_id), 2) as side").collect() if r.doc_id in scores}
+    assert len(sides) > 1000 and 0.45 <= auc([scores[d] for d in sides], list(sides.values())) <= 0.55
 
 
 def test_wand_against_scoring_all(spark):
