@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from lotlens.llm import decontam, pii
-from lotlens.llm.decontam import ItemIndex, find_contamination
+from lotlens.llm.decontam import ItemIndex, drop_contaminated, find_contamination
 from lotlens.llm.lm_scoring import cross_entropy_difference
 from lotlens.llm.pii import find_pii, redact_pii
 from lotlens.llm.quality_classifier import classify_quality, fit_network
@@ -271,19 +271,20 @@ def test_membership_cannot_be_read_from_the_score(spark):
 
 def test_wand_against_scoring_all(spark):
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
-    index = ItemIndex([(r.item_id, r.text) for r in items])
+    index = ItemIndex.alone([(r.item_id, r.text) for r in items])
     rng = np.random.default_rng(2)
     for k in range(60):
         tokens = set(rng.integers(0, len(index.vocabulary), 40).tolist())
         if k % 2:
-            tokens |= {t for t, p in index.postings.items() if any(i == k % len(index.ids) for i, _ in p) and rng.random() < 0.7}
+            tokens |= {t for t in range(len(index.vocabulary)) if k % len(index.ids) in index.postings(t)[0] and rng.random() < 0.7}
         want = {}
         for t in tokens:
-            for i, x in index.postings[t]:
+            for i, x in zip(*index.postings(t), strict=True):
                 want[i] = want.get(i, 0) + x
-        for threshold in (0.1, 0.3, 0.6):
-            got = dict(index.search(sorted(tokens), threshold))
-            assert got == pytest.approx({i: s for i, s in want.items() if s >= threshold})
+        for threshold in (0.1, 0.3, 0.6, max(want.values()) / decontam.UNIT):
+            least = -int(-threshold * decontam.UNIT // 1)
+            got = dict(index.search(sorted(tokens), least))
+            assert got == {i: s for i, s in want.items() if s >= least} and (threshold < 0.99 or got)
 
 
 def test_contamination_against_brute_force(spark):
@@ -297,9 +298,54 @@ def test_contamination_against_brute_force(spark):
 
 def test_contamination_edges_and_several_indexes(spark, monkeypatch):
     monkeypatch.setattr(decontam, "INDEX_ITEMS", 7)
-    items = spark.createDataFrame([(i, " ".join(f"q{i}w{k}" for k in range(20)) + f". The answer{i} is a{i} b{i} c{i}") for i in range(30)] + [(90, None), (91, ""), (None, "q")], "item_id long, text string")
-    rows = {r.item_id: r.text for r in items.collect()}
-    texts = [None, "", "x", "w " * 3000 + rows[4] + " v" * 3000, rows[9].upper(), rows[9], rows[3].split(".")[0][:60], " ".join(f"u{k}" for k in range(500))]
-    got = {(r.doc_id, r.item_id) for r in find_contamination(frame(spark, texts), items).collect()}
-    assert got == {(3, 4), (4, 9), (5, 9)}
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 20_000)
+    items = [(i, " ".join(f"q{i}w{k}" for k in range(20)) + f". The answer{i} is a{i} b{i} c{i}") for i in range(30)] + [(90, None), (91, ""), (None, "q"), (4, "other words of four that stand nowhere else at all")]
+    long_item = " ".join(f"long{k}" for k in range(150)) + ". and its end"
+    items = spark.createDataFrame([*items, items[9], (95, long_item)], "item_id long, text string").selectExpr("*", "1 as part", "2 as n", "3 as h", "4 as step")
+    rows = {r.item_id: r.text for r in items.filter("text not like 'other%'").collect()}
+    texts = [None, "", "x", "w " * 3000 + rows[4] + " v" * 3000, rows[9].upper(), rows[9], rows[3].split(".")[0][:60], " ".join(f"u{k}" for k in range(500)), "z " * 130 + long_item + " z" * 50]
+    got = sorted((r.doc_id, r.item_id) for r in find_contamination(frame(spark, texts), items).collect())
+    assert got == [(3, 4), (4, 9), (5, 9), (8, 95)]
+    assert {r.doc_id for r in drop_contaminated(frame(spark, texts), items).collect()} == {0, 1, 2, 6, 7}
+    assert drop_contaminated(frame(spark, texts), items).columns == frame(spark, texts).columns
     assert find_contamination(frame(spark, texts).filter("false"), items).count() == 0 == find_contamination(frame(spark, texts), items.filter("false")).count()
+    assert drop_contaminated(frame(spark, texts), items.filter("false")).count() == len(texts)
+
+
+@pytest.mark.parametrize("n", [60, 1200])
+def test_results_do_not_depend_on_the_parts(spark, monkeypatch, n):
+    """Items of several length classes that share their words; documents hold half of an item, all, or parts of two."""
+    rng = np.random.default_rng(n)
+    words = [f"w{k}" for k in range(40 * n)]
+    some = lambda k: " ".join(rng.choice(words, k))
+    rows = [(i, some(int(rng.choice([12, 40, 90, 300]))) + ". " + some(6)) for i in range(n)]
+    texts = [some(200) + " " + " ".join(t.split()[: max(1, int(len(t.split()) * part))]) + " " + some(30) for (_, t), part in zip(rows, rng.choice([0.3, 0.5, 0.6, 1.0], 40), strict=False)]
+    items, docs = spark.createDataFrame(rows, "item_id long, text string"), frame(spark, texts)
+    seen = []
+    for size, sent in ((50, 64 << 20), (500, 64 << 20), (50, 2_000 * n)):
+        monkeypatch.setattr(decontam, "INDEX_ITEMS", size)
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", sent)
+        seen.append(sorted(map(tuple, find_contamination(docs, items).collect())))
+    assert len(seen[0]) > 10 and seen[0] == seen[1] == seen[2]
+    if n == 60:  # all items scored for all passages, by the definition
+        df, hashed = {}, [(i, t, re.findall(r"[a-z0-9]+", t)) for i, t in rows]
+        for *_, w in hashed:
+            for x in set(w):
+                df[x] = df.get(x, 0) + 1
+        mean, want = np.mean([len(w) for *_, w in hashed]), set()
+        for i, t, w in hashed:
+            impact = {x: np.log1p((n - df[x] + 0.5) / (df[x] + 0.5)) * (c := w.count(x)) * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x in set(w)}
+            step = next(s for s in (64, 256, 1024) if s >= len(w))
+            grams = lambda ws: {tuple(ws[k : k + min(5, len(ws))]) for k in range(len(ws) - min(5, len(ws)) + 1)}
+            q, a = (p.split() for p in t.split(". "))
+            for d, text in enumerate(texts):
+                v = re.findall(r"[a-z0-9]+", text)
+                for lo in range(0, len(v), step):
+                    p = v[lo : lo + 2 * step]
+                    if sum(x for k, x in impact.items() if k in set(p)) < 0.5 * sum(impact.values()):
+                        continue
+                    here = {k: {tuple(p[x : x + k]) for x in range(len(p) - k + 1)} for k in range(1, 6)}
+                    share = lambda ws: np.mean([g in here[len(g)] for g in grams(ws)])
+                    if min(share(q), share(a)) >= 0.5 or share(w) >= 0.5:
+                        want.add((d, i))
+        assert {(d, i) for d, i, *_ in seen[0]} == want
