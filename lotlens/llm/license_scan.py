@@ -4,7 +4,8 @@ Markup of a template: plain words are mandatory, ``[[ ... ]]`` is an optional re
 of up to n words. A template becomes an automaton over words; it is run from every place where one of its first
 words stands, so a licence is found anywhere in a text and with any punctuation, case or line breaks between words.
 
-Nulls and empty texts have no words and no labels; repeated rows give repeated results; texts are read whole.
+Nulls and empty texts have no words and no labels; repeated rows give repeated results; texts are read whole. An
+empty table gives an empty result. Labels found more than once are given once; no other column is looked at.
 """
 
 from __future__ import annotations
@@ -133,7 +134,6 @@ class LicenseMatcher:
     def __init__(self, templates: dict[str, str], phrases: dict[str, str]):
         self.automata = {name: TokenAutomaton(m) for name, m in templates.items()}
         self.phrases = [(re.compile(rb"(?<!" + _EDGE + rb")" + _SEPARATOR.join(p.encode().split()) + rb"(?!" + _EDGE + rb")"), label) for p, label in phrases.items()]
-        anchors = {w for a in self.automata.values() for w in a.first} | {p.encode().split()[0] for p in phrases}
         self.by_first: dict[bytes, list[str]] = {}
         for name, a in self.automata.items():
             for w in a.first:
@@ -141,10 +141,9 @@ class LicenseMatcher:
         #: Every label needs one of these, which stand in few texts: a text without them is accepted by nothing.
         needed = [re.escape(w) for a in self.automata.values() for w in a.needed] + [_SEPARATOR.join(re.escape(w) for w in p.encode().split()) for p in phrases]
         self.gate = re.compile(b"|".join(sorted(set(needed))) or b"(?!)")
-        self.anchors = anchors
 
     def scan(self, lower: bytes) -> tuple[list[tuple[int, str]], list[tuple[int, int, str]]]:
-        """Base places as (word index, label), accepted templates as (first word, end word, label)."""
+        """Base places as (word index, label), accepted templates as (first word, end word, label), none inside another of its label."""
         spots = [(m.start(), label) for pattern, label in self.phrases for m in pattern.finditer(lower)]
         found = [(m.start(), m[0]) for m in _WORD.finditer(lower)]
         starts, tokens = [s for s, _ in found], [t for _, t in found]
@@ -155,7 +154,13 @@ class LicenseMatcher:
             for name in self.by_first.get(token, ()):
                 if (end := self.automata[name].match(tokens, i)) > i:
                     hits.append((i, end, LABEL_OF.get(name, name)))
-        return base, hits
+        # a run inside another of its label is the same notice
+        outer, reach = [], {}
+        for i, end, label in sorted(hits, key=lambda h: (h[0], -h[1], h[2])):
+            if end > reach.get(label, -1):
+                outer.append((i, end, label))
+                reach[label] = end
+        return base, outer
 
 
 def gated(gate: re.Pattern[bytes], raw: bytes, offsets: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lotlens.llm.spark_util import exact_rank, materialize, pick
 
 END_ID = 2
-CELL_ROWS = 4_000
+CELL_ROWS = 500
 #: Groups of large lengths, and the part of the capacity from which a length is large.
 GROUPS, LARGE_PART = 1024, 3
 
@@ -231,7 +231,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, added: dict[str, int] | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece."""
-    pieces = materialize(tokenise(docs, tokenizer_path, id_col, text_col, capacity, added=added))
+    pieces = materialize(tokenise(docs, tokenizer_path, id_col, text_col, capacity, added=added).withColumn("row", F.monotonically_increasing_id()))
     histogram = pieces.groupBy("length").agg(F.count("*").alias("n"))
     plan = PackingPlan({r.length: r.n for r in histogram.collect()}, capacity)  # a row for each length at most
     by_length: dict[int, np.ndarray] = {}
@@ -253,6 +253,6 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     # at most `capacity` rows
-    celled = pieces.join(F.broadcast(histogram), "length").withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.ceil(F.col("n") / CELL_ROWS)))
-    ranked = exact_rank(celled, ["length", "cell"], ["length"], ["cell"], ["doc_id", "piece", "ids_crc32"])
+    celled = pieces.join(F.broadcast(histogram), "length").withColumn("cell", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / CELL_ROWS)))
+    ranked = exact_rank(celled, ["length"], "cell", ["row"])
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import Row
 
-from lotlens.llm.license_scan import BASE_PHRASES, TokenAutomaton, scan_licenses
+from lotlens.llm.license_scan import BASE_PHRASES, TEMPLATES, TokenAutomaton, scan_licenses
 from lotlens.llm.quality_rules import apply_rules, host_verdicts
 from lotlens.llm.sharding import interleave_shards
 
@@ -66,6 +66,50 @@ def test_shards_hold_every_source_in_its_share(spark):
         assert by[r.doc_id].size == len(raw) + 1 and by[r.doc_id].text_crc32 == zlib.crc32(raw)
 
 
+def placed_by_hand(spark, df, shards, seed=17):
+    """(doc_id, source, shard, slot) by sorting all rows, with the operator's own uniform numbers."""
+    from pyspark.sql import functions as F
+
+    text = F.coalesce("text", F.lit(""))
+    unit = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    u = unit(F.lit(seed), "doc_id", F.xxhash64(text), F.crc32(text.cast("binary")))
+    rows = df.select("doc_id", "source", u.alias("u"), unit(F.lit(seed + 1), "source").alias("v")).collect()
+    ordered = []
+    for source in {r.source for r in rows}:
+        mine = sorted((r for r in rows if r.source == source), key=lambda r: r.u)
+        ordered += [((k + r.v) / len(mine), r) for k, r in enumerate(mine)]
+    ordered.sort(key=lambda x: x[0])
+    out, n, begin = [], len(rows), {}
+    for k, (_, r) in enumerate(ordered):
+        shard = k * shards // n
+        out.append((r.doc_id, r.source, shard, k - begin.setdefault(shard, k)))
+    return sorted(out, key=str)
+
+
+def test_shards_against_sorting_by_hand(spark):
+    rows = [Row(doc_id=i, text=None if i % 9 == 0 else f"text {i % 400}", source="hot" if i % 3 == 0 else [None, "", "\0", "s1", "s2"][i % 5]) for i in range(1501)]
+    df = spark.createDataFrame(rows)
+    for n, cells in ((16, 40), (7, 5000)):
+        got = interleave_shards(df, shards=n, cell_rows=cells).collect()
+        assert sorted(((r.doc_id, r.source, r.shard, r.slot) for r in got), key=str) == placed_by_hand(spark, df, n)
+
+
+def test_no_value_stands_for_a_null_source(spark):
+    rows = [(i, "t", None if i % 2 else "\0") for i in range(20)]
+    got = interleave_shards(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=4).collect()
+    assert len(got) == 20 and {(r.doc_id, r.source) for r in got} == {(i, s) for i, _, s in rows}
+
+
+def test_alike_rows_are_dealt_over_all_shards(spark):
+    df = spark.createDataFrame([(None, "same", "s")] * 2000 + [(7, "x", "s")] * 2000 + [(i, "y", "t") for i in range(500)], "doc_id long, text string, source string")
+    got = interleave_shards(df, cell_rows=50).collect()
+    count = Counter((r.shard, r.doc_id if r.source == "s" else "t") for r in got)
+    assert len(got) == 4500 and {s for s, _ in count} == set(range(16))
+    for s in range(16):
+        assert count[s, None] > 60 and count[s, 7] > 60 and 25 <= count[s, "t"] <= 37
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(n for (x, _), n in count.items() if x == s)))
+
+
 def brute_rules(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
@@ -109,3 +153,10 @@ def test_the_gate_lets_through_all_that_an_automaton_accepts(spark):
     texts = ["so buy me\na beer", "what", "see COPYING,\nplease", "buy a beer", "see", "copying please: see copying please"]
     got = {r.doc_id: r for r in scan_licenses(docs(spark, texts), templates=own, phrases={"see copying please": "see"}).collect()}
     assert [got[i].labels for i in range(6)] == ["beer", "free", "see", "", "", "see"]
+
+
+def test_one_notice_is_one_template(spark):
+    notice = TEMPLATES["mit"].replace("[[copyright [[c]] {{10}}]]", "Copyright (c) 2020 Some Body").replace("[[including the next paragraph]]", "")
+    text = notice + " under the mit license. " + "released under the mit license"
+    got = scan_licenses(docs(spark, [notice, text, None])).collect()
+    assert [r.n_templates for r in got if r.doc_id < 3][:3] == [1, 3, 0]
