@@ -14,6 +14,9 @@ so nothing is capped.
 
 A pair of similarity J meets in a tree with a chance of at least J * (1 - (1 - J)^2)^2: with 10 trees, under 1e-7 of
 pairs at J = 0.85 never meet.
+
+Sets are compared as 64-bit hashes of their shingles: a link could only be wrong where two shingles of one pair of
+documents share a hash, for sets of 10,000 a chance of 1e-11. Classes of equal sets are told by 128 bits.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lotlens.llm import text as tx
 from lotlens.llm.components import connected_components
@@ -226,7 +230,7 @@ def candidate_clusters(classes: DataFrame, percent: int) -> DataFrame:
     for s in small[1:]:
         rows = rows.union(s)
     # independent trees often hold the same members: each set of members is compared once
-    nodes = rows.groupBy("node").agg(F.sort_array(F.collect_list("cls")).alias("members")).groupBy(F.xxhash64("members").alias("grp")).agg(F.first("members").alias("members"))
+    nodes = rows.groupBy("node").agg(F.sort_array(F.collect_list("cls")).alias("members")).groupBy(F.sha2(F.array_join(F.transform("members", F.hex), ""), 256).alias("grp")).agg(F.first("members").alias("members"))
     once = nodes.select("grp", F.explode("members").alias("cls")).join(sketches, "cls")
     hot = level.filter(F.col("size") > NODE)
     alike = skew_join(hot, hot.groupBy("node").agg(F.min("cls").alias("a")), "node").select("a", F.col("cls").alias("b")).distinct()
@@ -234,39 +238,58 @@ def candidate_clusters(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _confirm_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of the wanted classes, each once a task: rows without an id, or with one id and text, are read as often as they stand."""
+    done: set[bytes] = set()
     for batch in batches:
         expected = batch.column(1).to_pylist()
         for row, stop, data, offsets in tx.slices(batch.column(0)):
             sets, begin = shingle_sets(data, offsets)
             raw = [sets[begin[i] : begin[i + 1]].tobytes() for i in range(stop - row)]
-            same = [i for i in range(stop - row) if xxhash.xxh128_digest(raw[i]) == expected[row + i]]
+            same = []
+            for i in range(stop - row):
+                if expected[row + i] not in done and xxhash.xxh128_digest(raw[i]) == expected[row + i]:
+                    done.add(expected[row + i])
+                    same.append(i)
             kept = [batch.column(k).slice(row, stop - row).take(pa.array(same, pa.int64())) for k in (2, 3, 4)]
             yield pa.RecordBatch.from_arrays([pa.array([expected[row + i] for i in same], pa.binary()), *kept, pa.array([raw[i] for i in same], pa.binary())], ["cls", "grp", "size", "weight", "payload"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and class_size (documents with the same set) for every document.
+    """doc_id, n_shingles, component_id, kept and class_size (rows with the same set) for every row.
 
-    Documents are linked if 100 * shared >= percent * united distinct five-word shingles of the texts, A-Z
-    lower-cased; a text of one to four words is one shingle. Null and empty texts have no set and are linked with
-    nothing. component_id is the smallest doc_id reachable; rows with equal ids are one document; a row without
-    an id takes part in links, and stands alone if nothing with an id is reached. An empty table gives no rows.
+    Rows are linked if 100 * shared >= percent * united distinct five-word shingles of the texts, A-Z lower-cased; a
+    text of one to four words is one shingle. Null and empty texts have no set and are linked with nothing by their
+    texts. Rows with one id are one document, whatever their texts: what one of them is linked with, all are.
+    component_id is the smallest id reachable; a row without an id takes part in links, and stands alone if nothing
+    with an id is reached. An empty table gives no rows. Ids may be of any type that can be ordered.
     """
-    text = docs[text_col]
-    keyed = pick(docs, row_key=F.coalesce(docs[id_col].cast("long"), F.xxhash64(text)), doc_id=docs[id_col].cast("long"), text=text)
-    signed = materialize(keyed.mapInArrow(_sign, "row_key long, doc_id long, n_shingles long, cls binary, keys array<long>, sketch binary"))
+    kind = docs.schema[id_col].dataType
+    doc_id = docs[id_col].cast("long") if isinstance(kind, IntegralType) else docs[id_col]
+    kind = "long" if isinstance(kind, IntegralType) else kind.simpleString()
+    keyed = pick(docs, row_key=F.xxhash64(F.when(doc_id.isNull(), docs[text_col]), doc_id), doc_id=doc_id, text=docs[text_col])
+    signed = materialize(keyed.mapInArrow(_sign, f"row_key long, doc_id {kind}, n_shingles long, cls binary, keys array<long>, sketch binary"))
     some = signed.filter("n_shingles > 0")
     classes = materialize(some.groupBy("cls").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
     clusters = candidate_clusters(classes, percent)
     members = clusters.withColumnRenamed("node", "cls").join(classes.select("cls", "row_key", "n"), "cls")
     sized = members.groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
-    wanted = materialize(members.join(sized, "label").select("row_key", "cls", F.xxhash64("label").alias("grp"), "size", "weight"))
+    wanted = materialize(skew_join(members, sized, "label").select("row_key", "cls", F.xxhash64("label").alias("grp"), "size", "weight"))
     read = keyed.join(wanted.select("row_key", "cls", "grp", "size", "weight"), "row_key").select("text", "cls", "grp", "size", "weight")
     full = materialize(read.mapInArrow(_confirm_sets, "cls binary, grp long, size long, weight long, payload binary"))
     labels = exact_labels(full, percent)
+    # ids that stand in several classes, or beside a row without a set, and one class of each: they bind their classes
+    shared = signed.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count("cls").alias("sets"), F.min("cls").alias("one"), F.max("cls").alias("other"))
+    shared = materialize(shared.filter("rows > 1 and sets > 0 and (sets < rows or one <> other)").select("doc_id", "one"))
+    bound = shared.limit(1).count() > 0
+    if bound:
+        same_id = signed.select("doc_id", "cls").join(shared, "doc_id").filter("cls is not null").select(F.col("one").alias("a"), F.col("cls").alias("b")).distinct()
+        labels = connected_components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).union(same_id))
     rooted = classes.select("cls", "least", "class_size").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("label", "cls"))
-    roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    resolved = rooted.join(roots, "root").select("cls", "class_size", "component_id")
-    out = signed.select("doc_id", "n_shingles", "cls").join(resolved, "cls", "left")
+    resolved = skew_join(rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "class_size", "component_id")
+    rows = signed.select("doc_id", "n_shingles", "cls").withColumn("place", F.col("cls"))
+    if bound:  # a row without a set stands where its id stands
+        rows = rows.join(shared, "doc_id", "left").withColumn("place", F.coalesce("cls", "one")).select(*rows.columns)
+    out = rows.join(resolved.withColumnRenamed("cls", "place"), "place", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("class_size", F.lit(0)).alias("class_size"))
+    size = F.when(F.col("cls").isNotNull(), F.col("class_size")).otherwise(0)
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce(size, F.lit(0)).cast("long").alias("class_size"))

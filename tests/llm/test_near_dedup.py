@@ -81,6 +81,23 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert near_duplicates(df.filter("false")).count() == 0
 
 
+def test_rows_with_one_id_are_one_document(spark):
+    a, c = " ".join(f"a{k}" for k in range(60)), " ".join(f"c{k}" for k in range(60))
+    rows = [(5, a), (5, c), (1, a + " x"), (9, c + " y"), (20, None), (20, c + " z"), (30, ""), (30, "alone it stands"), (40, "nothing near")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 9 and {(r.doc_id, r.component_id) for r in got} == {(5, 1), (1, 1), (9, 1), (20, 1), (30, 30), (40, 40)}
+    assert [r.n_shingles for r in got if r.doc_id == 20 and r.class_size == 0] == [0]
+
+
+def test_many_rows_without_an_id_and_ids_of_any_type(spark):
+    copies = [(None, "one text that stands in very many rows without an id")] * 3000 + [(4, "one text that stands in very many rows without an id at all")]
+    got = near_duplicates(spark.createDataFrame(copies, "doc_id long, text string"), percent=70).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, got), key=str) == [(4, 4, 1), (None, 4, 3000)]
+    named = spark.createDataFrame([("b", "x y z"), ("a", "X y  z"), ("c", None)], "doc_id string, text string")
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(named).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+    assert {(r.doc_id.n, r.component_id.n) for r in near_duplicates(named.selectExpr("struct(doc_id as n, 1 as m) as doc_id", "text")).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+
+
 def test_sketch_cut_keeps_pairs_at_the_threshold():
     assert 60 < sketch_cut(85) < 100 and sketch_cut(80) < sketch_cut(85)
 
