@@ -2,12 +2,16 @@
 
 Texts are tokenised once. A text of over `capacity` tokens is cut into full pieces behind a shorter first one; every
 other piece is packed whole. The plan is made from the histogram of piece lengths alone, at most `capacity` numbers:
-large lengths are rounded up to the largest of their equal-cardinality group, configurations of these few sizes are
-chosen by their fill, the pieces themselves take the rounded places, and small lengths go best-fit into what is left.
-Each plan entry places a range of ranks of one length; the pieces' exact ranks, found by Spark, turn it into places.
-
-Null and empty texts hold only the end token. Rows with equal or null ids are packed one by one. An empty table
-gives no pieces.
+large lengths are sorted into groups of equal cardinality, at most `GROUPS`, and rounded up to the largest of their
+group. The linear programme over all configurations of these few sizes is solved by column generation (a knapsack
+finds the configuration that most improves the last solution). The pieces themselves then take the rounded places of
+its at most `GROUPS` configurations, all but the smallest of each: that one, what whole numbers of uses leave over and
+all small lengths go best-fit, by falling length, into the room that is really left, so that most of what rounding up
+gave away is won back. Each plan entry places a range of ranks of one length; the pieces' exact ranks, found by Spark,
+turn it into places.
+
+Null and empty texts hold only the end token. Rows with equal or null ids are packed one by one, alike pieces in the
+order of the table. An empty table gives no pieces. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -31,30 +35,79 @@ from lotlens.llm.spark_util import exact_rank, materialize, pick
 END_ID = 2
 CELL_ROWS = 500
 #: Groups of large lengths, and the part of the capacity from which a length is large.
-GROUPS, LARGE_PART = 1024, 3
+GROUPS, LARGE_PART = 64, 5
+#: Part of a configuration's uses that is planned; the rest is left to best fit, which knows the pieces' own lengths.
+PLANNED = 0.6
+#: Columns that may be generated; a solution is feasible after each of them.
+MOST_COLUMNS = 4000
+
+
+def best_config(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The most valuable configuration (how often each size) that fits, by a knapsack."""
+    best = np.zeros(capacity + 1)
+    taken = np.zeros((len(sizes), capacity + 1), np.int16)
+    for g, (size, value) in enumerate(zip(sizes.tolist(), worth.tolist(), strict=True)):
+        before = best.copy()
+        for m in range(1, capacity // size + 1 if value > 0 else 1):
+            with_it = before[: capacity + 1 - m * size] + m * value
+            better = with_it > best[m * size :] + 1e-12
+            best[m * size :][better] = with_it[better]
+            taken[g, m * size :][better] = m
+    config, room = np.zeros(len(sizes), np.int64), int(np.argmax(best))
+    for g in range(len(sizes) - 1, -1, -1):
+        config[g] = taken[g, room]
+        room -= int(config[g] * sizes[g])
+    return float(best.max()), config
+
+
+def solve_configs(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[np.ndarray, float]]:
+    """Configurations and how often each is used, in fractions, so that the demand is met by the fewest sequences.
+
+    The simplex method on the demand's rows; columns are generated by `best_config` from the prices of the sizes.
+    """
+    size, need = np.array(sizes), np.array(demand, float)
+    columns = [np.eye(len(sizes), dtype=np.int64)[g] * (capacity // x) for g, x in enumerate(sizes)]
+    basis = np.array(columns, float).T
+    used = np.linalg.solve(basis, need)
+    for _ in range(MOST_COLUMNS):
+        price = np.linalg.solve(basis.T, np.ones(len(sizes)))
+        value, config = best_config(size, price, capacity)
+        if value <= 1 + 1e-9:
+            break
+        change = np.linalg.solve(basis, config.astype(float))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(change > 1e-9, used / change, np.inf)
+        out = int(np.argmin(ratio))
+        used = np.maximum(used - ratio[out] * change, 0)
+        used[out] = ratio[out]
+        basis[:, out], columns[out] = config, config
+    return list(zip(columns, used.tolist(), strict=True))
 
 
-def config_fill(sizes: list[int], left: list[int], first: int, capacity: int) -> list[int]:
-    """Group numbers of the fullest configuration with group `first`: a knapsack over the sizes that are left.
+def linear_groups(counts: dict[int, int], most: int) -> list[list[list[int]]]:
+    """(length, pieces) by falling length in groups of equal cardinality; a length may be in two groups.
 
-    Ties go to the configuration of larger sizes, since small ones are easier to place later.
+    Groups that are rounded to one size are one.
     """
-    room = capacity - sizes[first]
-    reach: list[tuple[int, ...] | None] = [None] * (room + 1)
-    reach[0] = ()
-    best = 0
-    for g in range(len(sizes)):  # sizes descend
-        size, have = sizes[g], left[g] - (g == first)
-        if size > room or have <= 0:
-            continue
-        for total in range(size, room + 1):
-            before = reach[total - size]
-            if reach[total] is None and before is not None and sum(x == g for x in before) < have:
-                reach[total] = (*before, g)
-                best = max(best, total)
-        if best == room:
-            break
-    return [first, *(reach[best] or ())]
+    share = -(-sum(counts.values()) // most)
+    groups: list[list[list[int]]] = []
+    filled = share
+    for length in sorted(counts, reverse=True):
+        n = counts[length]
+        while n:
+            if filled == share:
+                groups.append([])
+                filled = 0
+            take = min(n, share - filled)
+            groups[-1].append([length, take])
+            filled, n = filled + take, n - take
+    merged: list[list[list[int]]] = []
+    for g in groups:
+        if merged and merged[-1][0][0] == g[0][0]:
+            merged[-1] += g
+        else:
+            merged.append(g)
+    return merged
 
 
 class PackingPlan:
@@ -68,10 +121,17 @@ class PackingPlan:
         self.open: dict[int, list[tuple[int, int]]] = {}
         self.rooms: list[int] = []
         least_large = capacity // LARGE_PART + 1
-        large = {x: n for x, n in counts.items() if x >= least_large and n}
-        self._large(large)
-        for x in sorted((x for x, n in counts.items() if x < least_large and n), reverse=True):
-            self._best_fit(x, counts[x])
+        rest = {x: n for x, n in counts.items() if n}
+        self._alone(rest.pop(capacity, 0))
+        over = self._large({x: n for x, n in rest.items() if x >= least_large})
+        for x in sorted((over | {x: n for x, n in rest.items() if x < least_large}).items(), reverse=True):
+            self._best_fit(*x)
+
+    def _alone(self, n: int) -> None:
+        """Full pieces are sequences as they are."""
+        if n:
+            self._place(self.capacity, n, self.sequences, 1, 0)
+            self.sequences += n
 
     def _place(self, length: int, pieces: int, first: int, each: int, offset: int) -> None:
         self.entries.append((length, self.used[length], pieces, first, each, offset))
@@ -84,38 +144,19 @@ class PackingPlan:
                 insort(self.rooms, room)
             self.open[room].append((first, end))
 
-    def _large(self, counts: dict[int, int]) -> None:
-        total = sum(counts.values())
-        if not total:
-            return
-        share = -(-total // GROUPS)
-        groups: list[list[list[int]]] = [[]]  # (length, pieces) by falling length; a length may be in two groups
-        filled = 0
-        for length in sorted(counts, reverse=True):
-            n = counts[length]
-            while n:
-                if filled == share:
-                    groups.append([])
-                    filled = 0
-                take = min(n, share - filled)
-                groups[-1].append([length, take])
-                filled, n = filled + take, n - take
-        merged: list[list[list[int]]] = []
-        for g in groups:  # groups that are rounded to one size are one
-            if merged and merged[-1][0][0] == g[0][0]:
-                merged[-1] += g
-            else:
-                merged.append(g)
-        groups = merged
-        sizes = [g[0][0] for g in groups]
-        left = [sum(n for _, n in g) for g in groups]
-        for g in range(len(groups)):
-            while left[g]:
-                config = config_fill(sizes, left, g, self.capacity)
-                times = min(left[x] // config.count(x) for x in set(config))
-                for x in config:
-                    left[x] -= times
-                self._substitute([groups[x] for x in config], times)
+    def _large(self, counts: dict[int, int]) -> dict[int, int]:
+        """Places all but a few large pieces; gives those that are left over by length."""
+        groups = linear_groups(counts, GROUPS)
+        if not groups:
+            return {}
+        for config, used in solve_configs([g[0][0] for g in groups], [sum(n for _, n in g) for g in groups], self.capacity):
+            if times := int(PLANNED * used + 1e-6):
+                slots = [groups[g] for g in np.flatnonzero(config) for _ in range(config[g])]
+                self._substitute(slots[:-1] or slots, times)
+        over: defaultdict[int, int] = defaultdict(int)
+        for length, n in (x for g in groups for x in g):
+            over[length] += n
+        return dict(over)
 
     def _substitute(self, slots: list[list[list[int]]], times: int) -> None:
         """The slots' pieces in order, `times` of each; runs of sequences with equal lengths are placed at once.
