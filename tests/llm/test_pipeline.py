@@ -95,8 +95,38 @@ def test_odd_rows_go_through_all_stages(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0), (None, 0, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in out} == {1, 2, 3, 4, None} and sum(r.doc_id is None for r in out) == 2 and sum(r.doc_id == 3 for r in out) == 1
+    assert {r.doc_id for r in out} == {1, 2, 3, 4, None} and sum(r.doc_id is None for r in out) == 1 and sum(r.doc_id == 3 for r in out) == 1
     (tmp_path / "empty").mkdir()
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tmp_path}/{t}.parquet").filter("false").write.parquet(f"{tmp_path}/empty/{t}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def good_text(spark, n, seed):
+    """Texts of the small tables that the labels call good and that hold no item of the benchmark."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels.filter("quality = 1"), "doc_id").filter("n_chars > 400").select("doc_id", "text").orderBy("doc_id").collect()
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    return [r.text for r in rows if not any(i in r.text for i in items)][seed : seed + n]
+
+
+def test_rows_are_judged_one_by_one_whatever_their_ids(spark):
+    """Rows without an id and different rows with one id go or stay by their own texts, in every filtering stage."""
+    a, b, c, d = good_text(spark, 4, 11)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    bad = "$$$ ### buy now $$$ " * 60
+    rows = [(None, a), (None, bad), (5, b), (5, bad), (5, c), (None, item), (5, d + " " + item), (None, None), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'es' as lang", "cast(null as string) as source", "cast(length(text) as long) as n_chars")
+    clean = sorted(map(tuple, corpus_pipeline.decontaminate(spark, docs, SF).select("doc_id", "text").collect()), key=str)
+    assert clean == sorted([r for r in rows if not (r[1] or "").endswith(item)], key=str)
+    copies = docs.union(docs).union(docs.selectExpr("9 as doc_id", "text", "lang", "source", "n_chars").filter("text is not null"))
+    left = sorted(map(tuple, corpus_pipeline.dedup(spark, copies, SF).select("doc_id", "text").collect()), key=str)
+    # the least id of each text; rows without a text are near to nothing
+    assert left == sorted([(9, a), (5, bad), (5, b), (5, c), (9, item), (5, d + " " + item), (None, None), (None, None), (7, None), (7, None)], key=str)
+
+
+def test_quality_judges_texts_alone(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, SF).select("doc_id").collect()}
+    nameless = corpus_pipeline.quality(spark, docs.union(docs.selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "n_chars")), SF)
+    assert sum(r.doc_id is not None for r in nameless.collect()) == pytest.approx(len(kept), rel=0.02) and nameless.filter("doc_id is null").count() == pytest.approx(len(kept), rel=0.02)
