@@ -1,12 +1,16 @@
 """Quality rules by host: rule failures per host, shrunk by an empirical beta prior, and joined back to documents.
 
-Every document gets counts and rule failures of its own. Per host the failing share is shrunk towards a beta prior
-whose two parameters are fitted to all hosts by moments, so a host with few documents is not judged by chance. The
-verdict of a host sets how many soft failures its documents may have: none on a suspect host, one elsewhere; a
-blocked host loses all of them. Only DataFrame functions are used; texts are never exploded or shuffled.
+Every document gets counts and rule failures of its own. Per host the failing share is shrunk towards a beta prior,
+which is fitted to all hosts by moments: its mean is the share of all documents, and its strength follows from how much
+the shares differ beyond what chance does among hosts of such sizes. A host is judged by what its posterior share
+exceeds with a chance of 95 %, so a host with few documents is not judged by chance. Its verdict sets how many soft
+failures its documents may have: none on a suspect host, one elsewhere; a blocked host loses all of them. Where hosts
+differ by chance alone, no verdict changes a row. Only DataFrame functions are used; texts are never exploded or
+shuffled.
 
 A null or empty text has no words and fails the length rule. A null host is a host of its own. Repeated rows are
-judged one by one. An empty table gives an empty result.
+judged one by one; there are no ties. An empty table gives an empty result. Very long texts are read whole. Other
+columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -73,20 +77,32 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def host_verdicts(counts: DataFrame, suspect: float = 0.35, blocked: float = 0.8) -> DataFrame:
+#: Standard deviations below the posterior mean that a share exceeds with a chance of 95 %, and the strongest prior.
+SURE, STRONGEST = 1.645, 1e6
+
+
+def host_verdicts(counts: DataFrame, suspect: float = 1.5, blocked: float = 3.0) -> DataFrame:
     """host, its documents and failures, the shrunk failing share and the verdict.
 
-    The prior's mean and strength come from the mean and variance of the hosts' shares (method of moments); without
-    spread between hosts the strength is held at 1000 documents, with very wide spread at 1.
+    suspect, blocked: how many times the share of all documents a host's share must exceed with a chance of 95 %, by
+    the normal approximation of the posterior; a blocked host must also fail in more than half of its documents.
+
+    The prior is the beta distribution whose correlation within hosts is (S / (m (1 - m)) - (k - 1)) over
+    (N - sum n^2 / N - (k - 1)), for k hosts with n of N documents, the overall share m, and S the squared deviations
+    of the hosts' shares weighted by n. Without spread beyond chance its strength is held at STRONGEST documents, with
+    very wide spread at 1.
     """
     hosts = counts.groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("failed").cast("long")).alias("host_failed"))
-    share = F.col("host_failed") / F.col("host_docs")
-    prior = hosts.agg(F.avg(share).alias("m"), F.coalesce(F.var_samp(share), F.lit(0.0)).alias("v"))
-    strength = F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.when(F.col("v") > 0, F.try_divide(F.col("m") * (1 - F.col("m")), F.col("v")) - 1).otherwise(1000.0)))
-    prior = prior.select((F.col("m") * strength).alias("alpha"), ((1 - F.col("m")) * strength).alias("beta"))
-    rate = (F.col("host_failed") + F.col("alpha")) / (F.col("host_docs") + F.col("alpha") + F.col("beta"))
-    verdict = F.when(F.col("host_rate") >= blocked, "blocked").when(F.col("host_rate") >= suspect, "suspect").otherwise("good")
-    return hosts.crossJoin(F.broadcast(prior)).withColumn("host_rate", rate).withColumn("host_verdict", verdict).select("host", "host_docs", "host_failed", "host_rate", "host_verdict")
+    n, x = (F.col(c).cast("double") for c in ("host_docs", "host_failed"))
+    sums = hosts.agg(F.sum(n).alias("n"), F.sum(x).alias("x"), F.sum(n * n).alias("nn"), F.sum(x * x / n).alias("xx"), F.count("*").alias("k"))
+    sums = sums.withColumn("m", F.col("x") / F.col("n")).withColumn("within", F.col("m") * (1 - F.col("m"))).withColumn("room", F.col("n") - F.col("nn") / F.col("n") - (F.col("k") - 1))
+    spread = F.when((F.col("within") > 0) & (F.col("room") > 0), ((F.col("xx") - F.col("x") * F.col("m")) / F.col("within") - (F.col("k") - 1)) / F.col("room")).otherwise(0.0)
+    prior = sums.withColumn("spread", spread).select("m", F.when(F.col("spread") > 1 / STRONGEST, F.greatest(F.lit(1.0), F.least(F.lit(STRONGEST), 1 / F.col("spread") - 1))).otherwise(STRONGEST).alias("strength"))
+    rate, weight = (x + F.col("m") * F.col("strength")) / (n + F.col("strength")), n + F.col("strength") + 1
+    judged = hosts.crossJoin(F.broadcast(prior)).withColumn("host_rate", rate)
+    judged = judged.withColumn("low", F.col("host_rate") - SURE * F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / weight))
+    verdict = F.when(F.col("low") > F.greatest(blocked * F.col("m"), F.lit(0.5)), "blocked").when(F.col("low") > suspect * F.col("m"), "suspect").otherwise("good")
+    return judged.withColumn("host_verdict", verdict).select("host", "host_docs", "host_failed", "host_rate", "host_verdict")
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:

@@ -100,10 +100,13 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(te
  b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 10 * n_symbols > n_words AS hard,
    CAST(100 * n_dup_lines > 30 * n_lines AS INTEGER) + CAST(word_chars < 3 * n_words OR word_chars > 12 * n_words AS INTEGER) AS soft FROM c),
  h AS (SELECT host, count(*) AS host_docs, count(*) FILTER (WHERE base_failed OR hard OR soft > 0) AS host_failed FROM b GROUP BY 1),
- m AS (SELECT avg(host_failed / host_docs) AS m, coalesce(var_samp(host_failed / host_docs), 0) AS v FROM h),
- p AS (SELECT m, greatest(1, least(1000, CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1000 END)) AS k FROM m),
- v AS (SELECT host, host_docs, host_failed, (host_failed + m * k) / (host_docs + k) AS rate FROM h, p),
- x AS (SELECT *, CASE WHEN rate >= 0.8 THEN 'blocked' WHEN rate >= 0.35 THEN 'suspect' ELSE 'good' END AS host_verdict FROM v)
+ q AS (SELECT CAST(host_docs AS DOUBLE) AS n, CAST(host_failed AS DOUBLE) AS x FROM h),
+ s AS (SELECT sum(n) AS n, sum(x) AS x, sum(n * n) AS nn, sum(x * x / n) AS xx, count(*) - 1 AS free, sum(x) / sum(n) AS m FROM q),
+ r AS (SELECT m, CASE WHEN m > 0 AND m < 1 AND n - nn / n - free > 0 THEN ((xx - x * m) / (m * (1 - m)) - free) / (n - nn / n - free) ELSE 0 END AS spread FROM s),
+ p AS (SELECT m, CASE WHEN spread > 1e-6 THEN greatest(1, least(1e6, 1 / spread - 1)) ELSE 1e6 END AS k FROM r),
+ v AS (SELECT host, host_docs, host_failed, m, (host_failed + m * k) / (host_docs + k) AS rate, host_docs + k + 1 AS weight FROM h, p),
+ l AS (SELECT *, rate - 1.645 * sqrt(rate * (1 - rate) / weight) AS low FROM v),
+ x AS (SELECT *, CASE WHEN low > greatest(3 * m, 0.5) THEN 'blocked' WHEN low > 1.5 * m THEN 'suspect' ELSE 'good' END AS host_verdict FROM l)
 SELECT doc_id, b.host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
  NOT base_failed AND NOT hard AND host_verdict <> 'blocked' AND soft <= CASE WHEN host_verdict = 'suspect' THEN 0 ELSE 1 END AS kept, host_docs, host_failed, round(rate, 9) AS host_rate, host_verdict
 FROM b JOIN x ON b.host IS NOT DISTINCT FROM x.host""",

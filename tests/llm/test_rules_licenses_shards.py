@@ -2,6 +2,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 
@@ -131,12 +132,34 @@ def test_rules_against_brute_force(spark, extra):
 
 
 def test_small_hosts_are_shrunk(spark):
-    rows = [(f"h{k}", i < 10) for k in range(30) for i in range(100)] + [("bad", True)] * 500 + [("one", True)]
+    rows = [(f"h{k}", i < 10) for k in range(30) for i in range(100)] + [("bad", True)] * 500 + [("one", True)] + [("half", i < 60) for i in range(120)]
     got = {r.host: r for r in host_verdicts(spark.createDataFrame(rows, "host string, failed boolean")).collect()}
-    assert got["bad"].host_verdict == "blocked" and got["h1"].host_verdict == "good"
+    assert got["bad"].host_verdict == "blocked" and got["h1"].host_verdict == got["one"].host_verdict == "good" and got["half"].host_verdict == "suspect"
     assert got["one"].host_rate < got["bad"].host_rate
 
 
+def test_hosts_that_differ_by_chance_alone_get_the_common_rate(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"h{k}", bool(rng.random() < 0.2)) for k in range(200) for _ in range(int(rng.integers(1, 60)))]
+    got = host_verdicts(spark.createDataFrame(rows, "host string, failed boolean")).collect()
+    common = sum(f for _, f in rows) / len(rows)
+    assert {r.host_verdict for r in got} == {"good"} and all(abs(r.host_rate - common) < 0.06 for r in got)
+    for same in ([("a", False)] * 9 + [("b", False)], [("a", True)], [("a", True)] * 3 + [(None, True)]):
+        assert {r.host_verdict for r in host_verdicts(spark.createDataFrame(same, "host string, failed boolean")).collect()} == {"good"}
+
+
+def test_the_verdict_of_a_host_decides_on_its_documents(spark):
+    """A long-worded text fails one soft rule: it stays on a good or a small host and goes on a suspect one."""
+    good, soft, hard = (" ".join(f"{w}{i}" for i in range(60)) for w in ("word", "averyverylongword", "#$ word"))
+    rows = [(f"h{k}", t) for k in range(40) for t in [good] * 48 + [soft] * 2]
+    rows += [("suspect", t) for t in [good] * 120 + [soft] * 80] + [("blocked", t) for t in [good] * 20 + [hard] * 180] + [("small", soft), (None, good), (None, soft)]
+    docs_of = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    got = {(r.host, rows[r.doc_id][1] == good, rows[r.doc_id][1] == soft): (r.kept, r.host_verdict) for r in apply_rules(docs_of).collect()}
+    assert got["h3", True, False] == got["h3", False, True] == (True, "good") == got["small", False, True] == got[None, False, True]
+    assert got["suspect", True, False] == (True, "suspect") and got["suspect", False, True] == (False, "suspect")
+    assert got["blocked", True, False] == got["blocked", False, False] == (False, "blocked")
+
+
 def test_empty_tables(spark):
     empty = docs(spark).filter("false")
     for op in (scan_licenses, interleave_shards, apply_rules):
