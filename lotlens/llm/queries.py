@@ -15,7 +15,7 @@ from lotlens.llm.packing import added_tokens, pack
 from lotlens.llm.pii import find_pii
 from lotlens.llm.quality_classifier import classify_quality
 from lotlens.llm.quality_rules import apply_rules
-from lotlens.llm.secret_scan import scan_secrets
+from lotlens.llm.secret_scan import KINDS, scan_secrets
 from lotlens.llm.sharding import interleave_shards
 from lotlens.llm.spark_util import table
 
@@ -59,7 +59,9 @@ def op5_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(table(spark, sf_dir, "documents"))
+    """The table names no repository: each language of a source stands for one, and the source for their owner."""
+    docs = table(spark, sf_dir, "documents")
+    return scan_secrets(docs.withColumn("repo", F.concat_ws("/", "source", "lang")), repo_col="repo")
 
 
 def op7_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +89,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _secrets_sql() -> str:
+    """Places follow from the lengths of what lies between the matches and of the matches before."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    found = " UNION ALL ".join(
+        f"SELECT row, owner, repo, {i} AS kind, '{k.name}' AS name, {k.least} AS least, string_split_regex(t, {quoted(k.pattern)}) AS gaps, regexp_extract_all(t, {quoted(k.pattern)}) AS whole, regexp_extract_all(t, {quoted(k.pattern)}, {k.group}) AS vals FROM d WHERE regexp_matches(t, {quoted(k.pattern)})"
+        for i, k in enumerate(KINDS)
+    )
+    base = [k for k in KINDS if k.base]
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = {i}) AS n_{k.name}" for i, k in enumerate(base))
+    joined = "coalesce(string_agg(name || ':' || b || ':' || e, ',' ORDER BY b, kind)"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source AS owner, concat_ws('/', source, lang) AS repo, coalesce(text, '') AS t FROM documents),
+ f AS ({found}),
+ u AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM f),
+ p AS (SELECT row, owner, repo, kind, name, vals[i] AS v, list_sum([length(x) for x in gaps[1:i]]) + list_sum([length(x) for x in whole[1:i]]) AS e, length(whole[i]) AS n FROM u WHERE length(vals[i]) >= least),
+ s AS (SELECT *, e - n AS b FROM p),
+ a AS (SELECT DISTINCT v, owner, repo FROM s),
+ g AS (SELECT v, count(DISTINCT coalesce(owner, chr(1))) AS owners, count(*) AS repos FROM a GROUP BY 1),
+ c AS (SELECT v, length(v) AS n, [(length(v) - length(replace(v, x, ''))) / length(v) for x in list_distinct(string_split(v, ''))] AS shares FROM g),
+ o AS (SELECT v, n >= 12 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND round(list_sum([-x * log2(x) for x in shares]), 6)
+   >= round(0.75 * least(log2(n), log2(CASE WHEN regexp_matches(v, '^[0-9a-f]*$') THEN 16 WHEN regexp_matches(v, '^[0-9a-z]*$|^[0-9A-Z]*$') THEN 36 ELSE 64 END)), 6) AS random FROM c),
+ k AS (SELECT s.*, owners, repos, CASE WHEN owners >= 3 OR repos >= 6 THEN 'example' WHEN owners = 1 AND random THEN 'live' ELSE 'plain' END AS class FROM s JOIN g USING (v) JOIN o USING (v)),
+ r AS (SELECT row, {counts}, sha256({joined} FILTER (WHERE kind < {len(base)}), '')) AS base_sha256, {joined}, '') AS spans, count(*) FILTER (WHERE class = 'live') AS n_live, count(*) FILTER (WHERE class = 'example') AS n_example,
+   max(owners) AS most_owners, max(repos) AS most_repos FROM k WHERE kind < {len(base)} OR class <> 'example' GROUP BY 1)
+SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in base)}, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos,
+ coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r USING (row)"""
+
+
 #: The others hold a trained model, a seeded hash, a tokenizer or an automaton, and are tested against brute force.
 ORACLES: dict[str, str] = {
+    "op6_secret_ownership": _secrets_sql(),
     "op3_host_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
  w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),

@@ -1,11 +1,16 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
 Candidates are found in every whole text and located by the lengths of what lies between them. Each candidate value
-is then counted over the corpus by distinct documents, repositories and owners: a value that many owners hold was
-copied from an example; a value that one owner holds, and that looks random, is taken for a live credential.
+is then counted over the corpus by distinct documents, repositories and owners: a value that many owners hold, or many
+repositories of a few owners, was copied from an example; a value that one owner holds, and that looks random, is taken
+for a live credential.
 
-Nulls and empty texts have no candidates; a null owner or repository counts as one of its own. Repeated rows are
-scanned one by one. An empty table gives an empty result.
+A value looks random if it has 12 signs or more, a digit and a letter among them, and their entropy is at least three
+quarters of the most that so many signs of its alphabet (digits and small hex letters, or more) could have.
+
+Nulls and empty texts have no candidates; a null owner or repository counts as one of its own, apart from all named
+ones. Repeated rows are scanned one by one; spans that begin together stand in the order of the kinds. An empty table
+gives an empty result. Very long texts are read whole. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotlens.llm.spark_util import materialize, pick
+from lotlens.llm.spark_util import materialize, pick, skew_join
 
 
 @dataclass(frozen=True)
@@ -72,30 +77,44 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("row", "doc_id"), spans.select("row", "kind", "start", "end", "value", "owner", "repo")
 
 
-def ownership(spans: DataFrame, example_owners: int = 3) -> DataFrame:
-    """value_hash with its documents, repositories, owners and class: example, live or plain.
+def looks_random(value: Column) -> Column:
+    """By length, digits and letters, and entropy against the most that the alphabet allows."""
+    size = F.length(value)
+    signs = F.array_distinct(F.split(value, ""))
+    part = lambda x: (size - F.length(F.replace(value, x, F.lit("")))) / size
+    entropy = F.aggregate(F.transform(signs, lambda x: -part(x) * F.log2(part(x))), F.lit(0.0), lambda a, x: a + x)
+    alphabet = F.when(value.rlike("^[0-9a-f]*$"), 16).when(value.rlike("^[0-9a-z]*$|^[0-9A-Z]*$"), 36).otherwise(64)
+    most = F.least(F.log2(size), F.log2(alphabet))
+    return (size >= 12) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.round(entropy, 6) >= F.round(0.75 * most, 6))
+
+
+def ownership(spans: DataFrame, example_owners: int = 3, example_repos: int = 6) -> DataFrame:
+    """value_hash with its places, repositories, owners and class: example, live or plain.
 
-    Distinct (value, repository, owner) come first, so a value that a third of all rows holds is counted by partial
-    sums and never gathered.
+    An example is held by `example_owners` owners or in `example_repos` repositories; what looks random and is held by
+    one owner in fewer repositories is live. Distinct (value, repository, owner) come first, so a value that a third of
+    all rows holds is counted by partial sums and never gathered.
     """
-    value = F.sha2("value", 256).alias("value_hash")
-    held = spans.select(value, F.coalesce("owner", F.lit("\x00")).alias("owner"), F.coalesce("repo", F.lit("\x00")).alias("repo"), F.size(F.array_distinct(F.split("value", ""))).alias("signs"))
-    held = held.groupBy("value_hash", "owner", "repo").agg(F.count("*").alias("n"), F.max("signs").alias("signs"))
-    per_owner = held.groupBy("value_hash", "owner").agg(F.sum("n").alias("n"), F.max("signs").alias("signs"), F.count("*").alias("repos"))
-    out = per_owner.groupBy("value_hash").agg(F.sum("n").alias("places"), F.sum("repos").alias("repo_owners"), F.count("*").alias("owners"), F.max("signs").alias("signs"))
-    verdict = F.when(F.col("owners") >= example_owners, "example").when((F.col("owners") == 1) & (F.col("signs") >= 8), "live").otherwise("plain")
-    return out.withColumn("class", verdict)
+    name = lambda c: F.struct(F.coalesce(c, F.lit("")).alias("name"), F.col(c).isNull().alias("none"))
+    held = spans.select("value_hash", name("owner").alias("owner"), name("repo").alias("repo"), looks_random(F.col("value")).alias("random"))
+    held = held.groupBy("value_hash", "owner", "repo").agg(F.count("*").alias("n"), F.bool_or("random").alias("random"))
+    # a repository's name is its own in each owner
+    per_owner = held.groupBy("value_hash", "owner").agg(F.sum("n").alias("n"), F.bool_or("random").alias("random"), F.count("*").alias("repos"))
+    out = per_owner.groupBy("value_hash").agg(F.sum("n").alias("places"), F.sum("repos").alias("repos"), F.count("*").alias("owners"), F.bool_or("random").alias("random"))
+    widely = (F.col("owners") >= example_owners) | (F.col("repos") >= example_repos)
+    return out.withColumn("class", F.when(widely, "example").when((F.col("owners") == 1) & F.col("random"), "live").otherwise("plain"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "source", example_owners: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "source", example_owners: int = 3, example_repos: int = 6) -> DataFrame:
     """doc_id, counts of the base kinds, digests of the spans, and live and copied values of every document.
 
     All base spans are returned; those of the method's own kinds unless their value is a widely copied example.
+    most_owners and most_repos are those of the document's most widely held value.
     """
     rows, spans = find_candidates(docs, id_col, text_col, owner_col, repo_col)
-    spans = materialize(spans)
-    owned = ownership(spans, example_owners).select("value_hash", "class", "owners")
-    spans = spans.withColumn("value_hash", F.sha2("value", 256)).join(owned, "value_hash")
+    spans = materialize(spans.withColumn("value_hash", F.sha2("value", 256)))
+    owned = ownership(spans, example_owners, example_repos).select("value_hash", "class", "owners", "repos")
+    spans = skew_join(spans.select("row", "kind", "start", "end", "value_hash"), owned, "value_hash")
     base = F.col("kind") < sum(k.base for k in KINDS)
     name = F.get(F.array(*[F.lit(k.name) for k in KINDS]), F.col("kind"))
     item = F.struct("start", "kind", F.concat_ws(":", name, F.col("start"), F.col("end")).alias("text"))
@@ -108,7 +127,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.count_if(F.col("class") == "live").alias("n_live"),
         F.count_if(F.col("class") == "example").alias("n_example"),
         F.max("owners").alias("most_owners"),
+        F.max("repos").alias("most_repos"),
     )
-    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in (*[f"n_{k.name}" for k in KINDS if k.base], "n_live", "n_example", "most_owners")]
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in (*[f"n_{k.name}" for k in KINDS if k.base], "n_live", "n_example", "most_owners", "most_repos")]
     out = rows.join(per_row, "row", "left")
     return out.select("doc_id", *counts, F.sha2(F.coalesce("base_spans", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))

@@ -142,10 +142,30 @@ def test_secrets_base_against_brute_force(spark):
 
 
 def test_copied_values_are_examples_and_single_ones_live(spark):
-    copied, own = "token=EXAMPLEEXAMPLE12345", "token=q8Zr4tLm02XcVb9s"
-    rows = [(i, copied, f"o{i % 4}") for i in range(40)] + [(100, own, "o1"), (101, own, "o1"), (102, None, None)]
-    got = {r.doc_id: r for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert got[3].n_example == 1 and got[3].n_live == 0 and got[3].most_owners == 4 and got[100].n_live == 1 and got[100].n_example == 0
+    copied, own, dull, spread, two = "token=EXAMPLEEXAMPLE12345", "token=q8Zr4tLm02XcVb9s", "token=aaaaaaaaaaaaaa1", "token=w7Yt5sKn13WdUc8r", "token=p6Xs6rJo24VeTd7q"
+    rows = [(i, copied, f"o{i % 4}", "r") for i in range(40)] + [(100, own, "o1", "r1"), (101, own, "o1", "r2"), (102, None, None, None), (103, dull, "o1", "r1")]
+    rows += [(200 + i, spread, "o1", f"r{i}") for i in range(6)] + [(300, two, None, None), (301, two, "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    got = {r.doc_id: r for r in scan_secrets(docs, repo_col="repo").collect()}
+    look = lambda d: (got[d].n_live, got[d].n_example, got[d].most_owners, got[d].most_repos)
+    assert look(3) == (0, 1, 4, 4) and look(100) == look(101) == (1, 0, 1, 2) and look(102) == (0, 0, 0, 0)
+    # one sign over and over is no credential; one owner's many repositories copy a value; no owner is not the empty one
+    assert look(103) == (0, 0, 1, 1) and look(203) == (0, 1, 1, 6) and look(300) == (0, 0, 2, 2)
+
+
+def test_what_looks_random(spark):
+    from math import log2
+
+    from lotlens.llm.secret_scan import looks_random
+
+    rng = np.random.default_rng(9)
+    values = ["".join(rng.choice(list(a), rng.integers(1, 60))) for a in ("0123456789abcdef", "ab1", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", "0123456789", "abcdefgh") for _ in range(80)]
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    for value, got in df.select("value", looks_random(df["value"])).collect():
+        share = [value.count(x) / len(value) for x in set(value)]
+        alphabet = 16 if re.fullmatch("[0-9a-f]*", value) else 36 if re.fullmatch("[0-9a-z]*|[0-9A-Z]*", value) else 64
+        want = len(value) >= 12 and re.search("[0-9]", value) and re.search("[A-Za-z]", value) and -sum(p * log2(p) for p in share) >= 0.75 * min(log2(len(value)), log2(alphabet)) - 1e-6
+        assert got == bool(want), value
 
 
 def test_word_hashes_depend_on_the_word_alone():
