@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotlens.llm.decontam import find_contamination
-from lotlens.llm.license_scan import scan_licenses
+from lotlens.llm.license_scan import BASE_PHRASES, LABEL_OF, TEMPLATES, scan_licenses
 from lotlens.llm.lm_scoring import cross_entropy_difference
 from lotlens.llm.near_dedup import near_duplicates
 from lotlens.llm.packing import added_tokens, pack
@@ -38,7 +39,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("n_templates")
 
 
 def op2_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +91,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def template_pattern(markup: str) -> str:
+    """A template as a regular expression over words that are each followed by one space."""
+    piece = {"[[": "(?:", "]]": ")?"}
+    tokens = re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", markup)
+    return " " + "".join(piece.get(t) or (f"(?:[^ ]+ ){{0,{t[2:-2]}}}" if t[0] == "{" else f"{t} ") for t in tokens)
+
+
+def _licenses_sql() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    places = " UNION ALL ".join(f"SELECT row, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + {len(p.split())}] = {p.split()})) AS place, {quoted(label)} AS label FROM w WHERE contains(n, {quoted(f' {p} ')})" for p, label in BASE_PHRASES.items())
+    accepted = " UNION ALL ".join(f"SELECT row, {quoted(LABEL_OF.get(name, name))} AS label FROM w WHERE regexp_matches(n, {quoted(template_pattern(m))})" for name, m in TEMPLATES.items())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_AZ}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ w AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS n FROM d),
+ p AS ({places}),
+ t AS (SELECT DISTINCT row, label FROM ({accepted})),
+ b AS (SELECT row, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY 1),
+ a AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT row, label FROM p UNION ALL SELECT row, label FROM t) GROUP BY 1),
+ s AS (SELECT DISTINCT row, 1.0 AS score FROM t)
+SELECT doc_id, len(w.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(s.score, CASE WHEN n_base > 0 THEN 0.5 ELSE 0 END) AS DOUBLE) AS score
+FROM w LEFT JOIN b USING (row) LEFT JOIN a USING (row) LEFT JOIN s USING (row)"""
+
+
 def _secrets_sql() -> str:
     """Places follow from the lengths of what lies between the matches and of the matches before."""
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
@@ -120,6 +144,7 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in base
 
 #: The others hold a trained model, a seeded hash, a tokenizer or an automaton, and are tested against brute force.
 ORACLES: dict[str, str] = {
+    "op1_license_scan": _licenses_sql(),
     "op6_secret_ownership": _secrets_sql(),
     "op3_host_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents),

@@ -178,6 +178,23 @@ def test_the_gate_lets_through_all_that_an_automaton_accepts(spark):
     assert [got[i].labels for i in range(6)] == ["beer", "free", "see", "", "", "see"]
 
 
+def test_templates_as_patterns_accept_what_the_automata_do():
+    """What the SQL of the licence query rests on, on texts made of the templates' own words."""
+    from lotlens.llm.queries import template_pattern
+
+    rng = np.random.default_rng(8)
+    for name, markup in [*TEMPLATES.items(), ("own", "keep this [[or [[even]] that]] for {{2}} years")]:
+        automaton, pattern = TokenAutomaton(markup), re.compile(template_pattern(markup))
+        words = re.findall(r"[a-z0-9]+", markup)
+        for k in range(60):
+            tokens = list(words)
+            for _ in range(k % 4):
+                at = int(rng.integers(len(tokens)))
+                tokens[at : at + 1] = [[], ["x"], [tokens[at], "x"]][rng.integers(3)] if len(tokens) > 1 else tokens
+            accepted = any(automaton.match([t.encode() for t in tokens], i) > i for i in range(len(tokens)))
+            assert accepted == bool(pattern.search(" " + "".join(t + " " for t in tokens))), (name, tokens)
+
+
 def test_one_notice_is_one_template(spark):
     notice = TEMPLATES["mit"].replace("[[copyright [[c]] {{10}}]]", "Copyright (c) 2020 Some Body").replace("[[including the next paragraph]]", "")
     text = notice + " under the mit license. " + "released under the mit license"
