@@ -86,6 +86,12 @@ def top_values(df: DataFrame, c: str, k: int) -> DataFrame:
     return df.groupBy(c).agg(F.count("*").alias("n")).orderBy(F.desc("n"), c).limit(k)
 
 
+def value_formats(df: DataFrame, c: str, k: int) -> DataFrame:
+    """The k most frequent formats of a text column (digits as 9, letters as A) with a sample: the smallest value of each."""
+    shape = F.regexp_replace(F.regexp_replace(F.col(c), "[0-9]", "9"), r"[A-Za-z]", "A")
+    return df.select(shape.alias("format"), F.col(c).alias("_v")).groupBy("format").agg(F.count("*").alias("n"), F.min("_v").alias("sample")).orderBy(F.desc("n"), "format").limit(k)
+
+
 def adaptive_since(df: DataFrame, c: str, cutoff: str, floor: str) -> DataFrame:
     """Rows from the cutoff on; from the floor on if the source ends before the cutoff."""
     newest = df.agg(F.max(c).alias("_max"))

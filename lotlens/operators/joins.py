@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotlens.functions.keys import block_of, lot_of
@@ -12,8 +12,8 @@ from lotlens.operators.windows import best_per_group
 
 
 def bridge(df: DataFrame, lookup: DataFrame, key: str, into: str) -> DataFrame:
-    """Replace one key by another through a lookup (key, into); rows without a match are dropped."""
-    return df.join(lookup.select(key, into).dropDuplicates([key]), key)
+    """Replace one key by another through a lookup (key, into), the smallest target at ties; rows without a match are dropped."""
+    return df.join(lookup.groupBy(key).agg(F.min(into).alias(into)).filter(F.col(into).isNotNull()), key)
 
 
 def semi(df: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -68,12 +68,14 @@ def expand_gap(df: DataFrame, gap: Column, number: str = "n", cap: int | None =
 def event_within(signals: DataFrame, outcomes: DataFrame, key: str, signal_date: str, outcome_date: str, days: Sequence[int]) -> DataFrame:
     """The signals with a flag `within_<d>` for each d: an outcome in the closed interval [date, date + d].
 
-    Only the first outcome on or after the signal matters, so one equi-join with a residual and a minimum serves
-    all windows. Outcomes are reduced to distinct days first.
+    Only the first outcome on or after the signal matters: both sides are reduced to distinct days of a key, and one
+    window over these takes the next day with an outcome, so a key with many of both multiplies nothing.
     """
-    o = outcomes.select(key, F.col(outcome_date).alias("_o")).distinct()
-    first = signals.select(key, signal_date).distinct().join(o, key).filter(F.col("_o") >= F.col(signal_date)).groupBy(key, signal_date).agg(F.min("_o").alias("_first"))
-    out = signals.join(first, [key, signal_date], "left")
+    dated = lambda df, c, outcome: df.select(key, F.col(c).alias("_d"), F.lit(outcome).alias("_outcome"))
+    per_day = dated(signals, signal_date, False).union(dated(outcomes, outcome_date, True)).groupBy(key, "_d").agg(F.bool_or("_outcome").alias("_outcome"), F.bool_or(~F.col("_outcome")).alias("_signal"))
+    onwards = Window.partitionBy(key).orderBy("_d").rowsBetween(0, Window.unboundedFollowing)
+    first = per_day.filter("_d is not null").withColumn("_first", F.min(F.when(F.col("_outcome"), F.col("_d"))).over(onwards)).filter("_signal and _first is not null")
+    out = signals.join(first.select(key, F.col("_d").alias(signal_date), "_first"), [key, signal_date], "left")
     for d in days:
         out = out.withColumn(f"within_{d}", F.coalesce(F.col("_first") <= F.date_add(F.col(signal_date), d), F.lit(False)))
     return out.drop("_first")
@@ -97,15 +99,34 @@ def contains_join(texts: DataFrame, text: str, words: DataFrame, word: str) -> D
     return exploded.join(words, word)
 
 
+#: Signs of the key by which texts meet phrases.
+GRAM = 4
+
+
 def phrase_join(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, max_bytes: int = 8 << 20) -> DataFrame:
-    """Rows of `texts` with each phrase that they contain as a substring.
+    """Rows of `texts` with each phrase that they contain as a substring, in any case; repeated rows are kept.
 
-    A substring has no key: the phrases are measured, and broadcast under `max_bytes`; beyond that each part of the
-    texts meets each part of the phrases in a task of its own. Both ways make the same test and keep repeated rows.
+    The phrases are measured. Under `max_bytes` they are broadcast and tested one by one. Beyond that a phrase is
+    looked up by the one of its grams of four signs (or, if it is shorter, by itself) that fewest phrases hold, in the
+    distinct grams of each text: an equi-join whose hits are tested as before. Both ways give the same rows.
     """
-    size = phrases.agg(F.coalesce(F.sum(F.octet_length(phrase)), F.lit(0))).first()[0]
-    side = F.broadcast(phrases) if size <= max_bytes else phrases.hint("shuffle_replicate_nl")
-    return texts.join(side, F.contains(F.lower(F.col(text)), F.lower(F.col(phrase))))
+    holds = F.contains(F.lower(F.col(text)), F.lower(F.col(phrase)))
+    if phrases.agg(F.coalesce(F.sum(F.octet_length(phrase)), F.lit(0))).first()[0] <= max_bytes:
+        return texts.join(F.broadcast(phrases), holds)
+    lowered = phrases.select(F.lower(phrase).alias("_p")).filter("_p is not null").distinct()
+    sizes = [r[0] for r in lowered.select(F.least(F.length("_p"), F.lit(GRAM))).distinct().collect()]  # 0 to GRAM
+    grams = lowered.select("_p", F.explode(_grams(F.col("_p"), F.least(F.length("_p"), F.lit(GRAM)))).alias("_gram"))
+    held = grams.groupBy("_gram").agg(F.count("*").alias("_n"))
+    keys = grams.join(held, "_gram").groupBy("_p").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    keyed = phrases.withColumn("_p", F.lower(phrase)).join(keys, "_p").drop("_p")
+    of_text = F.array_distinct(F.flatten(F.array(*[_grams(F.lower(F.col(text)), F.lit(n)) for n in sizes])))
+    return texts.withColumn("_gram", F.explode(of_text)).join(keyed, "_gram").drop("_gram").filter(holds)
+
+
+def _grams(c: Column, n: Column) -> Column:
+    """Distinct substrings of n signs; none of a shorter text."""
+    last = F.length(c) - n + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(c, i, n)))).otherwise(F.array().cast("array<string>"))
 
 
 def star(base: DataFrame, key: str, *parts: DataFrame) -> DataFrame:

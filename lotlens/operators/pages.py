@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from lotlens.functions.clean import parse_display_date, price_in_text
 
 
+# The patterns of this module name marks of the pages they read.
+
+
 def _first(c: Column, pattern: str, group: int = 1) -> Column:
     found = F.regexp_extract(c, pattern, group)
     return F.when(found != "", found)
@@ -169,5 +172,76 @@ def card_unit(card: Column) -> Column:
     )
 
 
+# Marks of the layouts that unit pages come in.
+SECTION_MARK, SECTION_UNIT = r'<h4\s+class="pc-card-title">', r'data-unitid="(\d+)"'
+TABLE_MARK = r"(?is)<caption[^>]*>Apartment Details.*?Floor Plan:\s*"
+TABLE_ROW = r"(?s)data-label='Apartment'[^>]*>#?(\w+)</th>.*?data-label=Sq\.Ft\.>(\d+)</td>.*?data-label='Rent'>\$([\d,]+)</td>"
+LEASE = r'(?i)<option\s+value="\d+">\s*(\d+)\s+Months?\s+\(([\d,.]+)\s+USD\)'
+PRICE_TAG = r'class="pprice"[^>]*>([^<]+)'
+
+
+def _rooms(label: Column) -> tuple[Column, Column]:
+    """Beds and baths of a heading: a studio has no bedroom, and one bath is the least."""
+    beds = F.when(label.rlike("(?i)studio"), 0).otherwise(F.coalesce(F.regexp_extract(label, r"(?i)(\d+)\s*bed", 1).try_cast("int"), F.lit(0)))
+    return beds, F.coalesce(F.regexp_extract(label, r"(?i)(\d+(?:\.\d+)?)\s*bath", 1).try_cast("double"), F.lit(1.0))
+
+
+def _whole(c: Column) -> Column:
+    return F.replace(c, F.lit(","), F.lit("")).try_cast("bigint")
+
+
+def section_units(html: Column) -> Column:
+    """Array of id, unit, beds, baths, area, available, terms (months, price), price, stabilized of pages that group
+    units under headings; the price is that of 12 months, else the least."""
+    sections = F.slice(F.split(html, SECTION_MARK), 2, 2_000_000_000)
+
+    def units(section: Column) -> Column:
+        beds, baths = _rooms(F.split_part(section, F.lit("</h4>"), F.lit(1)))
+        rows = F.filter(F.split(section, f"(?={SECTION_UNIT})"), lambda r: r.rlike("^" + SECTION_UNIT))
+
+        def unit(row: Column) -> Column:
+            number = F.regexp_extract(row, SECTION_UNIT, 1)
+            months, prices = (F.regexp_extract_all(row, F.lit(LEASE), F.lit(k)) for k in (1, 2))
+            terms = F.zip_with(months, prices, lambda m, p: F.struct(m.try_cast("int").alias("months"), F.replace(p, F.lit(","), F.lit("")).try_cast("double").try_cast("bigint").alias("price")))
+            year = F.get(F.filter(terms, lambda x: x["months"] == 12), F.lit(0))["price"]
+            return F.struct(
+                number.alias("id"), F.coalesce(_first(row, 'data-title="([^"]+)"'), number).alias("unit"), beds.alias("beds"), baths.alias("baths"), _whole(F.regexp_extract(row, r'data-th="Sqft"[^>]*>\s*([\d,]+)', 1)).alias("area"),
+                _first(row, 'data-available-date="([^"]+)"').alias("available"), terms.alias("terms"), F.coalesce(year, F.array_min(F.transform(terms, lambda x: x["price"]))).alias("price"), F.contains(row, F.lit('data-all-dhcr-units="True"')).alias("stabilized"),
+            )
+
+        return F.transform(rows, unit)
+
+    return F.flatten(F.transform(sections, units))
+
+
+def table_units(html: Column) -> Column:
+    """Array of unit, beds, baths, area, price of pages with a captioned table for each floor plan."""
+    sections = F.slice(F.split(html, TABLE_MARK), 2, 2_000_000_000)
+
+    def units(section: Column) -> Column:
+        beds, baths = _rooms(F.split_part(section, F.lit("<"), F.lit(1)))
+        rows = F.regexp_extract_all(section, F.lit(TABLE_ROW), F.lit(0))
+        field = lambda r, k: F.regexp_extract(r, TABLE_ROW, k)
+        return F.transform(rows, lambda r: F.struct(field(r, 1).alias("unit"), beds.alias("beds"), baths.alias("baths"), field(r, 2).try_cast("bigint").alias("area"), _whole(field(r, 3)).alias("price")))
+
+    return F.flatten(F.transform(sections, units))
+
+
+def detail_unit(html: Column, listing: Column) -> Column:
+    """Struct price, beds, baths of one listing's page; null without a price and beds.
+
+    The price of the appointment link goes before that of a price tag; telephone numbers are no tags.
+    """
+    tags = F.transform(F.regexp_extract_all(html, F.lit(PRICE_TAG), F.lit(1)), lambda x: F.trim(x))
+    tags = F.filter(tags, lambda x: ~x.rlike(r"^\d{3}\.\d{3}"))
+    last = lambda found: F.element_at(F.filter(found, lambda x: x.isNotNull()), -1)
+    linked = F.concat(F.lit(r'schedule-appointment-listing-today/\?lid='), listing.cast("string"), F.lit(r'[^"]*?price=(\d+)'))
+    price = F.coalesce(F.call_function("regexp_extract", html, linked, F.lit(1)).try_cast("bigint"), F.get(F.transform(F.filter(tags, lambda x: x.rlike(r"^[\d,]+$")), _whole), F.lit(0)))
+    named = F.filter(F.transform(tags, lambda x: F.when(x.rlike(r"(?i)\d\s*BR"), F.regexp_extract(x, r"(?i)(\d+)\s*BR", 1).try_cast("int")).when(x.rlike("(?i)studio"), 0)), lambda x: x.isNotNull())
+    beds = F.coalesce(F.when(F.size(named) > 0, last(named)), F.regexp_extract(html, r"(?i)CONV(\d)", 1).try_cast("int"))
+    baths = F.filter(F.transform(tags, lambda x: F.regexp_extract(x, r"(?i)(\d+(?:\.\d+)?)\s*Bath", 1).try_cast("double")), lambda x: x.isNotNull())
+    return F.when(price.isNotNull() | beds.isNotNull(), F.struct(price.alias("price"), beds.alias("beds"), F.when(F.size(baths) > 0, last(baths)).alias("baths")))
+
+
 def card_rows(pages: DataFrame, id_col: str, html_col: str, word: str) -> DataFrame:
     return pages.select(F.col(id_col), F.posexplode(cards(F.col(html_col), word)).alias("pos", "card")).select(id_col, "pos", card_unit(F.col("card")).alias("u")).select(id_col, "pos", "u.*")

@@ -101,6 +101,10 @@ def extract_units(c: Column, rules: Rules) -> Column:
 
 
 def mine_units(source: str, df: DataFrame, id_col: str, text_col: str, rules: Rules, *keys: str) -> DataFrame:
-    """Long table source, source_id, keys, unit, raw_text (500 signs), unique by source, id and unit."""
+    """Long table source, source_id, keys, unit, raw_text (500 signs), unique by source, id and unit.
+
+    Of several texts of an id the first in order stays, with its keys.
+    """
     rows = df.select(F.lit(source).alias("source"), F.col(id_col).cast("string").alias("source_id"), *keys, F.explode(extract_units(F.col(text_col), rules)).alias("unit"), F.left(F.col(text_col), F.lit(500)).alias("raw_text"))
-    return rows.dropDuplicates(["source", "source_id", "unit"])
+    first = rows.groupBy("source", "source_id", "unit").agg(F.min(F.struct("raw_text", *keys)).alias("_row"))
+    return first.select("source", "source_id", *[F.col("_row")[k].alias(k) for k in keys], "unit", F.col("_row.raw_text").alias("raw_text"))

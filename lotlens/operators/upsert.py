@@ -17,9 +17,12 @@ def _sides(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFr
     return old.join(new, list(keys), "full")
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """On a known key the update's values replace all columns but those to keep; unknown keys are added."""
-    both = _sides(target, updates, keys)
+def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[Column], keep: Sequence[str] = ()) -> DataFrame:
+    """On a known key the update's values replace all columns but those to keep; unknown keys are added.
+
+    Of several updates of a key the first of the order holds; the order must be total.
+    """
+    both = _sides(target, best_per_group(updates, keys, order), keys)
     columns = []
     for c in target.columns:
         if c in keys:
@@ -44,14 +47,15 @@ def insert_last_wins(target: DataFrame, rows: DataFrame, keys: Sequence[str], or
 
 
 def patch_non_null(target: DataFrame, detail: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Filled text fields of the detail overwrite, empty ones don't."""
-    new = detail.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in columns])
+    """Filled text fields of the detail overwrite, empty ones don't; of several filled ones the largest holds."""
+    new = detail.groupBy(*keys).agg(*[F.max(c).alias(f"_n_{c}") for c in columns])
     out = target.join(new, list(keys), "left")
     return out.withColumns({c: F.coalesce(F.nullif(F.col(f"_n_{c}"), F.lit("")), F.col(c)) for c in columns}).select(*target.columns)
 
 
 def backfill_if_empty(target: DataFrame, lookup: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    out = target.join(lookup.select(*keys, F.col(column).alias("_fill")), list(keys), "left")
+    """The lookup's value where the column is empty, the smallest of several."""
+    out = target.join(lookup.groupBy(*keys).agg(F.min(column).alias("_fill")), list(keys), "left")
     empty = F.col(column).isNull() | (F.col(column) == "")
     return out.withColumn(column, F.when(empty, F.col("_fill")).otherwise(F.col(column))).select(*target.columns)
 
@@ -79,10 +83,10 @@ def track_snapshot(state: DataFrame, pull: DataFrame, source: str, now: str) ->
     """New state of (source, source_id, price, status, first_seen, last_seen) after a pull of one source.
 
     What is pulled is active, with the first sight kept and the last one set; what this source no longer shows is
-    inactive; other sources stay.
+    inactive; other sources stay. An id that is pulled twice has the larger price.
     """
     now_col = F.lit(now).cast("timestamp")
-    mine = pull.select(F.lit(source).alias("source"), "source_id", F.col("price").cast("double").alias("_price"), F.lit(True).alias("_pulled")).dropDuplicates(["source", "source_id"])
+    mine = pull.groupBy("source_id").agg(F.max(F.col("price").cast("double")).alias("_price")).select(F.lit(source).alias("source"), "source_id", "_price", F.lit(True).alias("_pulled"))
     both = state.join(mine, ["source", "source_id"], "full")
     seen = F.col("_pulled").isNotNull()
     return both.select(
@@ -95,8 +99,9 @@ def track_snapshot(state: DataFrame, pull: DataFrame, source: str, now: str) ->
 
 
 def append_daily_price(history: DataFrame, pull: DataFrame, source: str, day: str) -> DataFrame:
-    """One price row per listing and day; a second pull of the day replaces the first."""
-    fresh = pull.select(F.lit(source).alias("source"), "source_id", F.lit(day).cast("date").alias("snapshot_date"), F.col("price").cast("double").alias("price")).dropDuplicates(["source_id"])
+    """One price row per listing and day, the larger price of an id that is pulled twice; a second pull of the day replaces the first."""
+    prices = pull.groupBy("source_id").agg(F.max(F.col("price").cast("double")).alias("price"))
+    fresh = prices.select(F.lit(source).alias("source"), "source_id", F.lit(day).cast("date").alias("snapshot_date"), "price")
     return history.join(fresh, ["source", "source_id", "snapshot_date"], "left_anti").unionByName(fresh)
 
 

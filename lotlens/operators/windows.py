@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,18 +49,33 @@ def changes(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: st
     return df.withColumn("previous", F.lag(value).over(w)).filter(F.col("previous").isNotNull() & (F.col("previous") != F.col(value)))
 
 
-def global_rank(df: DataFrame, value: str, tie: str, name: str = "rank", cells: int = 256) -> DataFrame:
-    """An exact rank from 0 over all rows, the largest value first, without one task that sorts them all.
+def global_rank(df: DataFrame, value: str, tie: str, name: str = "rank", cell_rows: int = 100_000, most_cells: int = 2000) -> DataFrame:
+    """An exact rank from 0 over all rows, the largest value first and the smallest tie, without one task that sorts them all.
 
-    Approximate quantiles cut the values into cells; a running sum over the cells' counts, at most cells + 1 rows,
-    gives where each begins, and rows are numbered inside their cell. The cut only decides who counts where.
+    Approximate quantiles, taken once, cut the values into cells of about `cell_rows` rows, at most `most_cells`. A
+    value that holds a cell or more of its own is cut again by quantiles of the tie (a number). A running sum over the
+    cells' counts gives where each begins, and rows are numbered inside their cell. The cuts only decide who counts
+    where. Rows without a value come last.
     """
-    edges = df.agg(F.percentile_approx(value, [i / cells for i in range(1, cells)], 10_000).alias("_edges"))
-    celled = df.crossJoin(F.broadcast(edges)).withColumn("_cell", F.size(F.filter("_edges", lambda e: e <= F.col(value)))).drop("_edges")
-    before = F.sum("_n").over(Window.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1))
+    at = [i / most_cells for i in range(1, most_cells)]
+    cuts = df.agg(F.count("*").alias("n"), F.percentile_approx(value, at, 20_000).alias("v"), F.percentile_approx(tie, at, 20_000).alias("t")).first()
+    step = -(-most_cells // max(1, min(most_cells, -(-cuts.n // cell_rows))))
+    times = Counter((cuts.v or [])[step - 1 :: step])
+    edges = sorted(times)
+    heavy = sorted(e for e in edges if times[e] > 1)
+    ties = sorted(set((cuts.t or [])[:: max(1, len(cuts.t or []) // max(times.values(), default=1))]))
+    count_up_to = lambda cut, c: F.size(F.filter(F.array(*[F.lit(e) for e in cut]), lambda e: e < c)) if cut else F.lit(0)
+    c = F.col(value)
+    alone = c.isin(*heavy) if heavy else F.lit(False)
+    place = F.struct(
+        c.isNull().alias("none"), (-(count_up_to(edges, c) + F.when(c.isin(*edges), 1).otherwise(0) if edges else F.lit(0))).alias("part"),
+        F.coalesce(alone, F.lit(False)).alias("alone"), F.when(alone, count_up_to(ties, F.col(tie))).otherwise(0).alias("tied"),
+    )
+    celled = df.withColumn("_cell", place)
+    before = F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))  # a few rows for each cell
     starts = celled.groupBy("_cell").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(before, F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("_cell").orderBy(F.desc(value), tie)) - 1
-    return celled.withColumn("_in", inside).join(F.broadcast(starts), "_cell").withColumn(name, F.col("_start") + F.col("_in")).drop("_cell", "_in", "_start")
+    inside = F.row_number().over(Window.partitionBy("_cell").orderBy(F.desc_nulls_last(value), tie)) - 1
+    return celled.withColumn("_in", inside).join(starts, "_cell").withColumn(name, F.col("_start") + F.col("_in")).drop("_cell", "_in", "_start")
 
 
 def global_tiles(df: DataFrame, value: str, tie: str, tiles: int, name: str = "tile") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,20 +18,20 @@ def dedup_listings(df: DataFrame, by: Sequence[str], priority: Sequence[str], to
 
     In a group of several sources the row of the first source (smallest id at ties) is canonical, and every other
     row is its duplicate if either price is missing or they differ by at most the tolerance. A row is compared with
-    the canonical one alone. Rows with a null in the key are not grouped. One shuffle serves all windows.
+    the canonical one alone. Rows with a null in the key are not grouped and not shuffled. One shuffle serves all windows.
     """
+    keyed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by])
+    alone = df.filter(~keyed).withColumn("is_duplicate", F.lit(False)).withColumn("canonical_id", F.lit(None).cast(df.schema[id_col].dataType))
+    df = df.filter(keyed)
     order = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in priority]), F.col(source)), F.lit(0))
     rank = F.when(order == 0, len(priority) + 1).otherwise(order)
     w = Window.partitionBy(*by)
     first = F.first(F.struct(F.col(id_col).alias("id"), F.coalesce(price, F.lit(0.0)).alias("price"))).over(w.orderBy(rank, id_col).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     out = df.withColumn("_main", first).withColumn("_several", F.min(source).over(w) != F.max(source).over(w))
-    keyed = F.lit(True)
-    for c in by:
-        keyed = keyed & F.col(c).isNotNull()
     mine = F.coalesce(price, F.lit(0.0))
     close = (F.col("_main.price") <= 0) | (mine <= 0) | (F.abs(F.col("_main.price") - mine) / F.col("_main.price") <= tolerance)
-    duplicate = keyed & F.col("_several") & (F.col(id_col) != F.col("_main.id")) & close
-    return out.withColumn("is_duplicate", F.coalesce(duplicate, F.lit(False))).withColumn("canonical_id", F.when(F.col("is_duplicate"), F.col("_main.id"))).drop("_main", "_several")
+    duplicate = F.col("_several") & (F.col(id_col) != F.col("_main.id")) & close
+    return out.withColumn("is_duplicate", F.coalesce(duplicate, F.lit(False))).withColumn("canonical_id", F.when(F.col("is_duplicate"), F.col("_main.id"))).drop("_main", "_several").unionByName(alone)
 
 
 def match_listings(rows: DataFrame, reference: DataFrame, row_address: str, row_borough: str, ref_address: str, ref_borough: str, ref_key: str) -> DataFrame:

@@ -11,20 +11,22 @@ from pyspark.sql import functions as F
 from lotlens.functions import scores
 from lotlens.operators import joins
 from lotlens.operators.ranking import top
+from lotlens.operators.windows import first_n
 from lotlens.plans.registry import Tables, query
 
 
-def score_buildings(board: DataFrame) -> DataFrame:
+def score_buildings(board: DataFrame, *keep: str) -> DataFrame:
     """key, quality, availability, signal_count, convergence, turnover and the signals of a board of one row per key.
 
     The board has: key, area, units, year, floors, stabilized, complaints, recent, noise, permits, permit_cost,
     alteration, cases, tenant_action, distress, evictions, unpaid, agreements, satisfactions, owner_changed, traded.
+    `keep` names columns of the board that stay.
     """
     c = F.col
     signals = scores.availability_signals(*[c(x) for x in ("permits", "permit_cost", "alteration", "cases", "tenant_action", "distress", "units", "evictions", "unpaid", "agreements", "satisfactions", "owner_changed")])
     facts = {"area": c("area"), "units": c("units"), "complaints": c("complaints"), "recent": c("recent"), "noise": c("noise"), "year": c("year"), "floors": c("floors"), "stabilized": c("stabilized")}
     out = board.withColumn("signals", signals)
-    out = out.select("key", scores.quality_score(**facts).alias("quality"), scores.availability_score(c("signals")).alias("availability"), F.size("signals").alias("signal_count"), scores.convergence(F.size("signals")).alias("convergence"), scores.turnover_percent(F.coalesce(c("traded"), F.lit(0)), c("units")).alias("turnover"), "signals", scores.quality_reasons(**facts).alias("reasons"))
+    out = out.select("key", scores.quality_score(**facts).alias("quality"), scores.availability_score(c("signals")).alias("availability"), F.size("signals").alias("signal_count"), scores.convergence(F.size("signals")).alias("convergence"), scores.turnover_percent(F.coalesce(c("traded"), F.lit(0)), c("units")).alias("turnover"), "signals", scores.quality_reasons(**facts).alias("reasons"), *keep)
     return out.withColumn("combined", c("quality") + c("availability"))
 
 
@@ -85,12 +87,10 @@ def hottest(t: Tables) -> DataFrame:
 @query(_BOARD + """SELECT * FROM (SELECT 'quality' AS list, key, quality FROM x ORDER BY quality DESC, key LIMIT 20) UNION ALL SELECT * FROM (SELECT 'prewar', key, quality FROM x WHERE year BETWEEN 1880 AND 1945 ORDER BY quality DESC, key LIMIT 20)
 UNION ALL SELECT * FROM (SELECT 'stabilized', key, quality FROM x WHERE stable ORDER BY quality DESC, key LIMIT 20)""")
 def named_rankings(t: Tables) -> DataFrame:
-    board = part_board(t)
-    scored = score_buildings(board).select("key", "quality").join(board.select("key", "year", "stabilized"), "key")
-    order = [F.desc("quality"), F.col("key")]
-    lists = {"quality": F.lit(True), "prewar": F.col("year").between(1880, 1945), "stabilized": F.col("stabilized")}
-    parts = [top(scored.filter(keep), order, 20).select(F.lit(name).alias("list"), "key", "quality") for name, keep in lists.items()]
-    return parts[0].union(parts[1]).union(parts[2])
+    """The board is evaluated once: each building goes to the lists it belongs to, and each list is cut in every task."""
+    lists = F.array_compact(F.array(F.lit("quality"), F.when(F.col("year").between(1880, 1945), "prewar"), F.when(F.col("stabilized"), "stabilized")))
+    scored = score_buildings(part_board(t), "year", "stabilized").select("key", "quality", F.explode(lists).alias("list"))
+    return first_n(scored, ["list"], [F.desc("quality"), F.col("key")], 20).select("list", "key", "quality")
 
 
 @query(_BOARD + "SELECT count(*) AS buildings, count(*) FILTER (WHERE quality >= 60) AS good, count(*) FILTER (WHERE signal_count >= 3) AS strong, count(*) FILTER (WHERE signal_count = 0) AS quiet FROM x")

@@ -157,3 +157,27 @@ def split_over_full(t: Tables) -> DataFrame:
     """A price range cut at its quartiles, as an over-full bucket is."""
     edges = t.part.agg(F.percentile_approx("p_retailprice", [0.25, 0.5, 0.75], 1_000_000).alias("e"))
     return t.part.crossJoin(F.broadcast(edges)).select("p_partkey", F.size(F.filter("e", lambda x: x < F.col("p_retailprice"))).alias("part"))
+
+
+def change_trend(permits: DataFrame, purchases: DataFrame, stabilized: DataFrame, area: str, year: str) -> DataFrame:
+    """area, year, permits, purchases, stabilized, lost and pressure of every area and year that any of the three has.
+
+    lost: stabilised units less than in the area's last year with any figure, 0 if there are more. pressure: the sum of
+    permits, purchases and lost. The three are tagged and counted in one aggregation.
+    """
+    tagged = [df.select(area, year, F.lit(k).alias("_k")) for k, df in enumerate((permits, purchases, stabilized))]
+    of = lambda k: F.count_if(F.col("_k") == k)
+    n = tagged[0].union(tagged[1]).union(tagged[2]).groupBy(area, year).agg(of(0).alias("permits"), of(1).alias("purchases"), of(2).alias("stabilized"))
+    before = F.lag("stabilized").over(Window.partitionBy(area).orderBy(year))
+    lost = n.withColumn("lost", F.greatest(F.lit(0), F.coalesce(before - F.col("stabilized"), F.lit(0))))
+    return lost.withColumn("pressure", F.col("permits") + F.col("purchases") + F.col("lost"))
+
+
+@query("""WITH o AS (SELECT c_mktsegment AS area, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus AS s, o_orderpriority AS p FROM orders JOIN customer ON c_custkey = o_custkey),
+ n AS (SELECT area, year, count(*) FILTER (WHERE s = 'O') AS permits, count(*) FILTER (WHERE p = '1-URGENT') AS purchases, count(*) FILTER (WHERE s = 'F') AS stabilized FROM o WHERE s IN ('O', 'F') OR p = '1-URGENT' GROUP BY 1, 2),
+ l AS (SELECT *, greatest(0, coalesce(lag(stabilized) OVER (PARTITION BY area ORDER BY year) - stabilized, 0)) AS lost FROM n)
+SELECT area, year, permits, purchases, stabilized, lost, permits + purchases + lost AS pressure FROM l""")
+def area_trend(t: Tables) -> DataFrame:
+    """Permits, corporate purchases and the loss of stabilised units of each area, year by year."""
+    o = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_mktsegment").alias("area"), F.year("o_orderdate").alias("year"), "o_orderstatus", "o_orderpriority")
+    return change_trend(o.filter("o_orderstatus = 'O'"), o.filter("o_orderpriority = '1-URGENT'"), o.filter("o_orderstatus = 'F'"), "area", "year")

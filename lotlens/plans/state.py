@@ -24,7 +24,7 @@ _SIDES = """WITH t AS (SELECT o_orderkey AS id, o_totalprice AS price, o_orderst
 
 @query(_SIDES + "SELECT coalesce(t.id, u.id) AS id, coalesce(u.price, t.price) AS price, coalesce(t.status, u.status) AS status FROM t FULL JOIN u ON t.id = u.id")
 def upsert(t: Tables) -> DataFrame:
-    return up.upsert(_target(t), _updates(t), ["id"], keep=["status"])
+    return up.upsert(_target(t), _updates(t), ["id"], [F.desc("price"), F.col("status")], keep=["status"])
 
 
 @query(_SIDES + "SELECT * FROM t UNION ALL SELECT * FROM u WHERE id NOT IN (SELECT id FROM t)")

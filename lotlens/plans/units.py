@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotlens.functions import keys
 from lotlens.operators import aggregates as agg
 from lotlens.operators import joins, windows
 from lotlens.plans.registry import Tables, query
@@ -25,11 +26,11 @@ def canonical_units(parts: list[DataFrame], key: str, unit: str, multi_source_co
 
 
 def with_placeholders(units: DataFrame, expected: DataFrame, key: str, unit: str, target: str) -> DataFrame:
-    """The units and, per building, placeholders for all that is missing, numbered on from 1."""
+    """The units and, per building, placeholders for all that is missing, numbered on from the units found."""
     found = units.groupBy(key).agg(F.count("*").alias("found"))
     gaps = agg.gap_analysis(expected.select(key, target), found, key, target, "found")
     filled = joins.expand_gap(gaps, F.col("gap"), "_n")
-    holes = filled.select(key, F.concat(F.lit("PLACEHOLDER_"), F.col("_n").cast("string")).alias(unit), F.lit(True).alias("is_placeholder"))
+    holes = filled.select(key, F.concat(F.lit("UNIT_"), keys.zero_filled((F.col("found") + F.col("_n")).cast("string"), 5)).alias(unit), F.lit(True).alias("is_placeholder"))
     return units.withColumn("is_placeholder", F.lit(False)).unionByName(holes, allowMissingColumns=True)
 
 
@@ -38,13 +39,13 @@ def numbered_units(buildings: DataFrame, key: str, n: str, cap: int) -> DataFram
     return joins.expand_gap(buildings, F.col(n), "unit", cap).select(key, F.col("unit").cast("string").alias("unit"))
 
 
-def _orders_by_unit(t: Tables, status: str, source: str, confidence: float) -> DataFrame:
-    o = t.orders.filter(F.col("o_orderstatus") == status)
-    return o.select(F.col("o_custkey").alias("key"), (F.col("o_orderkey") % 6).cast("string").alias("unit"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"), F.col("o_orderpriority").alias("kind")).groupBy("key", "unit", "source", "confidence").agg(F.min("kind").alias("kind"))
-
-
 def _units(t: Tables) -> DataFrame:
-    return canonical_units([_orders_by_unit(t, "F", "deeds", 0.9), _orders_by_unit(t, "O", "permits", 0.7), _orders_by_unit(t, "P", "text", 0.5)], "key", "unit")
+    """Orders as units of three sources, labelled in one pass."""
+    status = F.col("o_orderstatus")
+    source = F.when(status == "F", "deeds").when(status == "O", "permits").when(status == "P", "text")
+    confidence = F.when(status == "F", 0.9).when(status == "O", 0.7).otherwise(0.5)
+    o = t.orders.select(F.col("o_custkey").alias("key"), (F.col("o_orderkey") % 6).cast("string").alias("unit"), source.alias("source"), confidence.alias("confidence"), "o_orderpriority").filter("source is not null")
+    return canonical_units([o.groupBy("key", "unit", "source", "confidence").agg(F.min("o_orderpriority").alias("kind"))], "key", "unit")
 
 
 _UNITS = """WITH s AS (SELECT o_custkey AS key, CAST(o_orderkey % 6 AS VARCHAR) AS unit, CASE o_orderstatus WHEN 'F' THEN 'deeds' WHEN 'O' THEN 'permits' ELSE 'text' END AS source,
@@ -68,7 +69,7 @@ def gap_analysis(t: Tables) -> DataFrame:
     return _gaps(t).select("key", "expected", "found", "gap", "status")
 
 
-@query(_UNITS + """SELECT key, unit, false AS is_placeholder FROM u UNION ALL SELECT key, 'PLACEHOLDER_' || n, true FROM (SELECT key, unnest(range(1, greatest(0, expected - found) + 1)) AS n FROM e)""")
+@query(_UNITS + """SELECT key, unit, false AS is_placeholder FROM u UNION ALL SELECT key, 'UNIT_' || lpad(CAST(found + n AS VARCHAR), 5, '0'), true FROM (SELECT key, found, unnest(range(1, greatest(0, expected - found) + 1)) AS n FROM e)""")
 def complete_coverage(t: Tables) -> DataFrame:
     expected = t.customer.select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("expected"))
     return with_placeholders(_units(t).select("key", "unit"), expected, "key", "unit", "expected")

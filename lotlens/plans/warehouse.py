@@ -55,9 +55,10 @@ def sales(master: DataFrame, legals: DataFrame, parties: DataFrame, known: DataF
     """Documents with parcel, unit, dates, amount and up to three names a side.
 
     Of several parcels of a document a direct match goes before a condo's, then the smaller key; legals and parties
-    are reduced to the wanted documents before they are aggregated.
+    are reduced to the wanted documents before they are aggregated. Of several records of a document the last one holds.
     """
-    wanted = master.filter(c("doc_type").isin(*types)).dropDuplicates(["document_id"])
+    used = ["document_id", "doc_type", "document_date", "recorded_datetime", "document_amt"]
+    wanted = windows.best_per_group(master.filter(c("doc_type").isin(*types)).select(*used), ["document_id"], [F.desc_nulls_last("recorded_datetime"), *[c(x) for x in used[1:]]])
     ids = wanted.select("document_id")
     lots = joins.resolve_condo(by_parts(joins.semi(legals, ids, "document_id")), known, "bbl", "units_residential").filter("resolved is not null")
     unit = F.when(clean.is_unit(c("unit")), F.upper(F.trim("unit")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lotlens.operators import pages
 from lotlens.plans import warehouse as wh
 from lotlens.sources import io
-from lotlens.streaming.alerts import alert_stream, snapshot_stream, windowed_counts
+from lotlens.streaming.alerts import alert_stream, newest_state, snapshot_stream, windowed_counts
 
 
 def test_readers(spark, tmp_path):
@@ -68,7 +68,7 @@ def test_snapshot_stream_folds_pulls(spark, tmp_path):
         spark.createDataFrame(pull, "source_id string, price double").withColumn("pulled_at", F.to_timestamp(F.lit(f"2024-01-0{i + 1} 00:00:00"))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         q = snapshot_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), state, "feed", str(tmp_path / "check"))
         q.awaitTermination(120)
-    got = {r.source_id: (r.price, r.status, str(r.first_seen)[:10], str(r.last_seen)[:10]) for r in spark.read.parquet(f"{state}/v00000001").collect()}
+    got = {r.source_id: (r.price, r.status, str(r.first_seen)[:10], str(r.last_seen)[:10]) for r in newest_state(spark, state, "feed").collect()}
     assert got == {"a": (1.0, "inactive", "2024-01-01", "2024-01-01"), "b": (3.0, "active", "2024-01-01", "2024-01-02"), "c": (4.0, "active", "2024-01-02", "2024-01-02")}
 
 
