@@ -10,7 +10,7 @@ Only what connects a group is passed on, never all its pairs: within a node or c
 yields one edge per member. A node that branching can't split is a group of alike sets and goes to the exact stage as
 it is. There a cluster under a bound of members and shingles is one task's work; the members of a larger one are dealt
 into chunks that all meet the same leaders, and those that stay outside the largest component then meet every chunk,
-so nothing is capped.
+or, if they are many, the members that share one of their rarest shingles; so nothing is capped.
 
 A pair of similarity J meets in a tree with a chance of at least J * (1 - (1 - J)^2)^2: with 10 trees, under 1e-7 of
 pairs at J = 0.85 never meet.
@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -180,12 +180,41 @@ def _collected(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("cls", "payload"))).alias("members"))
 
 
-def exact_labels(rows: DataFrame, percent: int) -> DataFrame:
+def _shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a member, with the number of its shingles."""
+    for batch in batches:
+        for grp, cls, payload in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            tokens = np.frombuffer(payload, np.int64)
+            n = len(tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, grp)), pa.array([cls.as_py()] * n, pa.binary()), pa.array(np.full(n, n)), pa.array(tokens)], ["grp", "cls", "n", "token"])
+
+
+def rare_buckets(rows: DataFrame, outside: DataFrame, percent: int) -> DataFrame:
+    """The members (grp, size, weight, cls, payload) dealt by the shingles of which two linked sets share at least one.
+
+    In any one order of the shingles, sets at the threshold share one of their first n - ceil(percent n / 100) + 1. The
+    order is by frequency in the cluster, so what all its pages have in common comes last and makes no bucket. Only
+    buckets with two members, one of them in `outside`, are kept, and of equal ones one.
+    """
+    tokens = rows.select("grp", "cls", "payload").mapInArrow(_shingles, "grp long, cls binary, n long, token long")
+    ordered = tokens.join(tokens.groupBy("grp", "token").agg(F.count("*").alias("f")), ["grp", "token"])
+    place = F.row_number().over(Window.partitionBy("grp", "cls").orderBy("f", "token"))
+    first = materialize(ordered.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("grp", "cls", "n", "token"))
+    marked = first.join(outside.select("grp", "cls", F.lit(True).alias("out")), ["grp", "cls"], "left")
+    held = F.xxhash64("cls", F.lit(11))
+    buckets = marked.groupBy("grp", "token").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.bool_or("out").alias("out"), F.bit_xor(held).alias("x"), F.sum(F.shiftright(held, 20)).alias("y"))
+    buckets = buckets.filter("size > 1 and out").groupBy("grp", "size", "weight", "x", "y").agg(F.min("token").alias("token"))
+    members = first.select("grp", "token", "cls").join(buckets.select("grp", "token", "size", "weight"), ["grp", "token"])
+    return members.join(rows.select("grp", "cls", "payload"), ["grp", "cls"]).select(F.xxhash64("grp", "token").alias("grp"), "size", "weight", "cls", "payload")
+
+
+def exact_labels(rows: DataFrame, percent: int, branch: bool = True) -> DataFrame:
     """node, label of the members (grp, size, weight, cls, payload) that are linked within their cluster.
 
     size and weight are the cluster's members and shingles. A cluster under both bounds is settled in one task. A
-    larger one is dealt into chunks; every chunk is compared within itself and with the cluster's leaders, then the
-    members outside its largest component meet all chunks.
+    larger one is dealt into chunks, each of which is compared within itself and with the cluster's leaders. What then
+    stands outside its largest component meets all chunks, if it is no more than one chunk; if it is more, as among
+    pages of one template, the cluster is branched once more by its rare shingles, and each bucket is settled likewise.
     """
     fits = (F.col("size") <= CLUSTER) & (F.col("weight") <= CLUSTER_SHINGLES)
     small = _edges(_collected(rows.filter(fits), "grp"), _by_set, percent)
@@ -204,6 +233,12 @@ def exact_labels(rows: DataFrame, percent: int) -> DataFrame:
     outside = placed.join(main, "grp").filter("label <> main").select("grp", "cls", "chunks")
     # an outsider's block is as large as a chunk, so a task holds two chunks at most
     per = outside.groupBy("grp").agg(F.count("*").alias("n"), F.max("chunks").alias("most")).join(large.select("grp", "size").distinct(), "grp").select("grp", F.ceil(F.col("n") * F.col("most") / F.col("size")).cast("int").alias("blocks"))
+    per = materialize(per)
+    wide = per.filter("blocks > 1").select("grp")
+    if branch and wide.limit(1).count() > 0:
+        buckets = materialize(rare_buckets(large.join(wide, "grp", "left_semi"), outside.join(wide, "grp", "left_semi"), percent))
+        first = first.union(exact_labels(buckets, percent, branch=False).select(F.col("label").alias("a"), F.col("node").alias("b")))
+        per = per.filter("blocks = 1")
     outside = materialize(outside.join(per, "grp").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(7)), "blocks").cast("int")))
     every = large.join(per, "grp").select("grp", "cls", "payload", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     out = outside.join(large.select("grp", "cls", "payload"), ["grp", "cls"]).select("grp", "cls", "payload", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block")

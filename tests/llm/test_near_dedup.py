@@ -106,3 +106,24 @@ def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5)]
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.label for r in got if r.node < 1000} == {0} and {r.label for r in got if r.node >= 1000} == {1000} and len(got) == 501
+
+
+def test_pages_of_one_template_are_branched_by_their_rare_shingles(spark, monkeypatch):
+    """Hundreds of pages share most of their words under the threshold; among them are copies and a second large group."""
+    monkeypatch.setattr(near_dedup, "NODE", 40)
+    monkeypatch.setattr(near_dedup, "CLUSTER", 20)
+    calls, buckets = [], near_dedup.rare_buckets
+    monkeypatch.setattr(near_dedup, "rare_buckets", lambda *x: calls.append(1) or buckets(*x))
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    template = [word() for _ in range(160)]
+    texts = [" ".join(template + [word() for _ in range(38)]) for _ in range(150)]
+    texts += [t + " " + word() for t in texts[:60:2]]
+    second = template + [word() for _ in range(38)]
+    texts += [" ".join(second[:-1] + [word()]) for _ in range(50)]
+    third = template + [word() for _ in range(40)]
+    texts += [" ".join(third[:-2] + [word()]) for _ in range(70)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts, 500))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows, 85) and calls
