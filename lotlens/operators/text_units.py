@@ -8,9 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_APT = r"(?:APT|APARTMENT|UNIT|SUITE|#|APT\.)\s*"
-_ANY_FLOOR = r"(?:FLOOR|FLR|FL)\s+"
-
 
 @dataclass(frozen=True)
 class Rules:
@@ -29,7 +26,9 @@ class Rules:
     excluded: Sequence[str] = ()
 
 
-# The pattern sets of the four generations of unit mining.
+# The pattern sets of the four generations of unit mining, and what several of their patterns begin with.
+_APT = r"(?:APT|APARTMENT|UNIT|SUITE|#|APT\.)\s*"
+_ANY_FLOOR = r"(?:FLOOR|FLR|FL)\s+"
 BASIC = Rules(
     singles=[
         (_APT + r"([0-9]{1,4}[A-Z]?)", 1), (r"(?:APT|APARTMENT|UNIT|SUITE)\s+([A-Z]-?[0-9]+)", 1), (r"\b([0-9]{1,2}[A-Z])\b", 1), (r"\b([A-Z][0-9]{1,3})\b", 1),
