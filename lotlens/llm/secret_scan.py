@@ -35,15 +35,16 @@ class Kind:
     base: bool = False
 
 
-# The base kinds in the order in which they are listed, then the method's own.
+# The base kinds in the order in which they are listed, then the method's own, which are bounded so that
+# a long run of letters is read once.
 KINDS = [
     Kind("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"(?i)pass|secret|token|api", 2, 6, True),
     Kind("access", r"AKIA[A-Z0-9]+", r"AKIA", 0, 20, True),
     Kind("hex", r"[0-9a-f]+", r"[0-9a-f]{24}", 0, 24, True),
     Kind("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN "),
-    Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"eyJ"),
+    Kind("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"eyJ"),
     Kind("ghtoken", r"gh[pousr]_[A-Za-z0-9]{36}", r"gh[pousr]_"),
-    Kind("urlpass", r"[a-z][a-z0-9+]*://[^\s:/@]+:[^\s:/@]+@", r"://"),
+    Kind("urlpass", r"[a-z][a-z0-9+]{0,30}://[^\s:/@]+:[^\s:/@]+@", r"://"),
 ]
 
 

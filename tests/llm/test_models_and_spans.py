@@ -141,6 +141,13 @@ def test_secrets_base_against_brute_force(spark):
     assert scan_secrets(frame(spark, SECRET_TEXTS).filter("false")).count() == 0
 
 
+def test_very_long_texts_are_scanned_whole(spark):
+    texts = ["q" * 300_000 + " http://u:p@host " + "q" * 300_000, "0123456789abcdef" * 40_000, "eyJ" * 100_000, "x" * 400_000 + " token=abcdef1234567", "token" + " " * 300_000 + "=" + "secretvalue", "pass: " * 60_000]
+    got = {r.doc_id: r for r in scan_secrets(frame(spark, texts)).collect()}
+    assert got[0].spans == "urlpass:300001:300012" and got[1].spans == "hex:0:640000" and got[2].spans == "" and got[3].spans == "assign:400001:400020"
+    assert got[4].spans == "assign:0:300017" and got[5].spans == ""
+
+
 def test_copied_values_are_examples_and_single_ones_live(spark):
     copied, own, dull, spread, two = "token=EXAMPLEEXAMPLE12345", "token=q8Zr4tLm02XcVb9s", "token=aaaaaaaaaaaaaa1", "token=w7Yt5sKn13WdUc8r", "token=p6Xs6rJo24VeTd7q"
     rows = [(i, copied, f"o{i % 4}", "r") for i in range(40)] + [(100, own, "o1", "r1"), (101, own, "o1", "r2"), (102, None, None, None), (103, dull, "o1", "r1")]
@@ -206,6 +213,52 @@ def test_classifier_edge_cases(spark):
     assert classify_quality(docs.filter("false"), labels).count() == 0
 
 
+def test_word_vectors_and_features_against_plain_sums(spark):
+    from lotlens.llm import quality_classifier as qc
+
+    texts = ["the cat, the dog", "the cat sat", None, "", "!!! 7 the", "sat sat sat sat sat", "le chat noir et le chien"]
+    bucket = lambda t: int(qc.tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0][0])
+    split = [re.findall(r"[a-z0-9]+|[^a-z0-9\s]+", t or "") for t in texts]
+    index = np.zeros((qc.BUCKETS, qc.DIM))
+    for k in range(qc.NONZERO):
+        index[np.arange(qc.BUCKETS), qc._AT[:, k]] += qc._SIGN[:, k]
+    total, seen = np.zeros((qc.BUCKETS, qc.DIM)), np.zeros(qc.BUCKETS)
+    for words_of in split:
+        for i, w in enumerate(words_of):
+            seen[bucket(w)] += 1
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(words_of):
+                    total[bucket(w)] += index[bucket(words_of[j])]
+    total -= seen[:, None] * (total.sum(0) / seen.sum())
+    want = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+    want[seen == 0] = 0
+    vectors = qc.word_vectors(frame(spark, texts).repartition(3))
+    assert np.allclose(vectors, want, atol=1e-6)
+    for t, words_of in zip(texts, split, strict=True):
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        x = qc.document_features(vectors, raw, np.array([0, len(raw)]))[0]
+        if not words_of:
+            assert not x.any()
+            continue
+        b = [bucket(w) for w in words_of]
+        word = max(sum(w.isalnum() for w in words_of), 1)
+        shapes = [np.log1p(len(b)) / 10, len(set(b)) / len(b), sum(not w.isalnum() for w in words_of) / len(b), sum(len(w) for w in words_of if w.isalnum()) / word / 10, sum(len(w) > 10 for w in words_of if w.isalnum()) / word, max(map(b.count, b)) / len(b)]
+        assert np.allclose(x, [*np.mean([vectors[k] for k in b], 0), *np.mean([vectors[k] for k in set(b)], 0), *shapes], atol=1e-5), t
+
+
+def test_repeated_labels_and_documents_stay_within_the_bound(spark, monkeypatch):
+    from lotlens.llm import quality_classifier as qc
+
+    given = []
+    monkeypatch.setattr(qc, "fit_network", lambda x, y: given.append((len(x), sorted(y))) or fit_network(x, y))
+    docs = frame(spark, ["good words here", "bad", "more"])
+    labels = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (1, 0), (2, None)], "doc_id long, quality int")
+    classify_quality(docs.union(docs).union(docs), labels, max_labelled=50).count()
+    classify_quality(docs.union(docs).union(docs), labels, max_labelled=2).count()
+    # of two labels of an id the larger; three copies of two labelled documents, or two rows of them
+    assert given[0] == (6, [0.0, 0.0, 0.0, 1.0, 1.0, 1.0]) and given[1][0] == 2
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(0)
     x = rng.normal(0, 1, (4000, 6))
