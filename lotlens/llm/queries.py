@@ -142,9 +142,19 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in base
  coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r USING (row)"""
 
 
-#: The others hold a trained model, a seeded hash, a tokenizer or an automaton, and are tested against brute force.
+#: The others hold a trained model, a tokenizer or an index, and are tested against brute force.
 ORACLES: dict[str, str] = {
     "op1_license_scan": _licenses_sql(),
+    "op2_stratified_interleave": r"""
+WITH RECURSIVE step(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM step WHERE k < 8),
+ crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+ d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+ b AS (SELECT doc_id, source, CAST(strlen(text) + 1 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(text), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1])), 4294967295) AS text_crc32,
+   CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS tie FROM d, crc),
+ u AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', '17', CAST(doc_id AS VARCHAR), CAST(tie AS VARCHAR))), 1, 13) AS BIGINT) / 4503599627370496.0 AS u, CAST('0x' || substr(md5(concat_ws('|', '18', source)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS v FROM b),
+ r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY u, tie, doc_id NULLS FIRST) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM u),
+ p AS (SELECT *, row_number() OVER (ORDER BY (k + CAST(v AS DOUBLE)) / n, source NULLS FIRST, tie, doc_id NULLS FIRST) - 1 AS place, count(*) OVER () AS total FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 16 // total AS INTEGER) AS shard, CAST(place - (place * 16 // total * total + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM p""",
     "op6_secret_ownership": _secrets_sql(),
     "op3_host_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents),

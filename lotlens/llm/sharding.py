@@ -20,22 +20,27 @@ from pyspark.sql import functions as F
 
 from lotlens.llm.spark_util import exact_rank, materialize, pick, unsigned_crc32
 
-UNIT = float(1 << 40)
+UNIT = float(1 << 52)
 
 
-def _uniform(*cols) -> F.Column:
-    """In [0, 1), from a hash of the columns."""
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / F.lit(UNIT)
+def _digits(text: F.Column, n: int) -> F.Column:
+    """The first n hex digits of the text's md5 as a number: seeded, and the same in any engine."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, n), 16, 10).cast("long")
+
+
+def _uniform(*cols: F.Column | str) -> F.Column:
+    """In [0, 1), from a hash of the columns; nulls are left out."""
+    return _digits(F.concat_ws("|", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]), 13) / F.lit(UNIT)
 
 
 def interleave_shards(docs: DataFrame, shards: int = 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cell_rows: int = 500) -> DataFrame:
     """Columns doc_id, source, size, text_crc32, shard, slot; shard counts differ by one row at most."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    rows = pick(docs, doc_id=docs[id_col], source=docs[source_col], size=(F.octet_length(text) + 1).cast("long"), text_crc32=unsigned_crc32(text), tie=F.xxhash64(text), row=F.monotonically_increasing_id())
+    rows = pick(docs, doc_id=docs[id_col], source=docs[source_col], size=(F.octet_length(text) + 1).cast("long"), text_crc32=unsigned_crc32(text), tie=_digits(text, 15), row=F.monotonically_increasing_id())
     rows = materialize(rows)
     alike = rows.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.count("*").alias("copies")).filter(F.col("copies") > cell_rows)
     salted = rows.join(alike, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left").withColumn("salt", F.when(F.col("copies").isNotNull(), F.col("row")))
-    rows = materialize(salted.drop("_id", "_tie", "copies").withColumn("u", _uniform(F.lit(seed), "doc_id", "tie", "text_crc32", "salt")))
+    rows = materialize(salted.drop("_id", "_tie", "copies").withColumn("u", _uniform(F.lit(seed), "doc_id", "tie", "salt")))
 
     per_source = rows.groupBy("source").agg(F.count("*").alias("n")).withColumn("cells", F.ceil(F.col("n") / cell_rows))
     placed = _join(rows, per_source).withColumn("cell", F.floor(F.col("u") * F.col("cells")))

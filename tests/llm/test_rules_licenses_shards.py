@@ -67,23 +67,21 @@ def test_shards_hold_every_source_in_its_share(spark):
         assert by[r.doc_id].size == len(raw) + 1 and by[r.doc_id].text_crc32 == zlib.crc32(raw)
 
 
-def placed_by_hand(spark, df, shards, seed=17):
-    """(doc_id, source, shard, slot) by sorting all rows, with the operator's own uniform numbers."""
-    from pyspark.sql import functions as F
-
-    text = F.coalesce("text", F.lit(""))
-    unit = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    u = unit(F.lit(seed), "doc_id", F.xxhash64(text), F.crc32(text.cast("binary")))
-    rows = df.select("doc_id", "source", u.alias("u"), unit(F.lit(seed + 1), "source").alias("v")).collect()
+def placed_by_hand(rows, shards, seed=17):
+    """(doc_id, source, shard, slot) by sorting all rows."""
+    from hashlib import md5
+
+    digits = lambda n, t: int(md5(t.encode()).hexdigest()[:n], 16)
+    unit = lambda *c: digits(13, "|".join(str(x) for x in c if x is not None)) / 2**52
     ordered = []
     for source in {r.source for r in rows}:
-        mine = sorted((r for r in rows if r.source == source), key=lambda r: r.u)
-        ordered += [((k + r.v) / len(mine), r) for k, r in enumerate(mine)]
+        mine = sorted((unit(seed, r.doc_id, digits(15, r.text or "")), r.doc_id) for r in rows if r.source == source)
+        ordered += [((k + unit(seed + 1, source)) / len(mine), d, source) for k, (_, d) in enumerate(mine)]
     ordered.sort(key=lambda x: x[0])
     out, n, begin = [], len(rows), {}
-    for k, (_, r) in enumerate(ordered):
+    for k, (_, d, source) in enumerate(ordered):
         shard = k * shards // n
-        out.append((r.doc_id, r.source, shard, k - begin.setdefault(shard, k)))
+        out.append((d, source, shard, k - begin.setdefault(shard, k)))
     return sorted(out, key=str)
 
 
@@ -92,7 +90,7 @@ def test_shards_against_sorting_by_hand(spark):
     df = spark.createDataFrame(rows)
     for n, cells in ((16, 40), (7, 5000)):
         got = interleave_shards(df, shards=n, cell_rows=cells).collect()
-        assert sorted(((r.doc_id, r.source, r.shard, r.slot) for r in got), key=str) == placed_by_hand(spark, df, n)
+        assert sorted(((r.doc_id, r.source, r.shard, r.slot) for r in got), key=str) == placed_by_hand(rows, n)
 
 
 def test_no_value_stands_for_a_null_source(spark):
