@@ -292,7 +292,9 @@ def score_documents(model: PairModel) -> DataFrame:
         blobs = sorted(zip(right.column("range").to_pylist(), right.column("blob").to_pylist(), strict=True))
         loss = sums.losses(chunk, target, words, np.concatenate([np.zeros((2, 0), np.int32), *(_opened(b)[0] for _, b in blobs)], 1))
         n = np.diff(chunk.first)
-        mean = np.stack([tx.per_text(loss[k], chunk.first) for k in (0, 1)]) / np.maximum(n, 1)
+        some, mean = np.flatnonzero(n), np.zeros((2, len(n)))
+        if len(some):  # each document's own sum, which no running sum over the chunk has rounded
+            mean[:, some] = np.add.reduceat(loss, chunk.first[some], axis=1) / n[some]
         columns = [pa.array(chunk.ids, pa.int64(), mask=chunk.null), pa.array(n, pa.int64()), pa.array(mean[1]), pa.array(mean[0]), pa.array(mean[1] - mean[0])]
         return pa.table(columns, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 

@@ -142,6 +142,31 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in base
  coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r USING (row)"""
 
 
+def _losses_sql() -> str:
+    """Both models by plain counting; the unknown word is the empty text, a blank stands before a text's first word."""
+    both = lambda key, at: f"SELECT {key}, count(*) FILTER (WHERE side) AS t, count(*) FILTER (WHERE NOT side) AS b FROM p GROUP BY {at}"
+    own = lambda c, side, mine: f"({c}.{side} - CASE WHEN {'p.side' if side == 't' else 'NOT p.side'} THEN {mine} ELSE 0 END)"
+
+    def loss(side: str) -> str:
+        alone = f"({own('cw', side, 'ow.n')} + 1)::DOUBLE / ({own('tot', side, 'n.n')} + size)"
+        follows = own("cv", side, "ov.n")
+        pair = f"{own('cp', side, 'op.n')}::DOUBLE / greatest({follows}, 1)"
+        return f"-ln(CASE WHEN {follows} > 0 THEN 0.4::DOUBLE * ({alone}) + 0.6::DOUBLE * ({pair}) ELSE {alone} END)"
+
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS side, regexp_extract_all({_AZ}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+ t AS (SELECT r, side, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
+ voc AS (SELECT w FROM t GROUP BY 1 HAVING count(*) >= 2),
+ m AS (SELECT r, side, i, CASE WHEN voc.w IS NULL THEN '' ELSE t.w END AS w FROM t LEFT JOIN voc ON voc.w = t.w),
+ p AS (SELECT r, side, w, coalesce(lag(w) OVER (PARTITION BY r ORDER BY i), ' ') AS v FROM m),
+ cw AS ({both('w', 'w')}), cv AS ({both('v', 'v')}), cp AS ({both('v, w', 'v, w')}),
+ ow AS (SELECT r, w, count(*) AS n FROM p GROUP BY ALL), ov AS (SELECT r, v, count(*) AS n FROM p GROUP BY ALL), op AS (SELECT r, v, w, count(*) AS n FROM p GROUP BY ALL), n AS (SELECT r, count(*) AS n FROM p GROUP BY 1),
+ tot AS (SELECT count(*) FILTER (WHERE side) AS t, count(*) FILTER (WHERE NOT side) AS b, (SELECT count(*) FROM voc) + 1 AS size FROM p),
+ l AS (SELECT p.r, {loss('t')} AS t, {loss('b')} AS b FROM p JOIN cw USING (w) JOIN cv USING (v) JOIN cp ON cp.v = p.v AND cp.w = p.w JOIN ow ON ow.r = p.r AND ow.w = p.w JOIN ov ON ov.r = p.r AND ov.v = p.v JOIN op ON op.r = p.r AND op.v = p.v AND op.w = p.w JOIN n ON n.r = p.r, tot),
+ s AS (SELECT r, sum(t) / count(*) AS t, sum(b) / count(*) AS b FROM l GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_tokens, round(coalesce(t, 0), 6) AS target_loss, round(coalesce(b, 0), 6) AS background_loss, round(coalesce(t - b, 0), 6) AS score FROM d LEFT JOIN s USING (r)"""
+
+
 #: The others hold a trained model, a tokenizer or an index, and are tested against brute force.
 ORACLES: dict[str, str] = {
     "op1_license_scan": _licenses_sql(),
@@ -156,6 +181,7 @@ WITH RECURSIVE step(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL S
  p AS (SELECT *, row_number() OVER (ORDER BY (k + CAST(v AS DOUBLE)) / n, source NULLS FIRST, tie, doc_id NULLS FIRST) - 1 AS place, count(*) OVER () AS total FROM r)
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 16 // total AS INTEGER) AS shard, CAST(place - (place * 16 // total * total + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM p""",
     "op6_secret_ownership": _secrets_sql(),
+    "op9_cross_entropy_difference": _losses_sql(),
     "op3_host_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
  w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
