@@ -167,6 +167,32 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id IN (SELECT
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_tokens, round(coalesce(t, 0), 6) AS target_loss, round(coalesce(b, 0), 6) AS background_loss, round(coalesce(t - b, 0), 6) AS score FROM d LEFT JOIN s USING (r)"""
 
 
+def _contamination_sql() -> str:
+    """Every passage scored against every item that shares a word with it."""
+    words = lambda t: rf"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    grams = lambda ws, n: f"list_distinct(list_transform(range(1, len({ws}) - {n} + 2), lambda k: array_to_string({ws}[k:k + {n} - 1], ' ')))"
+    share = lambda g, n: f"len(list_filter({g}, lambda x: list_contains({grams('passage', n)}, x))) / len({g})"
+    return rf"""
+WITH i AS (SELECT row_number() OVER () AS it, item_id, {words('text')} AS w, list_filter(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: len({words('x')}) > 0) AS parts
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len({words('text')}) > 0),
+ b AS (SELECT *, len(w) AS n, CASE WHEN len(w) <= 64 THEN 64 WHEN len(w) <= 256 THEN 256 WHEN len(w) <= 1024 THEN 1024 ELSE 4096 END AS step,
+   CASE WHEN len(parts) > 1 THEN {words("array_to_string(parts[:-2], ' ')")} ELSE w END AS q, CASE WHEN len(parts) > 1 THEN {words('parts[-1]')} ELSE w END AS a FROM i),
+ g AS (SELECT it, item_id, step, least(5, len(q)) AS nq, least(5, len(a)) AS na, least(5, n) AS nw, {grams('q', 'least(5, len(q))')} AS gq, {grams('a', 'least(5, len(a))')} AS ga, {grams('w', 'least(5, n)')} AS gw FROM b),
+ iw AS (SELECT it, step, n, x AS w, count(*) AS tf FROM (SELECT it, step, n, unnest(w) AS x FROM b) GROUP BY ALL),
+ df AS (SELECT w, count(*) AS df FROM iw GROUP BY 1), tot AS (SELECT count(*) AS items, avg(n) AS mean FROM b),
+ im AS (SELECT it, step, iw.w, ln(1 + (items - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean)) AS impact FROM iw JOIN df ON df.w = iw.w, tot),
+ un AS (SELECT it, step, w, CAST(round_even(impact / sum(impact) OVER (PARTITION BY it) * 1099511627776, 0) AS BIGINT) AS impact FROM im),
+ d AS (SELECT row_number() OVER () AS r, doc_id, {words("coalesce(text, '')")} AS ws FROM documents),
+ t AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
+ k AS (SELECT DISTINCT step FROM b),
+ pw AS (SELECT DISTINCT r, step, s, w FROM (SELECT r, step, i // step AS s, w FROM t, k UNION ALL SELECT r, step, i // step - 1, w FROM t, k WHERE i >= step)),
+ sc AS (SELECT r, s, it FROM pw JOIN un ON un.w = pw.w AND un.step = pw.step GROUP BY r, s, it HAVING sum(impact) >= 549755813888),
+ ve AS (SELECT sc.r, sc.it, s * step AS first_word, ws[s * step + 1:(s + 2) * step] AS passage, g.*, doc_id FROM sc JOIN g ON g.it = sc.it JOIN d ON d.r = sc.r),
+ o AS (SELECT r, it, doc_id, item_id, first_word, {share('gw', 'nw')} AS whole, {share('gq', 'nq')} AS question, {share('ga', 'na')} AS answer FROM ve)
+SELECT doc_id, item_id, round(whole, 6) AS overlap, round(question, 6) AS question_overlap, round(answer, 6) AS answer_overlap, CAST(first_word AS BIGINT) AS first_word FROM o
+WHERE least(question, answer) >= 0.5 OR whole >= 0.5 QUALIFY row_number() OVER (PARTITION BY r, it ORDER BY whole DESC, first_word) = 1"""
+
+
 #: The others hold a trained model, a tokenizer or an index, and are tested against brute force.
 ORACLES: dict[str, str] = {
     "op1_license_scan": _licenses_sql(),
@@ -182,6 +208,7 @@ WITH RECURSIVE step(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL S
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 16 // total AS INTEGER) AS shard, CAST(place - (place * 16 // total * total + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM p""",
     "op6_secret_ownership": _secrets_sql(),
     "op9_cross_entropy_difference": _losses_sql(),
+    "op10_bm25_decontamination": _contamination_sql(),
     "op3_host_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
  w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
