@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotlens.llm.decontam import find_contamination
+from lotlens.llm.lexical_search import lexical_search
 from lotlens.llm.license_scan import BASE_PHRASES, LABEL_OF, TEMPLATES, scan_licenses
 from lotlens.llm.lm_scoring import cross_entropy_difference
+from lotlens.llm.manifest import fold, merkle_manifest, proof_digest
 from lotlens.llm.near_dedup import near_duplicates
 from lotlens.llm.packing import added_tokens, pack
 from lotlens.llm.pii import find_pii
@@ -83,9 +85,26 @@ def op10_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def lower_ascii(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    altered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    proved = merkle_manifest(docs, F.when(altered, lower_ascii(F.col("text"))).otherwise(F.col("text")))
+    folded = fold(F.col("given_leaf"), F.col("steps"))
+    rows = proved.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("steps")).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_aho_corasick_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_stratified_interleave, op3_host_rules, op4_semi_markov_pii, op5_chosen_path_dedup, op6_secret_ownership, op7_linear_grouping_packing, op8_quality_classifier, op9_cross_entropy_difference, op10_bm25_decontamination)
+    for f in (op1_license_scan, op2_stratified_interleave, op3_host_rules, op4_semi_markov_pii, op5_chosen_path_dedup, op6_secret_ownership, op7_linear_grouping_packing, op8_quality_classifier, op9_cross_entropy_difference, op10_bm25_decontamination, op11_merkle_manifest, op12_aho_corasick_search)
 }
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -193,6 +212,68 @@ SELECT doc_id, item_id, round(whole, 6) AS overlap, round(question, 6) AS questi
 WHERE least(question, answer) >= 0.5 OR whole >= 0.5 QUALIFY row_number() OVER (PARTITION BY r, it ORDER BY whole DESC, first_word) = 1"""
 
 
+_CRC_TABLE = """step(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM step WHERE k < 8),
+ crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8)"""
+
+
+def _crc(text: str) -> str:
+    """Unsigned crc32 of a text's bytes, with the table `t` of `crc`."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex({text}), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1])), 4294967295)"
+
+
+def _manifest_sql(levels: int = 6) -> str:
+    """Trees of up to 16^levels leaves, the levels written out; a finished tree stays as it is."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars')))} || {field(text)})"
+
+    def tree(name: str, leaves: str) -> str:
+        """`name`k: nodes of level k (t, i, h, n nodes of the tree); `name`p: proofs of the leaves, cut where the tree ends."""
+        out = [f"{name}0 AS ({leaves})"]
+        for k in range(1, levels + 1):
+            out.append(f"{name}{k} AS (SELECT t, b AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, CAST(ceil(any_value(n) / 16.0) AS BIGINT) AS n, list(h ORDER BY i) AS kids FROM (SELECT *, i // 16 AS b FROM {name}{k - 1}) GROUP BY t, b)")
+        return ",\n ".join(out)
+
+    def walk(name: str, source: str, columns: str) -> str:
+        """CTEs that carry `folded` and `proof` of each row up one level at a time."""
+        out, before = [], source
+        for k in range(1, levels + 1):
+            cut = lambda part: f"CASE WHEN w.n > 1 THEN array_to_string(x.kids[{part}], '') ELSE '' END"
+            left, right = cut("1:w.i % 16"), cut("w.i % 16 + 2:")
+            out.append(
+                f"{name}w{k} AS (SELECT {columns}, w.t, w.i // 16 AS i, x.n AS n, w.proof || {left} || {right} AS proof, CASE WHEN w.n > 1 THEN sha256({left} || w.folded || {right}) ELSE w.folded END AS folded, x.h AS h FROM {before} w JOIN {name}{k} x ON x.t = w.t AND x.i = w.i // 16)"
+            )
+            before = f"{name}w{k}"
+        return ",\n ".join(out)
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH RECURSIVE {_CRC_TABLE},
+ d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS t, {leaf('text')} AS leaf, {leaf(lower)} AS other, {_crc('CAST(doc_id AS VARCHAR)')} % 5 = 0 AS altered FROM documents, crc),
+ r AS (SELECT doc_id, t, leaf, CASE WHEN coalesce(altered, false) THEN other ELSE leaf END AS given, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY t) AS n FROM d),
+ {tree('a', 'SELECT t, i, leaf AS h, n FROM r')},
+ aw0 AS (SELECT doc_id, leaf, t, i, n, '' AS proof, given AS folded, leaf AS h FROM r),
+ {walk('a', 'aw0', 'doc_id, leaf')},
+ s AS (SELECT t AS of, h, row_number() OVER (ORDER BY encode(t)) - 1 AS i, count(*) OVER () AS n FROM a{levels}),
+ {tree('b', "SELECT '' AS t, i, h, n FROM s")},
+ bw0 AS (SELECT doc_id, leaf, s.h AS subroot, '' AS t, s.i, s.n, w.proof, w.folded, s.h FROM aw{levels} w JOIN s ON s.of = w.t),
+ {walk('b', 'bw0', 'doc_id, leaf, subroot')}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = h AS verified FROM bw{levels}"""
+
+
+def _search_sql() -> str:
+    """Every item against every document that shares a term."""
+    terms = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS ws FROM documents),
+ c AS (SELECT count(*) FILTER (WHERE len(ws) > 0) AS docs, sum(len(ws)) AS terms FROM d),
+ t AS (SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY ALL),
+ i AS (SELECT DISTINCT item_id, unnest({terms}) AS w FROM benchmark WHERE item_id IS NOT NULL),
+ f AS (SELECT w, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, c GROUP BY w),
+ s AS (SELECT item_id, t.r, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * CAST(50 + (50 * len(ws) * docs) // terms AS BIGINT)))) AS BIGINT) AS score FROM i JOIN t ON t.w = i.w JOIN f ON f.w = i.w JOIN d ON d.r = t.r, c GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s JOIN d ON d.r = s.r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) <= 50"""
+
+
 #: The others hold a trained model, a tokenizer or an index, and are tested against brute force.
 ORACLES: dict[str, str] = {
     "op1_license_scan": _licenses_sql(),
@@ -206,6 +287,8 @@ WITH RECURSIVE step(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL S
  r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY u, tie, doc_id NULLS FIRST) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM u),
  p AS (SELECT *, row_number() OVER (ORDER BY (k + CAST(v AS DOUBLE)) / n, source NULLS FIRST, tie, doc_id NULLS FIRST) - 1 AS place, count(*) OVER () AS total FROM r)
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 16 // total AS INTEGER) AS shard, CAST(place - (place * 16 // total * total + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM p""",
+    "op11_merkle_manifest": _manifest_sql(),
+    "op12_aho_corasick_search": _search_sql(),
     "op6_secret_ownership": _secrets_sql(),
     "op9_cross_entropy_difference": _losses_sql(),
     "op10_bm25_decontamination": _contamination_sql(),
