@@ -60,19 +60,19 @@ def sketch_cut(percent: int) -> int:
     return 1
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, one after the other, and where each text's begin."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of each text's shingles of `width` words, one after the other, and where each text's begin."""
     data = tx.LOWER[data]
     starts, ends, first = tx.words(data, offsets, tx.SPACE_WORD)
     h = tx.word_hashes(data, starts, ends)
     n = np.diff(first)
-    count = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
+    count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
     begin = np.concatenate([[0], np.cumsum(count)])
     at = np.arange(begin[-1]) - np.repeat(begin[:-1] - first[:-1], count)
-    width = np.repeat(np.minimum(n, SHINGLE), count)
-    out = width.astype(np.uint64) * _SHORT
-    for k in range(SHINGLE):
-        full = width > k
+    wide = np.repeat(np.minimum(n, width), count)
+    out = wide.astype(np.uint64) * _SHORT
+    for k in range(width):
+        full = wide > k
         out[full] += h[at[full] + k] * _PLACE[k]
     out = tx.mixed(out)
     for a, b in zip(begin[:-1], begin[1:], strict=True):
@@ -272,13 +272,13 @@ def candidate_clusters(classes: DataFrame, percent: int) -> DataFrame:
     return connected_components(_edges(_collected(once, "grp"), _by_sketch, percent).union(alike))
 
 
-def _confirm_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm_sets(batches: Iterable[pa.RecordBatch], width: int = SHINGLE) -> Iterator[pa.RecordBatch]:
     """Sets of the wanted classes, each once a task: rows without an id, or with one id and text, are read as often as they stand."""
     done: set[bytes] = set()
     for batch in batches:
         expected = batch.column(1).to_pylist()
         for row, stop, data, offsets in tx.slices(batch.column(0)):
-            sets, begin = shingle_sets(data, offsets)
+            sets, begin = shingle_sets(data, offsets, width)
             raw = [sets[begin[i] : begin[i + 1]].tobytes() for i in range(stop - row)]
             same = []
             for i in range(stop - row):

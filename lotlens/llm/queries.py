@@ -13,6 +13,7 @@ from lotlens.llm.lexical_search import lexical_search
 from lotlens.llm.license_scan import BASE_PHRASES, LABEL_OF, TEMPLATES, scan_licenses
 from lotlens.llm.lm_scoring import cross_entropy_difference
 from lotlens.llm.manifest import fold, merkle_manifest, proof_digest
+from lotlens.llm.metric_join import jaccard_join
 from lotlens.llm.near_dedup import near_duplicates
 from lotlens.llm.packing import added_tokens, pack
 from lotlens.llm.pii import find_pii
@@ -102,9 +103,13 @@ def op12_aho_corasick_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op13_metric_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_stratified_interleave, op3_host_rules, op4_semi_markov_pii, op5_chosen_path_dedup, op6_secret_ownership, op7_linear_grouping_packing, op8_quality_classifier, op9_cross_entropy_difference, op10_bm25_decontamination, op11_merkle_manifest, op12_aho_corasick_search)
+    for f in (op1_license_scan, op2_stratified_interleave, op3_host_rules, op4_semi_markov_pii, op5_chosen_path_dedup, op6_secret_ownership, op7_linear_grouping_packing, op8_quality_classifier, op9_cross_entropy_difference, op10_bm25_decontamination, op11_merkle_manifest, op12_aho_corasick_search, op13_metric_jaccard_join)
 }
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -274,6 +279,24 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) <= 50"""
 
 
+def _near_sql(k: int) -> str:
+    """Every pair of different sets of k-word shingles that share one, and what is reached by those that are linked."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({_AZ}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {k} THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - {k - 2}), lambda i: array_to_string(ws[i:i + {k - 1}], ' ')) END) AS g FROM d)),
+ n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY 1),
+ c AS (SELECT k, min(doc_id) AS rep, any_value(n) AS n, count(*) AS size FROM n GROUP BY 1),
+ cs AS (SELECT rep, g FROM c JOIN s ON s.doc_id = c.rep),
+ i AS (SELECT a.rep AS a, b.rep AS b, count(*) AS shared FROM cs a JOIN cs b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2),
+ l AS (SELECT a, b FROM i JOIN c x ON x.rep = a JOIN c y ON y.rep = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+ reach(a, b) AS (SELECT rep, rep FROM c UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+ m AS (SELECT a AS rep, min(b) AS component FROM reach GROUP BY 1)"""
+
+
+_NEAR_ROWS = " FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.k = n.k LEFT JOIN m ON m.rep = c.rep"
+
+
 #: The others hold a trained model, a tokenizer or an index, and are tested against brute force.
 ORACLES: dict[str, str] = {
     "op1_license_scan": _licenses_sql(),
@@ -313,17 +336,6 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(te
 SELECT doc_id, b.host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
  NOT base_failed AND NOT hard AND host_verdict <> 'blocked' AND soft <= CASE WHEN host_verdict = 'suspect' THEN 0 ELSE 1 END AS kept, host_docs, host_failed, round(rate, 9) AS host_rate, host_verdict
 FROM b JOIN x ON b.host IS NOT DISTINCT FROM x.host""",
-    "op5_chosen_path_dedup": rf"""
-WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({_AZ}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
- s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM d)),
- n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY 1),
- c AS (SELECT k, min(doc_id) AS rep, any_value(n) AS n, count(*) AS size FROM n GROUP BY 1),
- cs AS (SELECT rep, g FROM c JOIN s ON s.doc_id = c.rep),
- i AS (SELECT a.rep AS a, b.rep AS b, count(*) AS shared FROM cs a JOIN cs b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2),
- l AS (SELECT a, b FROM i JOIN c x ON x.rep = a JOIN c y ON y.rep = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
- e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
- reach(a, b) AS (SELECT rep, rep FROM c UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
- m AS (SELECT a AS rep, min(b) AS component FROM reach GROUP BY 1)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept, coalesce(c.size, 0) AS class_size
-FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.k = n.k LEFT JOIN m ON m.rep = c.rep""",
+    "op5_chosen_path_dedup": _near_sql(5) + " SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept, coalesce(c.size, 0) AS class_size" + _NEAR_ROWS,
+    "op13_metric_jaccard_join": _near_sql(4) + " SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(c.size, 0) AS class_size, coalesce(links, 0) AS n_links" + _NEAR_ROWS + " LEFT JOIN (SELECT a AS rep, count(*) AS links FROM e GROUP BY 1) k ON k.rep = c.rep",
 }
