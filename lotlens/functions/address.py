@@ -96,8 +96,9 @@ SKIPPED_PATHS = ("/search", "/for-sale", "/for-rent", "/neighborhoods", "/no-fee
 
 
 def canonical_url(c: Column) -> Column:
-    """Without query, fragment and trailing slashes."""
-    return F.rtrim(F.split_part(F.split_part(c, F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)), F.lit("/"))
+    """Without query, fragment and trailing slashes, and of one protocol: http is https."""
+    bare = F.rtrim(F.split_part(F.split_part(c, F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)), F.lit("/"))
+    return F.when(F.startswith(bare, F.lit("http://")), F.concat(F.lit("https://"), F.substr(bare, F.lit(8)))).otherwise(bare)
 
 
 def classify_url(c: Column, host: str, skipped: tuple[str, ...] = SKIPPED_PATHS) -> Column:

@@ -73,7 +73,8 @@ def event_within(signals: DataFrame, outcomes: DataFrame, key: str, signal_date:
     """
     dated = lambda df, c, outcome: df.select(key, F.col(c).alias("_d"), F.lit(outcome).alias("_outcome"))
     per_day = dated(signals, signal_date, False).union(dated(outcomes, outcome_date, True)).groupBy(key, "_d").agg(F.bool_or("_outcome").alias("_outcome"), F.bool_or(~F.col("_outcome")).alias("_signal"))
-    onwards = Window.partitionBy(key).orderBy("_d").rowsBetween(0, Window.unboundedFollowing)
+    # backwards in time, so that the frame grows: each day is added once
+    onwards = Window.partitionBy(key).orderBy(F.desc("_d")).rowsBetween(Window.unboundedPreceding, 0)
     first = per_day.filter("_d is not null").withColumn("_first", F.min(F.when(F.col("_outcome"), F.col("_d"))).over(onwards)).filter("_signal and _first is not null")
     out = signals.join(first.select(key, F.col("_d").alias(signal_date), "_first"), [key, signal_date], "left")
     for d in days:
@@ -91,12 +92,16 @@ def or_match(df: DataFrame, other: DataFrame, pairs: Sequence[tuple[str, str]],
 
 
 def contains_join(texts: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
-    """Rows of `texts` with each row of `words` whose word they contain as whole words.
+    """Rows of `texts` with each row of `words` whose word they contain as whole words; `word` is one word in lower case.
 
-    A join on the words of the text replaces the nested loop; `word` is one word in lower case.
+    A join on the words of the text replaces the nested loop. Only a hash of the text goes through it with its words;
+    the texts meet what was found once, by that hash, and are looked at again.
     """
-    exploded = texts.withColumn(word, F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"))))
-    return exploded.join(words, word)
+    parts = F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"))
+    split = texts.select(F.xxhash64(text).alias("_row"), F.explode(parts).alias(word))
+    found = split.join(words.select(word).distinct(), word).distinct()
+    back = texts.withColumn("_row", F.xxhash64(text)).join(found, "_row").filter(F.array_contains(parts, F.col(word)))
+    return back.drop("_row").join(words, word)
 
 
 #: Signs of the key by which texts meet phrases.
@@ -108,7 +113,8 @@ def phrase_join(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, ma
 
     The phrases are measured. Under `max_bytes` they are broadcast and tested one by one. Beyond that a phrase is
     looked up by the one of its grams of four signs (or, if it is shorter, by itself) that fewest phrases hold, in the
-    distinct grams of each text: an equi-join whose hits are tested as before. Both ways give the same rows.
+    distinct grams of each text. Only a hash of the text goes through that join with its grams; the texts meet the
+    phrases they may hold once, by the hash, and are tested as before. Both ways give the same rows.
     """
     holds = F.contains(F.lower(F.col(text)), F.lower(F.col(phrase)))
     if phrases.agg(F.coalesce(F.sum(F.octet_length(phrase)), F.lit(0))).first()[0] <= max_bytes:
@@ -118,9 +124,11 @@ def phrase_join(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, ma
     grams = lowered.select("_p", F.explode(_grams(F.col("_p"), F.least(F.length("_p"), F.lit(GRAM)))).alias("_gram"))
     held = grams.groupBy("_gram").agg(F.count("*").alias("_n"))
     keys = grams.join(held, "_gram").groupBy("_p").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
-    keyed = phrases.withColumn("_p", F.lower(phrase)).join(keys, "_p").drop("_p")
     of_text = F.array_distinct(F.flatten(F.array(*[_grams(F.lower(F.col(text)), F.lit(n)) for n in sizes])))
-    return texts.withColumn("_gram", F.explode(of_text)).join(keyed, "_gram").drop("_gram").filter(holds)
+    split = texts.select(F.xxhash64(text).alias("_row"), F.explode(of_text).alias("_gram"))
+    maybe = split.join(keys, "_gram").select("_row", "_p").distinct()
+    found = texts.withColumn("_row", F.xxhash64(text)).join(maybe, "_row").filter(F.contains(F.lower(F.col(text)), F.col("_p"))).drop("_row")
+    return found.join(phrases.withColumn("_p", F.lower(phrase)), "_p").drop("_p")
 
 
 def _grams(c: Column, n: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotlens.functions.clean import parse_display_date, price_in_text
+from lotlens.operators import embedded
 
 
 # The patterns of this module name marks of the pages they read.
@@ -44,12 +45,16 @@ def page_facts(html: Column) -> Column:
 
 
 def embedded_text(html: Column) -> Column:
-    """The pushed script chunks of a page, joined and unescaped."""
+    """The pushed script chunks of a page, joined and unescaped; in a chunk that is no valid string, the usual escapes."""
     chunks = F.regexp_extract_all(html, F.lit(r'(?s)self\.__next_f\.push\(\[\d+,"(.*?)"\]\)'), F.lit(1))
-    text = F.array_join(chunks, "")
-    for escaped, plain in (("\\n", "\n"), ("\\t", "\t"), ('\\"', '"'), ("\\/", "/")):
-        text = F.replace(text, F.lit(escaped), F.lit(plain))
-    return text
+
+    def plain(chunk: Column) -> Column:
+        usual = chunk
+        for escaped, sign in (("\\n", "\n"), ("\\t", "\t"), ('\\"', '"'), ("\\/", "/")):
+            usual = F.replace(usual, F.lit(escaped), F.lit(sign))
+        return F.coalesce(F.get_json_object(F.concat(F.lit('{"s":"'), chunk, F.lit('"}')), "$.s"), usual)
+
+    return F.array_join(F.transform(chunks, plain), "")
 
 
 def embedded_object(text: Column, name: str, schema: str) -> Column:
@@ -73,10 +78,8 @@ def building_record(html: Column) -> Column:
 
 
 def data_layer(html: Column, known: tuple[str, ...]) -> Column:
-    """The first data-layer object (as JSON text) that holds one of the known names."""
-    blobs = F.regexp_extract_all(html, F.lit(r"(?s)(?:dataLayer\s*=\s*\[|dataLayer\.push\s*\()\s*(\{.*?\})\s*[\])]"), F.lit(1))
-    has = lambda b: F.exists(F.array(*[F.lit(f'"{k}"') for k in known]), lambda k: F.contains(b, k)) & F.get_json_object(b, "$").isNotNull()
-    return F.get(F.filter(blobs, has), F.lit(0))
+    """The first data-layer object (as JSON text) that has one of the known names at its top."""
+    return embedded.first_layer(html, known)
 
 
 def layer_field(layer: Column, *names: str) -> Column:
@@ -85,40 +88,58 @@ def layer_field(layer: Column, *names: str) -> Column:
 
 
 def price_history(html: Column) -> Column:
-    """Array of (date, price, event) from the first embedded history list there is, under any of its names."""
-    schema = "array<struct<date:string,price:double,event:string>>"
-    parsed = [F.from_json(_first(html, rf'(?s)"{n}"\s*:\s*(\[.*?\])'), schema) for n in ("pastListings", "past_listings", "listing_history", "priceHistory", "price_history")]
-    return F.coalesce(*parsed, F.array().cast(schema))
+    """Array of (date, price, event) from the page's embedded history; see `embedded.past_listings` for all fields."""
+    return F.transform(embedded.past_listings(html), lambda r: F.struct(r["event_date"].alias("date"), r["price"].alias("price"), r["event_type"].alias("event")))
 
 
 class _Rows(HTMLParser):
-    """Cells of table rows, and whether the table's headers allow it to be a price history."""
+    """Cells of table rows, and whether the table's headers allow it to be a price history.
+
+    Open tables are a stack: what stands in a table inside a cell belongs to that table's cells, and to the outer cell.
+    """
 
     def __init__(self) -> None:
         super().__init__()
         self.tables: list[dict] = []
-        self.cell: list[str] | None = None
+        self.open: list[dict] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "table":
-            self.tables.append({"head": [], "rows": []})
-        elif tag == "tr" and self.tables:
-            self.tables[-1]["rows"].append([])
-        elif tag in ("td", "th") and self.tables:
-            self.cell = []
+            self.open.append({"head": [], "rows": [], "cell": None, "is_head": False})
+            self.tables.append(self.open[-1])
+        elif self.open and tag == "tr":
+            self._close_cell()
+            self.open[-1]["rows"].append([])
+        elif self.open and tag in ("td", "th"):
+            self._close_cell()
+            self.open[-1] |= {"cell": [], "is_head": tag == "th"}
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("td", "th") and self.tables and self.cell is not None:
-            text = " ".join(" ".join(self.cell).split())
-            if tag == "th":
-                self.tables[-1]["head"].append(text.lower())
-            elif self.tables[-1]["rows"]:
-                self.tables[-1]["rows"][-1].append(text)
-            self.cell = None
+        if self.open and tag in ("td", "th", "tr", "table"):
+            self._close_cell()
+            if tag == "table":
+                self.open.pop()
+
+    def close(self) -> None:
+        super().close()
+        while self.open:
+            self.handle_endtag("table")
 
     def handle_data(self, data: str) -> None:
-        if self.cell is not None:
-            self.cell.append(data)
+        for t in self.open:
+            if t["cell"] is not None:
+                t["cell"].append(data)
+
+    def _close_cell(self) -> None:
+        t = self.open[-1]
+        if t["cell"] is None:
+            return
+        text = " ".join(" ".join(t["cell"]).split())
+        if t["is_head"]:
+            t["head"].append(text.lower())
+        elif t["rows"]:
+            t["rows"][-1].append(text)
+        t["cell"] = None
 
 
 def table_cells(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
@@ -130,6 +151,7 @@ def table_cells(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
             for key, html in batch.itertuples(index=False):
                 parser = _Rows()
                 parser.feed(html or "")
+                parser.close()
                 for t in parser.tables:
                     head = " ".join(t["head"])
                     if not head or ("date" in head and ("price" in head or "rent" in head)):

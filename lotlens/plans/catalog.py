@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotlens.plans import basics, curated, files, listings, scalars, scoring, serving, state, streams, texts, units, validation  # noqa: F401  they register
+from lotlens.plans import basics, curated, embedded, files, listings, scalars, scoring, serving, state, streams, texts, units, validation  # noqa: F401  they register
 from lotlens.plans.registry import ORACLES, QUERIES, Tables
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

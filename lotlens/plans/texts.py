@@ -55,7 +55,7 @@ def link_targets(t: Tables) -> DataFrame:
     return t.pages.select(F.explode(pages.links(F.col("html"))).alias("target")).groupBy("target").agg(F.count("*").alias("pages"))
 
 
-@query("""SELECT page_id, rtrim(split_part(split_part(url, '?', 1), '#', 1), '/') AS canonical, CASE WHEN url LIKE '%?%' THEN 'skip' WHEN regexp_matches(url, 'https?://[a-z.]+/(en|fr|de|es)/\\d+') THEN 'page' ELSE 'other' END AS kind FROM pages""")
+@query("""SELECT page_id, regexp_replace(rtrim(split_part(split_part(url, '?', 1), '#', 1), '/'), '^http://', 'https://') AS canonical, CASE WHEN url LIKE '%?%' THEN 'skip' WHEN regexp_matches(url, 'https?://[a-z.]+/(en|fr|de|es)/\\d+') THEN 'page' ELSE 'other' END AS kind FROM pages""")
 def canonical_urls(t: Tables) -> DataFrame:
     u = F.col("url")
     kind = F.when(F.contains(u, F.lit("?")), "skip").when(u.rlike(r"https?://[a-z.]+/(en|fr|de|es)/\d+"), "page").otherwise("other")
@@ -76,7 +76,7 @@ def capture_queue(captures: DataFrame, url: str, stamp: str, processed: DataFram
     return windows.latest(rows, ["canonical"], F.col(stamp), url).join(processed, "canonical", "left_anti")
 
 
-_CAPTURES = """WITH c AS (SELECT page_id, rtrim(split_part(split_part(url, '?', 1), '#', 1), '/') AS canonical, CASE WHEN url LIKE '%?%' THEN 'skip' WHEN regexp_matches(url, '^https?://[a-z.]+/(en|fr|de|es)/[0-9]+') THEN 'page' ELSE 'other' END AS kind FROM pages),
+_CAPTURES = """WITH c AS (SELECT page_id, regexp_replace(rtrim(split_part(split_part(url, '?', 1), '#', 1), '/'), '^http://', 'https://') AS canonical, CASE WHEN url LIKE '%?%' THEN 'skip' WHEN regexp_matches(url, '^https?://[a-z.]+/(en|fr|de|es)/[0-9]+') THEN 'page' ELSE 'other' END AS kind FROM pages),
  known AS (SELECT canonical FROM c WHERE page_id % 17 = 0) """
 
 
@@ -104,7 +104,7 @@ def queue_links(pages_with_links: DataFrame, links: str, page_url: str, known: D
     return found.select(address.canonical_url(whole).alias("canonical"), "_page").groupBy("canonical").agg(F.min("_page").alias("found_on")).join(known.select("canonical").distinct(), "canonical", "left_anti")
 
 
-@query(_CAPTURES + """SELECT canonical, min(url) AS found_on FROM (SELECT url, rtrim(split_part(split_part(CASE WHEN u LIKE '/%' THEN regexp_extract(url, '^(https?://[^/]+)', 1) || u ELSE u END, '?', 1), '#', 1), '/') AS canonical
+@query(_CAPTURES + """SELECT canonical, min(url) AS found_on FROM (SELECT url, regexp_replace(rtrim(split_part(split_part(CASE WHEN u LIKE '/%' THEN regexp_extract(url, '^(https?://[^/]+)', 1) || u ELSE u END, '?', 1), '#', 1), '/'), '^http://', 'https://') AS canonical
  FROM (SELECT url, unnest(regexp_extract_all(html, 'href="([^"#]+)"', 1)) AS u FROM pages)) WHERE canonical NOT IN (SELECT canonical FROM c) GROUP BY 1""")
 def queued_links(t: Tables) -> DataFrame:
     """Links found on the captured pages go to the queue unless they were captured."""

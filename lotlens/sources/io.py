@@ -34,11 +34,11 @@ def scan_archive_index(spark: SparkSession, path: str, layout: str, whole: bool
     An array file is one JSON value, so it is read as a whole; the other layouts are split by line.
     """
     if layout == "arrays":
-        rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("i", "r"))
-        head = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<array<string>>")[0].alias("h")).limit(1)
-        joined = rows.filter("i > 0").crossJoin(F.broadcast(head))  # one row
-        at = lambda name: F.get(F.col("r"), (F.array_position("h", F.lit(name)) - 1).cast("int"))
-        return joined.select(at("timestamp").alias("timestamp"), at("original").alias("original"))
+        captures = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<array<string>>").alias("rows"))
+        # each file has its own header; without the names, the first two columns are taken
+        place = lambda name, default: F.coalesce(F.nullif(F.array_position(F.col("rows")[0], F.lit(name)), F.lit(0)), F.lit(default)).cast("int")
+        rows = captures.select(place("timestamp", 1).alias("t"), place("original", 2).alias("o"), F.explode(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))).alias("r"))
+        return rows.filter(F.size("r") >= F.greatest("t", "o")).select(F.col("r")[F.col("t") - 1].alias("timestamp"), F.col("r")[F.col("o") - 1].alias("original"))
     lines = spark.read.text(path).filter(F.trim("value") != "")
     if layout == "objects":
         return lines.select(F.from_json("value", "timestamp string, original string").alias("r")).select("r.*")
@@ -54,6 +54,15 @@ def scan_dynamic(df: DataFrame, fields: Sequence[str], text_fields: Sequence[str
     return out.withColumn("raw_text", F.array_join(F.filter(F.array(*text_fields), lambda x: x != ""), " "))
 
 
+def flatten_variant(df: DataFrame, json_col: str, fields: Mapping[str, tuple[str, str]], keep: Sequence[str] = ()) -> DataFrame:
+    """Nested record to flat row by (path, type), without a schema; what is absent or of another kind is null.
+
+    The text is parsed once, for all fields; one that is no JSON gives nulls.
+    """
+    parsed = df.select(*keep, F.try_parse_json(json_col).alias("_v"))
+    return parsed.select(*keep, *[F.try_variant_get("_v", path, kind).alias(name) for name, (path, kind) in fields.items()])
+
+
 def flatten_listing(df: DataFrame, json_col: str, schema: str, mapping: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
     """Nested record to flat row; a path is a.b or a[0].b, and what is absent is null."""
     parsed = df.select(*keep, F.from_json(json_col, schema).alias("_r"))
