@@ -11,10 +11,10 @@ Most documents have no other one near them, and are at distance 1 from any pivot
 there. So groups are formed first, by what a link implies:
 
 - two linked sets share one of their first n - ceil(t n) + 1 shingles in any one order; documents meet in groups by
-  these shingles. The order is by hash; shingles that more than `NODE` sets begin with, as those of a passage that many
-  documents share, are put behind all others (at most `HOT` of them, which are sent to all tasks), and only sets that
-  begin with one are read again;
-- the sizes of linked sets differ by the factor t at most: groups that stay large are split into windows of sizes;
+  these shingles, of which those that only one set begins with are dropped after they are counted. The order is by hash;
+- the sizes of linked sets differ by the factor t at most: groups of more than `NODE` are split into windows of sizes;
+- if a window still holds more, as with a passage that very many documents share, its shingle is put behind all others
+  in the order (at most `HOT` of them, which are sent to all tasks), and the sets that begin with one are read again;
 - counts of a set's shingles in bins have an L1 distance that never exceeds the symmetric difference of the sets, which
   the sizes and t bound for linked ones. What no such bound keeps apart is one cluster.
 
@@ -41,7 +41,7 @@ from pyspark.sql.types import IntegralType
 
 from lotlens.llm import text as tx
 from lotlens.llm.components import connected_components
-from lotlens.llm.near_dedup import Link, _collected, _confirm_sets, _edges, shingle_sets
+from lotlens.llm.near_dedup import Link, _confirm_sets, _stars, shingle_sets
 from lotlens.llm.spark_util import materialize, pick, skew_join
 
 SHINGLE = 4
@@ -83,15 +83,16 @@ def _lists(values: np.ndarray, begin: np.ndarray, n: np.ndarray) -> pa.Array:
 
 
 def _sign(percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row_key, doc_id, size and digest of each text's set; with a threshold also its first shingles and count sketch."""
     for batch in batches:
         for row, stop, data, offsets in tx.slices(batch.column(2)):
             sets, begin = shingle_sets(data, offsets, SHINGLE)
             n = np.diff(begin)
             own = [sets[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
-            cls = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in own]
-            sketch = [count_sketch(s) if len(s) else None for s in own]
-            columns = [*(batch.column(k).slice(row, stop - row) for k in (0, 1)), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), _lists(sets, begin[:-1], prefix_length(n, percent)), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["row_key", "doc_id", "n_shingles", "cls", "prefix", "sketch"])
+            columns = [*(batch.column(k).slice(row, stop - row) for k in (0, 1)), pa.array(n, pa.int64()), pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in own], pa.binary())]
+            if percent:
+                columns += [_lists(sets, begin[:-1], prefix_length(n, percent)), pa.array([count_sketch(s) if len(s) else None for s in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["row_key", "doc_id", "n_shingles", "cls", "prefix", "sketch"][: len(columns)])
 
 
 def _reordered(percent: int, hot: np.ndarray, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,32 +296,52 @@ def region_links(rows: DataFrame, percent: int, level: int = 0) -> list[DataFram
     return out
 
 
-def _groups(tokens: DataFrame) -> DataFrame:
-    """node, size, n, cls of the shingles that two sets or more begin with."""
-    counts = tokens.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    return skew_join(tokens, counts, "node")
+def _near(percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges a, b of the groups' members (cid, payload) that counts can't keep apart, one fewer than a component has members."""
+    for batch in batches:
+        a, b = [], []
+        for row in range(batch.num_rows):
+            members = batch.column(0)[row].values
+            cid, payload = members.field(0).to_pylist(), members.field(1).to_pylist()
+            for x, y in _stars(len(cid), _by_counts(payload, percent)):
+                a.append(cid[int(x)])
+                b.append(cid[int(y)])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _shared(tokens: DataFrame) -> DataFrame:
+    """node, size of the shingles that two sets or more begin with."""
+    return materialize(tokens.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"))
 
 
 def candidate_clusters(keyed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """node (cls) and label of the sets that no bound keeps apart."""
-    spread = lambda prefixes: prefixes.select("cls", "n", F.explode("prefix").alias("node"))
-    level = materialize(_groups(spread(classes)))
-    hot = level.filter(F.col("size") > NODE).groupBy("node").agg(F.count("*").alias("size")).orderBy(F.col("size").desc(), "node").limit(HOT).select("node").toArrow()
+    """node (cid) and label of the sets that no bound keeps apart; sets with one cid are taken together."""
+    tokens = classes.select("cid", "n", F.explode("prefix").alias("node"))
+    shared = _shared(tokens)
+    band = F.floor(F.log("n") / (-math.log(percent / 100) * (1 + _EPS))) if percent < 100 else F.col("n")
+    often = shared.filter(F.col("size") > NODE).orderBy(F.col("size").desc(), "node").limit(HOT).select("node")
+    often = tokens.join(F.broadcast(often), "node").groupBy("node", band.alias("band")).agg(F.count("*").alias("size"))
+    hot = often.filter(F.col("size") > NODE).select("node").distinct().toArrow()
     if len(hot):
         behind = np.sort(hot.column("node").to_numpy().view(np.uint64))  # at most HOT numbers
         again = keyed.select("text").mapInArrow(partial(_reordered, percent, behind), "cls binary, prefix array<long>")
         again = materialize(again.groupBy("cls").agg(F.first("prefix").alias("new")))
-        level = materialize(_groups(spread(classes.join(again, "cls", "left").select("cls", "n", F.coalesce("new", "prefix").alias("prefix")))))
-    size_band = F.floor(F.log("n") / (-math.log(percent / 100) * (1 + _EPS))) if percent < 100 else F.col("n")
-    banded = level.filter(F.col("size") > NODE).select("cls", "n", F.explode(F.array(size_band, size_band + 1)).alias("band"), "node")
-    banded = materialize(_groups(banded.select("cls", "n", F.xxhash64("node", "band").alias("node"))))
-    small = level.filter(F.col("size") <= NODE).select("node", "cls").union(banded.filter(F.col("size") <= NODE).select("node", "cls"))
-    # a set of members that meet by many shingles is looked at once
-    nodes = small.groupBy("node").agg(F.sort_array(F.collect_list("cls")).alias("members")).groupBy(F.sha2(F.array_join(F.transform("members", F.hex), ""), 256).alias("grp")).agg(F.first("members").alias("members"))
-    once = nodes.select("grp", F.explode("members").alias("cls")).join(classes.select("cls", F.col("sketch").alias("payload")), "cls")
-    large = banded.filter(F.col("size") > NODE).select("node", "cls")
-    alike = skew_join(large, large.groupBy("node").agg(F.min("cls").alias("a")), "node").select("a", F.col("cls").alias("b"))
-    return connected_components(_edges(_collected(once, "grp"), _by_counts, percent).union(alike))
+        tokens = classes.join(again, "cls", "left").select("cid", "n", F.explode(F.coalesce("new", "prefix")).alias("node"))
+        shared = _shared(tokens)
+    level = materialize(skew_join(tokens.select("cid", "node"), shared, "node"))
+    banded = level.filter(F.col("size") > NODE).select("cid", "node").join(classes.select("cid", "n"), "cid").select("cid", F.explode(F.array(band, band + 1)).alias("band"), "node")
+    banded = banded.select("cid", F.xxhash64("node", "band").alias("node"))
+    banded = materialize(skew_join(banded, banded.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "node"))
+    small = level.filter(F.col("size") <= NODE).select("node", "cid").union(banded.filter(F.col("size") <= NODE).select("node", "cid"))
+    # members that meet by many shingles are looked at once
+    nodes = small.groupBy("node").agg(F.sort_array(F.collect_list("cid")).alias("members"))
+    nodes = nodes.groupBy(F.xxhash64(F.lit(1), "members").alias("g1"), F.xxhash64(F.lit(2), "members").alias("g2")).agg(F.first("members").alias("members"))
+    once = nodes.select("g1", "g2", F.explode("members").alias("cid")).join(classes.select("cid", F.col("sketch").alias("payload")), "cid")
+    groups = once.groupBy("g1", "g2").agg(F.sort_array(F.collect_list(F.struct("cid", "payload"))).alias("members"))
+    near = groups.select("members").mapInArrow(partial(_near, percent), "a long, b long")
+    large = banded.filter(F.col("size") > NODE).select("node", "cid")
+    alike = skew_join(large, large.groupBy("node").agg(F.min("cid").alias("a")), "node").select("a", F.col("cid").alias("b"))
+    return connected_components(near.union(alike))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -338,10 +359,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     doc_id = docs[id_col].cast("long") if isinstance(kind, IntegralType) else docs[id_col]
     kind = "long" if isinstance(kind, IntegralType) else kind.simpleString()
     keyed = pick(docs, row_key=F.xxhash64(F.when(doc_id.isNull(), docs[text_col]), doc_id), doc_id=doc_id, text=docs[text_col])
-    signed = materialize(keyed.mapInArrow(partial(_sign, percent), f"row_key long, doc_id {kind}, n_shingles long, cls binary, prefix array<long>, sketch binary"))
+    shape = f"row_key long, doc_id {kind}, n_shingles long, cls binary"
+    signed = keyed.mapInArrow(partial(_sign, percent), f"{shape}, prefix array<long>, sketch binary").filter("n_shingles > 0")
     first: Callable[[str], Column] = lambda c: F.first(c).alias(c)
-    classes = materialize(signed.filter("n_shingles > 0").groupBy("cls").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n"), first("prefix"), first("sketch")))
-    members = candidate_clusters(keyed, classes, percent).withColumnRenamed("node", "cls").join(classes.select("cls", "row_key", "n"), "cls")
+    classes = signed.groupBy("cls").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n"), first("prefix"), first("sketch"))
+    classes = materialize(classes.withColumn("cid", F.xxhash64("cls")))
+    members = candidate_clusters(keyed, classes, percent).withColumnRenamed("node", "cid").join(classes.select("cid", "cls", "row_key", "n"), "cid")
     sized = members.groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
     wanted = materialize(skew_join(members, sized, "label").select("row_key", "cls", F.xxhash64("label").alias("grp"), "size", "weight"))
     read = keyed.join(wanted, "row_key").select("text", "cls", "grp", "size", "weight")
@@ -355,6 +378,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = found.groupBy(F.col("node").alias("cls")).agg(F.sum("links").alias("n_links"))
     rooted = classes.select("cls", "least", "class_size").join(labels.withColumnRenamed("node", "cls"), "cls", "left").join(links, "cls", "left").withColumn("root", F.coalesce("label", "cls"))
     resolved = skew_join(rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "class_size", "component_id", "n_links")
-    out = signed.select("doc_id", "n_shingles", "cls").join(resolved, "cls", "left")
+    # the texts are read once more instead of kept with their digests
+    rows = keyed.mapInArrow(partial(_sign, 0), shape).select("doc_id", "n_shingles", "cls")
+    out = rows.join(resolved, "cls", "left")
     count: Callable[[str], Column] = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), count("class_size"), count("n_links"))
