@@ -4,11 +4,15 @@ Texts are tokenised once. A text of over `capacity` tokens is cut into full piec
 other piece is packed whole. The plan is made from the histogram of piece lengths alone, at most `capacity` numbers:
 large lengths are sorted into groups of equal cardinality, at most `GROUPS`, and rounded up to the largest of their
 group. The linear programme over all configurations of these few sizes is solved by column generation (a knapsack
-finds the configuration that most improves the last solution). The pieces themselves then take the rounded places of
-its at most `GROUPS` configurations, all but the smallest of each: that one, what whole numbers of uses leave over and
-all small lengths go best-fit, by falling length, into the room that is really left, so that most of what rounding up
-gave away is won back. Each plan entry places a range of ranks of one length; the pieces' exact ranks, found by Spark,
-turn it into places.
+finds the configuration that most improves the last solution). The pieces themselves then take the places of its at
+most `GROUPS` configurations, each used a whole number of times: a place takes the longest piece left that still leaves
+the rounded sizes of the places behind it, so what rounding up gave away is won back as a sequence fills. Pieces that
+whole uses do not cover are grouped and planned again, up to `ROUNDS` times; the few that are still left, and all small
+ones, go best-fit, by falling length, into the room that is really left. Each plan entry places a range of ranks of one
+length; the pieces' exact ranks, found by Spark, turn it into places.
+
+Texts of any length are encoded whole. The fast encoder's expression engine runs out of its stack in blanks of some
+700,000 signs and more: texts with over `LONG_BLANK` of them in a row are encoded by the library of the JSON file.
 
 Null and empty texts hold only the end token. Rows with equal or null ids are packed one by one, alike pieces in the
 order of the table. An empty table gives no pieces. Other columns of the input are not looked at.
@@ -36,8 +40,10 @@ END_ID = 2
 CELL_ROWS = 500
 #: Groups of large lengths, and the part of the capacity from which a length is large.
 GROUPS, LARGE_PART = 64, 5
-#: Part of a configuration's uses that is planned; the rest is left to best fit, which knows the pieces' own lengths.
-PLANNED = 0.6
+#: Times that large pieces are grouped and planned.
+ROUNDS = 4
+#: Blanks in a row from which on the library of the JSON file encodes a text.
+LONG_BLANK = 50_000
 #: Columns that may be generated; a solution is feasible after each of them.
 MOST_COLUMNS = 4000
 
@@ -115,6 +121,8 @@ class PackingPlan:
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.capacity, self.sequences = capacity, 0
+        #: Pieces that configurations placed.
+        self.configured = 0
         self.entries: list[tuple[int, int, int, int, int, int]] = []
         self.used: defaultdict[int, int] = defaultdict(int)
         #: Open runs of alike sequences by their free room: (first sequence, end sequence).
@@ -145,47 +153,51 @@ class PackingPlan:
             self.open[room].append((first, end))
 
     def _large(self, counts: dict[int, int]) -> dict[int, int]:
-        """Places all but a few large pieces; gives those that are left over by length."""
-        groups = linear_groups(counts, GROUPS)
-        if not groups:
-            return {}
-        for config, used in solve_configs([g[0][0] for g in groups], [sum(n for _, n in g) for g in groups], self.capacity):
-            if times := int(PLANNED * used + 1e-6):
-                slots = [groups[g] for g in np.flatnonzero(config) for _ in range(config[g])]
-                self._substitute(slots[:-1] or slots, times)
-        over: defaultdict[int, int] = defaultdict(int)
-        for length, n in (x for g in groups for x in g):
-            over[length] += n
-        return dict(over)
-
-    def _substitute(self, slots: list[list[list[int]]], times: int) -> None:
-        """The slots' pieces in order, `times` of each; runs of sequences with equal lengths are placed at once.
-
-        Slots of one group share its queue, so each takes its part of it first.
+        """Places large pieces by configurations; gives the few that are left over by length."""
+        left = dict(counts)
+        for k in range(ROUNDS):
+            groups = [(g[0][0], g[-1][0], sum(n for _, n in g)) for g in linear_groups({x: n for x, n in left.items() if n}, GROUPS)]
+            plan = solve_configs([g[0] for g in groups], [g[2] for g in groups], self.capacity) if groups else []
+            before = self.configured
+            for config, used in sorted(plan, key=lambda c: (-max(np.flatnonzero(c[0]), default=0), c[0].tolist())):
+                # later rounds have few pieces, and uses of less than one
+                if times := int(used + (0.5 if k else 1e-6)):
+                    self._substitute([groups[g][:2] for g in np.flatnonzero(config) for _ in range(config[g])], times, left)
+            if self.configured == before:
+                break
+        return left
+
+    def _substitute(self, places: list[tuple[int, int]], times: int, left: dict[int, int]) -> None:
+        """Up to `times` sequences of a configuration's places (largest and least length of the group) from what is left.
+
+        Each place takes the longest piece that leaves the places behind it their rounded sizes; a configuration ends
+        when a group has no piece left that is as long as its least one. Runs of alike sequences are placed at once.
         """
-        parts = []
-        for queue in slots:
-            part, need = [], times
-            while need:
-                take = min(need, queue[0][1])
-                part.append([queue[0][0], take])
-                queue[0][1] -= take
-                need -= take
-                if not queue[0][1]:
-                    queue.pop(0)
-            parts.append(part)
+        lengths = sorted(x for x, n in left.items() if n)
         while times:
-            run = min(part[0][1] for part in parts)
+            taken: defaultdict[int, int] = defaultdict(int)
+            chosen, room, behind = [], self.capacity, sum(most for most, _ in places)
+            for most, least in places:
+                behind -= most
+                at = bisect_left(lengths, room - behind + 1) - 1
+                while at >= 0 and left[lengths[at]] <= taken[lengths[at]]:
+                    at -= 1
+                if at < 0 or lengths[at] < least:
+                    return
+                chosen.append(lengths[at])
+                taken[lengths[at]] += 1
+                room -= lengths[at]
+            run = min(times, *(left[x] // n for x, n in taken.items()))
             offset, first = 0, self.sequences
-            for part in parts:
-                self._place(part[0][0], run, first, 1, offset)
-                offset += part[0][0]
-                part[0][1] -= run
-                if not part[0][1]:
-                    part.pop(0)
+            for x in chosen:
+                self._place(x, run, first, 1, offset)
+                offset += x
+                left[x] -= run
+            self.configured += run * len(chosen)
             self.sequences += run
             self._leave(self.capacity - offset, first, first + run)
             times -= run
+            lengths = [x for x in lengths if left[x]]
 
     def _best_fit(self, length: int, n: int) -> None:
         while n:
@@ -233,6 +245,16 @@ def _encoder(tokenizer_path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=1)
+def _library(json_path: str):
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(json_path)
+
+
+_BLANK = re.compile(rf"\s{{{LONG_BLANK},}}+")
+
+
 def added_tokens(json_path: str) -> dict[str, int]:
     """Ids of the tokens that a tokenizer's JSON file adds to its vocabulary; they are recognised in plain text."""
     with open(json_path, encoding="utf-8") as file:
@@ -242,13 +264,13 @@ def added_tokens(json_path: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in added}
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = END_ID, added: dict[str, int] | None = None) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = END_ID, added: dict[str, int] | None = None, json_path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32.
 
     `tokenizer_path` names a byte-level BPE as ranks. A rank file knows no added tokens: with those of the JSON file of
     the same vocabulary as `added`, texts are split at them, the longest first, and the ids are those that the library
     tokenizers gives for the JSON file; without, they are those that it gives with encode_special_tokens. The tests
-    hold both against each other.
+    hold both against each other. `json_path` names that file; texts with long blanks need it.
     """
     added = added or {}
     marks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
@@ -258,8 +280,13 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
         for batch in batches:
             out = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                parts = marks.split(text.as_py() or "") if marks else [text.as_py() or ""]  # every second part is a mark
-                ids = np.array([*(x for k, part in enumerate(parts) for x in ((added[part],) if k % 2 else encode(part))), end_id], "<u4")
+                text = text.as_py() or ""
+                if len(text) >= LONG_BLANK and json_path and _BLANK.search(text):
+                    found = _library(json_path).encode(text, add_special_tokens=False).ids
+                else:
+                    parts = marks.split(text) if marks else [text]  # every second part is a mark
+                    found = [x for k, part in enumerate(parts) for x in ((added[part],) if k % 2 else encode(part))]
+                ids = np.array([*found, end_id], "<u4")
                 start = 0
                 for piece, length in enumerate(piece_lengths(len(ids), capacity)):
                     for column, value in zip(out, (doc_id, piece, start, length, crc32(ids[start : start + length].tobytes())), strict=True):
@@ -270,9 +297,9 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     return pick(docs, doc_id=docs[id_col].cast("long"), text=docs[text_col]).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, added: dict[str, int] | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, added: dict[str, int] | None = None, json_path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece."""
-    pieces = materialize(tokenise(docs, tokenizer_path, id_col, text_col, capacity, added=added).withColumn("row", F.monotonically_increasing_id()))
+    pieces = materialize(tokenise(docs, tokenizer_path, id_col, text_col, capacity, added=added, json_path=json_path).withColumn("row", F.monotonically_increasing_id()))
     histogram = pieces.groupBy("length").agg(F.count("*").alias("n"))
     plan = PackingPlan({r.length: r.n for r in histogram.collect()}, capacity)  # a row for each length at most
     by_length: dict[int, np.ndarray] = {}

@@ -30,10 +30,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def tokenizer_added() -> dict[str, int]:
+def tokenizer_json() -> str:
     import public_tokenizers
 
-    return added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def tokenizer_added() -> dict[str, int]:
+    return added_tokens(tokenizer_json())
 
 
 def held_out(doc_id: Column) -> Column:
@@ -69,7 +73,7 @@ def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), added=tokenizer_added())
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), added=tokenizer_added(), json_path=tokenizer_json())
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,3 +122,33 @@ def test_added_tokens_in_plain_text_have_their_ids(spark, tmp_path):
             start += length
     for got in (queries.op7_linear_grouping_packing(spark, str(tmp_path)), corpus_pipeline.packing(spark, df, str(tmp_path))):
         assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got.collect()} == want
+
+
+def test_runs_of_a_million_signs_have_the_library_s_ids(spark):
+    import corpus_pipeline
+
+    from lotlens.llm.queries import tokenizer_json
+
+    n = 1_000_000
+    texts = ["x" + " " * n + "y", "\n" * n, "a" * n, "=" * n, "\t \n" * (n // 3) + "<|endoftext|>\u3000" * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = set()
+    for i, text in enumerate(texts):
+        ids, start = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4"), 0
+        for piece, length in enumerate(piece_lengths(len(ids), 1024)):
+            want.add((i, piece, start, length, crc32(ids[start : start + length].tobytes())))
+            start += length
+    for got in (pack(df, tokenizer_path(), added=tokenizer_added(), json_path=tokenizer_json()), corpus_pipeline.packing(spark, df, "")):
+        assert {tuple(r)[:5] for r in got.collect()} == want
+
+
+def test_configurations_place_the_large_pieces():
+    rng = random.Random(9)
+    counts = defaultdict(int)
+    for _ in range(20_000):
+        counts[min(1023, max(1, int(rng.lognormvariate(5.5, 0.8))))] += 1
+    plan = PackingPlan(dict(counts), 1024)
+    large = sum(n for x, n in counts.items() if x > 1024 // 5)
+    assert plan.configured >= 0.9 * large
+    assert filled(plan, counts) <= 1.002 * sum(x * n for x, n in counts.items()) / 1024 + 2
