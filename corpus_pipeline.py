@@ -23,7 +23,7 @@ from lotlens.llm.near_dedup import near_duplicates
 from lotlens.llm.packing import pack
 from lotlens.llm.pii import redact_pii
 from lotlens.llm.quality_classifier import keep_good
-from lotlens.llm.queries import held_out, tokenizer_added, tokenizer_path
+from lotlens.llm.queries import held_out, tokenizer_added, tokenizer_json, tokenizer_path
 from lotlens.llm.spark_util import materialize, table
 
 
@@ -70,7 +70,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents with their sequences; repeated rows are packed one by one."""
-    return pack(docs, tokenizer_path(), added=tokenizer_added())
+    return pack(docs, tokenizer_path(), added=tokenizer_added(), json_path=tokenizer_json())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
