@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotlens.operators.observed import write_observed
 from lotlens.operators.windows import best_per_group
 
 
@@ -22,6 +23,11 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: Se
 
     Of several updates of a key the first of the order holds; the order must be total.
     """
+    return upsert_marked(target, updates, keys, order, keep).drop("_change")
+
+
+def upsert_marked(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[Column], keep: Sequence[str] = ()) -> DataFrame:
+    """`upsert` with `_change`: new, updated (whether or not a value differs) or kept."""
     both = _sides(target, best_per_group(updates, keys, order), keys)
     columns = []
     for c in target.columns:
@@ -32,7 +38,8 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: Se
         else:
             take_new = F.col("_new").isNotNull() & (F.col("_old").isNull() if c in keep else F.lit(True))
             columns.append(F.when(take_new, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c))
-    return both.select(*columns)
+    change = F.when(F.col("_old").isNull(), "new").when(F.col("_new").isNotNull(), "updated").otherwise("kept")
+    return both.select(*columns, change.alias("_change"))
 
 
 def insert_first_wins(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -109,3 +116,9 @@ def run_log(phase: str, processed: DataFrame, inserted: DataFrame, at: str, note
     """One audit row of a run."""
     n = processed.agg(F.count("*").alias("processed")).crossJoin(inserted.agg(F.count("*").alias("inserted")))
     return n.select(F.lit(phase).alias("phase"), "processed", "inserted", F.lit(at).cast("timestamp").alias("run_at"), F.lit(notes).alias("notes"))
+
+
+def observed_run(write: Callable[[DataFrame], None], rows: DataFrame, inserted: Column, phase: str, at: str, notes: str = "") -> DataFrame:
+    """Writes the rows and gives the audit row of the run, with counts that the writing plan itself observed."""
+    n = write_observed(rows, write, processed=F.count("*"), inserted=F.count_if(inserted))
+    return rows.sparkSession.range(1).select(F.lit(phase).alias("phase"), *[F.lit(n[c]).cast("bigint").alias(c) for c in ("processed", "inserted")], F.lit(at).cast("timestamp").alias("run_at"), F.lit(notes).alias("notes"))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotlens.operators.observed import write_observed
+
 
 def scan_json_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All batch files of a folder, flat or nested, each one array of records."""
@@ -75,8 +77,9 @@ def _path(c: Column, path: str) -> Column:
     return c
 
 
-def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> int:
+    """The number of rows written, observed by the plan that writes them."""
+    return write_observed(df, lambda rows: rows.write.mode(mode).partitionBy(*partition_by).parquet(path), rows=F.count("*"))["rows"]
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
