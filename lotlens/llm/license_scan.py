@@ -27,21 +27,30 @@ BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apa
 TEMPLATES = {
     "apache-2": "licensed under [[the terms of]] the apache license version 2 [[0]] [[the license]]",
     "apache-2-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {{8}} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
-    "bsd-2-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-3-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[3]] neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-2-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by {{8}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{8}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "bsd-3-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[3]] neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by {{8}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{8}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
     "cc-by": "licensed under [[the terms of]] [[a]] [[the]] creative commons attribution [[{{1}} 0]] [[international]] license",
     "cc-by-nc": "licensed under [[the terms of]] [[a]] [[the]] [[creative commons]] cc by nc [[{{1}} 0]]",
     "gpl-3": "licensed under [[the terms of]] the gnu general public license [[as published by the free software foundation]] [[either]] version 3",
     "gpl-2": "licensed under [[the terms of]] the gnu general public license [[as published by the free software foundation]] [[either]] version 2",
     "lgpl": "licensed under [[the terms of]] the gnu lesser general public license [[version {{2}}]]",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "mit": "[[copyright [[c]] {{10}}]] permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "mit": "[[copyright [[c]] {{10}}]] permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "mit-notice": "[[licensed]] [[released]] under [[the terms of]] the mit license",
     "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at {{8}}",
+    "agpl-3": "licensed under [[the terms of]] the gnu affero general public license [[as published by the free software foundation]] [[either]] version 3",
+    "cc-by-sa": "licensed under [[the terms of]] [[a]] [[the]] creative commons attribution sharealike [[{{1}} 0]] [[international]] license",
+    "cc0": "[[creative commons]] cc0 1 0 universal [[public domain dedication]]",
+    "epl-2": "this program and the accompanying materials are made available under the terms of the eclipse public license [[v]] 2 0",
+    "artistic-2": "licensed under [[the terms of]] the artistic license [[version]] 2 0",
+    "bsl-1": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and non infringement in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions [[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may not be removed or altered from any source distribution",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 #: Label of a template whose name says more than its licence.
 LABEL_OF = {"apache-2-notice": "apache-2", "mit-notice": "mit"}
+#: Labels whose texts hold much of each other's wording: of runs that lie within one another the outer one holds.
+FAMILY_OF = {"bsd-2-clause": "bsd", "bsd-3-clause": "bsd", "gpl-2": "gpl", "gpl-3": "gpl", "agpl-3": "gpl", "cc-by": "cc-by", "cc-by-sa": "cc-by"}
 
 _SEPARATOR = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -143,7 +152,7 @@ class LicenseMatcher:
         self.gate = re.compile(b"|".join(sorted(set(needed))) or b"(?!)")
 
     def scan(self, lower: bytes) -> tuple[list[tuple[int, str]], list[tuple[int, int, str]]]:
-        """Base places as (word index, label), accepted templates as (first word, end word, label), none inside another of its label."""
+        """Base places as (word index, label), accepted templates as (first word, end word, label), none inside another of its family."""
         spots = [(m.start(), label) for pattern, label in self.phrases for m in pattern.finditer(lower)]
         found = [(m.start(), m[0]) for m in _WORD.finditer(lower)]
         starts, tokens = [s for s, _ in found], [t for _, t in found]
@@ -154,12 +163,13 @@ class LicenseMatcher:
             for name in self.by_first.get(token, ()):
                 if (end := self.automata[name].match(tokens, i)) > i:
                     hits.append((i, end, LABEL_OF.get(name, name)))
-        # a run inside another of its label is the same notice
+        # a run inside another of its label is the same notice, one inside a longer one of its family a part of it
         outer, reach = [], {}
         for i, end, label in sorted(hits, key=lambda h: (h[0], -h[1], h[2])):
-            if end > reach.get(label, -1):
+            family = FAMILY_OF.get(label, label)
+            if end > reach.get(family, -1):
                 outer.append((i, end, label))
-                reach[label] = end
+                reach[family] = end
         return base, outer
 
 

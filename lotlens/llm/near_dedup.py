@@ -196,8 +196,9 @@ def rare_buckets(rows: DataFrame, outside: DataFrame, percent: int) -> DataFrame
     order is by frequency in the cluster, so what all its pages have in common comes last and makes no bucket. Only
     buckets with two members, one of them in `outside`, are kept, and of equal ones one.
     """
-    tokens = rows.select("grp", "cls", "payload").mapInArrow(_shingles, "grp long, cls binary, n long, token long")
-    ordered = tokens.join(tokens.groupBy("grp", "token").agg(F.count("*").alias("f")), ["grp", "token"])
+    tokens = rows.select("grp", "cls", "payload").mapInArrow(_shingles, "grp long, cls binary, n long, token long").withColumn("bucket", F.xxhash64("grp", "token"))
+    # what a template's pages share is held by every member
+    ordered = skew_join(tokens, tokens.groupBy("bucket").agg(F.count("*").alias("f")), "bucket").drop("bucket")
     place = F.row_number().over(Window.partitionBy("grp", "cls").orderBy("f", "token"))
     first = materialize(ordered.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("grp", "cls", "n", "token"))
     marked = first.join(outside.select("grp", "cls", F.lit(True).alias("out")), ["grp", "cls"], "left")
@@ -215,6 +216,8 @@ def exact_labels(rows: DataFrame, percent: int, branch: bool = True) -> DataFram
     larger one is dealt into chunks, each of which is compared within itself and with the cluster's leaders. What then
     stands outside its largest component meets all chunks, if it is no more than one chunk; if it is more, as among
     pages of one template, the cluster is branched once more by its rare shingles, and each bucket is settled likewise.
+    A bucket is not branched again: one that shares even its rarest shingles, with m outsiders among n members, is
+    read m n / CLUSTER^2 times CLUSTER sets.
     """
     fits = (F.col("size") <= CLUSTER) & (F.col("weight") <= CLUSTER_SHINGLES)
     small = _edges(_collected(rows.filter(fits), "grp"), _by_set, percent)

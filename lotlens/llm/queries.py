@@ -146,7 +146,7 @@ def _secrets_sql() -> str:
     """Places follow from the lengths of what lies between the matches and of the matches before."""
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
     found = " UNION ALL ".join(
-        f"SELECT row, owner, repo, {i} AS kind, '{k.name}' AS name, {k.least} AS least, string_split_regex(t, {quoted(k.pattern)}) AS gaps, regexp_extract_all(t, {quoted(k.pattern)}) AS whole, regexp_extract_all(t, {quoted(k.pattern)}, {k.group}) AS vals FROM d WHERE regexp_matches(t, {quoted(k.pattern)})"
+        f"SELECT row, owner, repo, {i} AS kind, '{k.name}' AS name, {k.least} AS least, string_split_regex(t, {quoted(k.plain or k.pattern)}) AS gaps, regexp_extract_all(t, {quoted(k.plain or k.pattern)}) AS whole, regexp_extract_all(t, {quoted(k.plain or k.pattern)}, {k.group}) AS vals FROM d WHERE regexp_matches(t, {quoted(k.plain or k.pattern)})"
         for i, k in enumerate(KINDS)
     )
     base = [k for k in KINDS if k.base]

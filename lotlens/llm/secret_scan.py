@@ -33,6 +33,8 @@ class Kind:
     group: int = 0
     least: int = 0
     base: bool = False
+    #: The same for engines without look-behind, which read a token once anyway; it also begins after a hyphen.
+    plain: str | None = None
 
 
 # The base kinds in the order in which they are listed, then the method's own, which are bounded so that
@@ -42,7 +44,7 @@ KINDS = [
     Kind("access", r"AKIA[A-Z0-9]+", r"AKIA", 0, 20, True),
     Kind("hex", r"[0-9a-f]+", r"[0-9a-f]{24}", 0, 24, True),
     Kind("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN "),
-    Kind("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"eyJ"),
+    Kind("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", r"eyJ", plain=r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Kind("ghtoken", r"gh[pousr]_[A-Za-z0-9]{36}", r"gh[pousr]_"),
     Kind("urlpass", r"[a-z][a-z0-9+]{0,30}://[^\s:/@]+:[^\s:/@]+@", r"://"),
 ]

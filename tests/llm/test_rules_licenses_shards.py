@@ -198,3 +198,33 @@ def test_one_notice_is_one_template(spark):
     text = notice + " under the mit license. " + "released under the mit license"
     got = scan_licenses(docs(spark, [notice, text, None])).collect()
     assert [r.n_templates for r in got if r.doc_id < 3][:3] == [1, 3, 0]
+
+
+def test_whole_wording_is_asked_for_and_families_give_one_label(spark):
+    from lotlens.llm.license_scan import TEMPLATES, scan_licenses
+
+    plain = lambda name: re.sub(r"\[\[|\]\]", "", re.sub(r"\{\{\d+\}\}", "holders", TEMPLATES[name]))
+    cut = lambda text, word: text[: text.rindex(word)] + "invented liability" + text[text.rindex(word) + len(word) :]
+    texts = [plain("bsd-3-clause"), plain("bsd-2-clause"), *[plain(n) for n in ("zlib", "bsl-1", "isc", "agpl-3", "cc-by-sa", "cc0", "epl-2", "artistic-2")]]
+    texts += [cut(plain("mit"), "dealings"), cut(plain("isc"), "performance"), cut(plain("bsd-3-clause"), "damage"), plain("mit").split(" the software is provided")[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = [r.labels for r in scan_licenses(df).orderBy("doc_id").collect()]
+    assert labels == ["bsd-3-clause", "bsd-2-clause", "zlib", "bsl-1", "isc", "agpl-3", "cc-by-sa", "cc0", "epl-2", "artistic-2", "", "", "", ""]
+
+
+def test_tokens_in_hyphenated_runs_are_read_once(spark):
+    import time
+
+    from lotlens.llm.secret_scan import scan_secrets
+
+    took = []
+    for n in (50_000, 400_000):
+        text = "eyJaaaaaaaa-" * (n // 12) + " eyJabcdefgh.eyJabcdefgh.abcdefgh"
+        df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+        scan_secrets(df).count()
+        start = time.time()
+        spans = scan_secrets(df).first().spans
+        took.append(time.time() - start)
+        at = len(text) - 31
+        assert spans == f"jwt:{at}:{len(text)}"
+    assert took[1] < 8 * took[0] + 5
