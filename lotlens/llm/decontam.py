@@ -2,9 +2,9 @@
 
 The index is over the items: impacts are BM25 weights divided by an item's own score, so that 1 is a passage with all
 of its words; they are kept as whole numbers, so a sum is exact in any order. Items stand in blocks with the largest
-impact of each word kept per block. Texts are cut into passages of two overlapping segments; block maxima summed over
-a passage's distinct words bound its scores, all passages of a slice at once, and the blocks whose bound reaches the
-threshold are walked with block-max WAND. Retrieved items are verified word by word: shares of the question's and the
+impact of each word kept per block. Texts are cut into passages of two overlapping segments. For all passages of a
+slice at once, the lists of the words without which no item reaches the threshold are read, and the blocks of items
+that may reach it are walked with block-max WAND. Retrieved items are verified word by word: shares of the question's and the
 answer's n-grams that the passage's surroundings hold.
 
 Document frequencies, mean length and the number of items are taken by Spark over all items. The index is then built
@@ -14,7 +14,7 @@ all parts that fit `BROADCAST_BYTES` together, which a task takes in turn; beyon
 group, and never more than one of them on the driver.
 
 Nulls and empty texts or items match nothing, nor do items without an id. Equal items are one; an id with several
-texts is found by each. Repeated documents are tested one by one. Empty tables give no rows. Other columns of the
+texts is found by each. Texts of any length are read whole, and lists of items for a bounded number of entries at once. Repeated documents are tested one by one. Empty tables give no rows. Other columns of the
 inputs are not looked at.
 """
 
@@ -36,6 +36,8 @@ from lotlens.llm.spark_util import materialize, pick
 INDEX_ITEMS, BLOCK = 500, 2
 #: Index parts that are sent to the executors at once, and opened ones that a worker keeps.
 BROADCAST_BYTES, OPEN_BYTES = 64 << 20, 128 << 20
+#: Entries of the lists of items that are read at once.
+GATHER = 1 << 20
 K1, B = 1.2, 0.75
 #: Words of the shortest class of items; the next is four times as long.
 LEAST_STEP = 64
@@ -107,9 +109,11 @@ class ItemIndex:
         self.block_max *= np.float32(1.000001)
         self.term_max = np.zeros(len(self.vocabulary), np.int64)
         np.maximum.at(self.term_max, self.term, self.impact)
+        self.by_item = np.argsort(self.place, kind="stable")
+        self.own = np.searchsorted(self.place[self.by_item], np.arange(len(self.ids) + 1))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("begin", "block_max", "term_max")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("begin", "block_max", "term_max", "by_item", "own")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -182,6 +186,59 @@ class ItemIndex:
 Hits = dict[tuple[int, int], tuple[float, float, float, int]]
 
 
+def _blocks_in_reach(index: ItemIndex, word: np.ndarray, begin: np.ndarray, ends_of: np.ndarray, least: int) -> Iterator[tuple[int, set[int]]]:
+    """(passage, blocks) where some item may reach the threshold; a passage's distinct words stand from begin to ends_of.
+
+    A passage's words are ordered by the largest impact that each has on any item. The first ones, which together
+    stay under the threshold, can't bring an item there alone, so only the lists of the others are read; the largest
+    impacts of the first ones are added to what those give. So frequent words, which are in many items and matter to
+    none, cost nothing. Items that still may reach it are scored by their own words. Lists are read for as many
+    passages at once as give `GATHER` entries.
+    """
+    width, every, of = len(index.vocabulary), word, np.repeat(np.arange(len(begin)), ends_of - begin)
+    passage = of
+    most = index.term_max[word]
+    order = np.lexsort((word, most, passage))
+    word, most = word[order], most[order]
+    total = np.cumsum(most)
+    total -= np.repeat(total[begin] - most[begin], ends_of - begin)
+    first = total < least
+    rest = np.zeros(len(begin), np.int64)
+    np.add.at(rest, passage[first], most[first])
+    passage, word = passage[~first], word[~first]
+    lists = index.begin[word + 1] - index.begin[word]
+    entries = np.concatenate([[0], np.cumsum(lists)])
+    edges = np.searchsorted(passage, np.arange(len(begin) + 1))
+    i = 0
+    while i < len(begin):
+        j = max(i + 1, min(i + 1 + GATHER // len(index.ids), i + 1 + 16 * GATHER // width, int(np.searchsorted(entries[edges], entries[edges[i]] + GATHER, "right")) - 1))
+        j = min(j, len(edges) - 1)
+        part = slice(edges[i], edges[j])
+        n = lists[part]
+        at = np.arange(n.sum()) + np.repeat(index.begin[word[part]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        low, cells = i, (j - i) * len(index.ids)
+        # sums of whole numbers under 2^53 are exact as doubles
+        score = np.bincount(np.repeat((passage[part] - low) * len(index.ids), n) + index.place[at], index.impact[at], cells).reshape(-1, len(index.ids))
+        near = np.flatnonzero(score >= (least - rest[low : low + len(score)])[:, None])
+        key = near + low * len(index.ids)
+        held = np.zeros((j - i) * width, bool)
+        own = slice(begin[i], ends_of[j - 1])
+        held[(of[own] - low) * width + every[own]] = True
+        for c in range(0, len(key), GATHER // 256):
+            some = key[c : c + GATHER // 256]
+            p, item = some // len(index.ids), some % len(index.ids)
+            n = index.own[item + 1] - index.own[item]
+            at = index.by_item[np.arange(n.sum()) + np.repeat(index.own[item] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)]
+            sums = np.concatenate([[0], np.cumsum(np.where(held[np.repeat(p - low, n) * width + index.term[at]], index.impact[at], 0))])
+            ends = np.cumsum(n)
+            key[c : c + GATHER // 256] = np.where(sums[ends] - sums[ends - n] >= least, some, -1)
+        key = key[key >= 0]
+        found, start = np.unique(key // len(index.ids), return_index=True)
+        for k, blocks in zip(found.tolist(), np.split(key % len(index.ids) // BLOCK, start[1:]), strict=True):
+            yield k, set(blocks.tolist())
+        i = j
+
+
 def passage_hits(index: ItemIndex, h: np.ndarray, first: np.ndarray, threshold: float, overlap: float) -> Hits:
     """By (text, item place): the best verified passage's overlaps and first word, of texts with word hashes `h`.
 
@@ -205,14 +262,12 @@ def passage_hits(index: ItemIndex, h: np.ndarray, first: np.ndarray, threshold:
         return out
     passage_of, word = pair // width, pair % width
     some, begin = np.unique(passage_of, return_index=True)
-    bound = np.add.reduceat(index.block_max[word], begin)
     ends_of = np.append(begin[1:], len(word))
-    for k in np.flatnonzero(bound.max(1) >= least * 0.9999):
+    for k, blocks in _blocks_in_reach(index, word, begin, ends_of, least):
         s = int(some[k])
         d = int(np.searchsorted(base, s, "right") - 1)
         lo = int(first[d] + (s - base[d]) * step)
         passage = h[lo : min(lo + 2 * step, int(first[d + 1]))]
-        blocks = set(np.flatnonzero(bound[k] >= least * 0.9999).tolist())
         for item, _ in index.search(word[begin[k] : ends_of[k]].tolist(), least, blocks):
             question, answer, whole = index.verify(item, passage)
             if (min(question, answer) >= overlap or whole >= overlap) and out.get((d, item), (-1.0,))[0] < whole:

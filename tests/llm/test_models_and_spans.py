@@ -463,3 +463,37 @@ def test_results_do_not_depend_on_the_parts(spark, monkeypatch, n):
                     if min(share(q), share(a)) >= 0.5 or share(w) >= 0.5:
                         want.add((d, i))
         assert {(d, i) for d, i, *_ in seen[0]} == want
+
+
+def test_a_very_long_text_is_searched_in_bounded_memory():
+    """Twenty megabytes of text against five hundred items, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource, sys
+import numpy as np
+from lotlens.llm import text as tx
+from lotlens.llm.decontam import ItemIndex, passage_hits
+rng = random.Random(1)
+words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(8000)]
+often = words[:150]
+text = lambda n: " ".join(rng.choice(often if rng.random() < 0.5 else words) for _ in range(n))
+items = [(i, text(30)) for i in range(500)]
+body = text(1_200_000)
+planted = {7: 1000, 450: 999_000}
+parts = body.split(" ")
+for i, at in planted.items():
+    parts[at : at + 30] = items[i][1].split(" ")
+body = (" ".join(parts) + " " + " ".join(parts[:3000]))
+body += " " * (20_000_000 - len(body))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+index = ItemIndex.alone(items)
+data = tx.LOWER[np.frombuffer(body.encode(), np.uint8)]
+starts, ends, first = tx.words(data, np.array([0, len(data)]), tx.ALNUM_WORD)
+hits = passage_hits(index, tx.word_hashes(data, starts, ends), first, 0.5, 0.5)
+print(sorted(index.ids[i] for _, i in hits), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=__file__.rsplit("/tests/", 1)[0], check=True).stdout
+    found, grown = out.rsplit(" ", 1)
+    assert found == "[7, 450]" and int(grown) < 500
