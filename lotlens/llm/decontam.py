@@ -234,7 +234,7 @@ def _blocks_in_reach(index: ItemIndex, word: np.ndarray, begin: np.ndarray, ends
             key[c : c + GATHER // 256] = np.where(sums[ends] - sums[ends - n] >= least, some, -1)
         key = key[key >= 0]
         found, start = np.unique(key // len(index.ids), return_index=True)
-        for k, blocks in zip(found.tolist(), np.split(key % len(index.ids) // BLOCK, start[1:]), strict=True):
+        for k, blocks in zip(found.tolist(), np.split(key % len(index.ids) // BLOCK, start)[1:], strict=True):
             yield k, set(blocks.tolist())
         i = j
 
