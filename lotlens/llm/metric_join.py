@@ -82,11 +82,11 @@ def _lists(values: np.ndarray, begin: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[at].view(np.int64)))
 
 
-def _sign(percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(percent: int, width: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row_key, doc_id, size and digest of each text's set; with a threshold also its first shingles and count sketch."""
     for batch in batches:
         for row, stop, data, offsets in tx.slices(batch.column(2)):
-            sets, begin = shingle_sets(data, offsets, SHINGLE)
+            sets, begin = shingle_sets(data, offsets, width)
             n = np.diff(begin)
             own = [sets[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
             columns = [*(batch.column(k).slice(row, stop - row) for k in (0, 1)), pa.array(n, pa.int64()), pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in own], pa.binary())]
@@ -95,11 +95,11 @@ def _sign(percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays(columns, ["row_key", "doc_id", "n_shingles", "cls", "prefix", "sketch"][: len(columns)])
 
 
-def _reordered(percent: int, hot: np.ndarray, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reordered(percent: int, width: int, hot: np.ndarray, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """cls and new prefix of the texts whose prefix holds a hot shingle, hot ones put behind."""
     for batch in batches:
         for _, _, data, offsets in tx.slices(batch.column(0)):
-            sets, begin = shingle_sets(data, offsets, SHINGLE)
+            sets, begin = shingle_sets(data, offsets, width)
             n = np.diff(begin)
             late = hot[np.minimum(np.searchsorted(hot, sets), len(hot) - 1)] == sets
             length = prefix_length(n, percent)
@@ -314,7 +314,7 @@ def _shared(tokens: DataFrame) -> DataFrame:
     return materialize(tokens.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"))
 
 
-def candidate_clusters(keyed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def candidate_clusters(keyed: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
     """node (cid) and label of the sets that no bound keeps apart; sets with one cid are taken together."""
     tokens = classes.select("cid", "n", F.explode("prefix").alias("node"))
     shared = _shared(tokens)
@@ -324,7 +324,7 @@ def candidate_clusters(keyed: DataFrame, classes: DataFrame, percent: int) -> Da
     hot = often.filter(F.col("size") > NODE).select("node").distinct().toArrow()
     if len(hot):
         behind = np.sort(hot.column("node").to_numpy().view(np.uint64))  # at most HOT numbers
-        again = keyed.select("text").mapInArrow(partial(_reordered, percent, behind), "cls binary, prefix array<long>")
+        again = keyed.select("text").mapInArrow(partial(_reordered, percent, width, behind), "cls binary, prefix array<long>")
         again = materialize(again.groupBy("cls").agg(F.first("prefix").alias("new")))
         tokens = classes.join(again, "cls", "left").select("cid", "n", F.explode(F.coalesce("new", "prefix")).alias("node"))
         shared = _shared(tokens)
@@ -344,11 +344,11 @@ def candidate_clusters(keyed: DataFrame, classes: DataFrame, percent: int) -> Da
     return connected_components(near.union(alike))
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, class_size and n_links of every row.
 
-    Rows are linked if 100 * shared >= percent * united distinct four-word shingles of the texts, A-Z lower-cased; a
-    text of one to three words is one shingle. class_size counts the rows with the same set, n_links the other sets
+    Rows are linked if 100 * shared >= percent * united distinct shingles of `width` words (five at most) of the texts,
+    A-Z lower-cased; a text of fewer words is one shingle. class_size counts the rows with the same set, n_links the other sets
     that this one is linked with. component_id is the smallest id reachable by links, copies included.
 
     Null and empty texts have no set, are linked with nothing and have a class_size of 0. A row without an id takes
@@ -360,15 +360,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = "long" if isinstance(kind, IntegralType) else kind.simpleString()
     keyed = pick(docs, row_key=F.xxhash64(F.when(doc_id.isNull(), docs[text_col]), doc_id), doc_id=doc_id, text=docs[text_col])
     shape = f"row_key long, doc_id {kind}, n_shingles long, cls binary"
-    signed = keyed.mapInArrow(partial(_sign, percent), f"{shape}, prefix array<long>, sketch binary").filter("n_shingles > 0")
+    signed = keyed.mapInArrow(partial(_sign, percent, width), f"{shape}, prefix array<long>, sketch binary").filter("n_shingles > 0")
     first: Callable[[str], Column] = lambda c: F.first(c).alias(c)
     classes = signed.groupBy("cls").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n"), first("prefix"), first("sketch"))
     classes = materialize(classes.withColumn("cid", F.xxhash64("cls")))
-    members = candidate_clusters(keyed, classes, percent).withColumnRenamed("node", "cid").join(classes.select("cid", "cls", "row_key", "n"), "cid")
+    members = candidate_clusters(keyed, classes, percent, width).withColumnRenamed("node", "cid").join(classes.select("cid", "cls", "row_key", "n"), "cid")
     sized = members.groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
     wanted = materialize(skew_join(members, sized, "label").select("row_key", "cls", F.xxhash64("label").alias("grp"), "size", "weight"))
     read = keyed.join(wanted, "row_key").select("text", "cls", "grp", "size", "weight")
-    full = materialize(read.mapInArrow(partial(_confirm_sets, width=SHINGLE), "cls binary, grp long, size long, weight long, payload binary"))
+    full = materialize(read.mapInArrow(partial(_confirm_sets, width=width), "cls binary, grp long, size long, weight long, payload binary"))
     tables = region_links(full.select(F.col("grp").alias("region"), "size", "weight", "cls", "payload", F.lit(True).alias("query")), percent)
     found = tables[0]
     for t in tables[1:]:
@@ -379,7 +379,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rooted = classes.select("cls", "least", "class_size").join(labels.withColumnRenamed("node", "cls"), "cls", "left").join(links, "cls", "left").withColumn("root", F.coalesce("label", "cls"))
     resolved = skew_join(rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "class_size", "component_id", "n_links")
     # the texts are read once more instead of kept with their digests
-    rows = keyed.mapInArrow(partial(_sign, 0), shape).select("doc_id", "n_shingles", "cls")
+    rows = keyed.mapInArrow(partial(_sign, 0, width), shape).select("doc_id", "n_shingles", "cls")
     out = rows.join(resolved, "cls", "left")
     count: Callable[[str], Column] = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), count("class_size"), count("n_links"))
