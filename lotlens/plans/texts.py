@@ -101,7 +101,7 @@ def queue_links(pages_with_links: DataFrame, links: str, page_url: str, known: D
     found = pages_with_links.select(F.col(page_url).alias("_page"), target.alias("_link"))
     host = F.regexp_extract("_page", r"^(https?://[^/]+)", 1)
     whole = F.when(F.startswith(F.col("_link"), F.lit("/")), F.concat(host, "_link")).otherwise(F.col("_link"))
-    return found.select(address.canonical_url(whole).alias("canonical"), "_page").groupBy("canonical").agg(F.min("_page").alias("found_on")).join(known.select("canonical").distinct(), "canonical", "left_anti")
+    return found.select(address.canonical_url(whole).alias("canonical"), "_page").groupBy("canonical").agg(F.min("_page").alias("found_on")).join(known.select(address.canonical_url(F.col("canonical")).alias("canonical")).distinct(), "canonical", "left_anti")
 
 
 @query(_CAPTURES + """SELECT canonical, min(url) AS found_on FROM (SELECT url, regexp_replace(rtrim(split_part(split_part(CASE WHEN u LIKE '/%' THEN regexp_extract(url, '^(https?://[^/]+)', 1) || u ELSE u END, '?', 1), '#', 1), '/'), '^http://', 'https://') AS canonical

@@ -101,4 +101,4 @@ def test_listings_without_a_key_are_not_grouped(spark):
 def test_found_links_are_queued_once(spark):
     found = spark.createDataFrame([Row(url="http://x.org/a", l=["/b?q=1", "/b/", "http://y.org/"]), Row(url="http://x.org/0", l=["/b", "/a"])])
     known = spark.createDataFrame([("http://x.org/a",)], "canonical string")
-    assert rows(queue_links(found, "l", "url", known)) == [("http://x.org/b", "http://x.org/0"), ("http://y.org", "http://x.org/a")]
+    assert rows(queue_links(found, "l", "url", known)) == [("https://x.org/b", "http://x.org/0"), ("https://y.org", "http://x.org/a")]
