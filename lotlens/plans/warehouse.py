@@ -20,7 +20,7 @@ count = lambda x: clean.parse_int(c(x)).cast("int")
 
 
 def buildings(pluto: DataFrame) -> DataFrame:
-    """Residential lots with areas per unit; the largest row of a key wins."""
+    """Residential lots with areas per unit; the largest row of a key wins, at ties the first by address and then by all else."""
     units = clean.parse_int(c("unitsres"))
     out = pluto.filter(units > 0).select(
         keys.key_from_number(c("bbl")).alias("bbl"), "borough", F.upper(F.trim("address")).alias("address"), "zipcode", c("bldgclass").alias("building_class"),
@@ -29,7 +29,9 @@ def buildings(pluto: DataFrame) -> DataFrame:
         clean.per_unit(clean.parse_float(c("resarea")), units).cast("int").alias("avg_unit_sqft"), clean.per_unit(clean.parse_float(c("assesstot")), units).cast("int").alias("assessed_per_unit"),
         clean.parse_float(c("latitude"), None).alias("latitude"), clean.parse_float(c("longitude"), None).alias("longitude"),
     )
-    return windows.best_per_group(out.filter(keys.is_usable(c("bbl"))), ["bbl"], [F.desc("units_residential"), c("address")])
+    first = ["units_residential", "address"]
+    ties = [c(name) for name in out.columns if name not in ("bbl", *first)]
+    return windows.best_per_group(out.filter(keys.is_usable(c("bbl"))), ["bbl"], [F.desc("units_residential"), c("address"), *ties])
 
 
 def bin_map(bridge: DataFrame) -> DataFrame:

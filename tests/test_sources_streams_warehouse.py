@@ -103,3 +103,11 @@ def test_curated_tables(spark):
     assert (p[0].bbl, p[0].estimated_cost, str(p[0].action_date)) == (1000010010, 1234.0, "2024-01-05")
     s = wh.slug_buildings(raw(spark, {"value": "1-main-street-new_york?x"}, {"value": "nope"}), b).collect()
     assert [(r.slug, r.bbl) for r in s] == [("1-main-street-new_york", 1000010010)]
+
+
+def test_equal_lots_of_a_key_have_one_winner(spark):
+    """Rows that agree in units and address: the same one wins in whatever order they arrive."""
+    lot = lambda owner, tax: Row(bbl="1000010001", borough="MN", address="1 Main", zipcode="10001", bldgclass="A", yearbuilt="1930", numfloors="2", unitsres="7", unitstotal="8", ownername=owner, assesstot=tax, resarea="700", latitude="40.5", longitude="")
+    lots = [lot("Cy", "5"), lot("Al", "9"), lot("Bo", "1"), lot("Al", "3")]
+    won = [wh.buildings(spark.createDataFrame(x).coalesce(1)).first() for x in (lots, lots[::-1], lots[2:] + lots[:2])]
+    assert {(r.owner_name, r.assessed_total) for r in won} == {("Al", 3.0)}
