@@ -1,11 +1,11 @@
 """Profiles of a table's columns as states that merge: kept by source and day, never read again.
 
 A state holds, for each column, its filled rows and extremes, a HyperLogLog sketch of its distinct values, a KLL sketch
-of a number's quantiles, and counts of its frequent values. The states of many sources and days merge into that of any
+of a number's quantiles, and counts of its values. The states of many sources and days merge into that of any
 set of them. Stated errors: distinct values within 1.5 % (2^`LG_K` registers, at 1 sigma 0.8 %), quantiles within 1.7 %
-of the ranks (k = 200); frequent values are counted exactly within each state over its distinct values of up to
-`TOP_TEXT` signs, of which `KEPT` stay, so a merged count is low by at most the smallest kept count of each state
-that does not hold it.
+of the ranks (k = 200); frequent values are counted exactly, over whole values: a state keeps the counts of all of them
+unless `kept` bounds it, and then a merged count is low by at most the smallest kept count of each state that does
+not hold it.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from lotlens.operators.windows import first_n
 
 LG_K = 14
-KEPT, TOP_TEXT = 100, 200
 
 
 def _kind(df: DataFrame, c: str) -> str:
@@ -46,11 +45,11 @@ def column_states(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> D
     return wide.select(*by, F.col("_rows").alias("rows"), F.explode(F.array(*each)).alias("_s")).select(*by, "rows", "_s.*")
 
 
-def value_states(df: DataFrame, by: Sequence[str], columns: Sequence[str], kept: int = KEPT) -> DataFrame:
-    """The most frequent values of each group and column with their counts, at most `kept`."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.left(F.col(c).cast("string"), F.lit(TOP_TEXT)).alias("value")) for c in columns]))
+def value_states(df: DataFrame, by: Sequence[str], columns: Sequence[str], kept: int | None = None) -> DataFrame:
+    """The values of each group and column with their counts: all, or the `kept` most frequent ones."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
     n = df.select(*by, pairs.alias("_p")).select(*by, "_p.*").filter("value is not null").groupBy(*by, "column", "value").agg(F.count("*").alias("n"))
-    return first_n(n, [*by, "column"], [F.desc("n"), F.col("value")], kept)
+    return n if kept is None else first_n(n, [*by, "column"], [F.desc("n"), F.col("value")], kept)
 
 
 def merged_profile(states: DataFrame, by: Sequence[str] = (), at: Sequence[float] = (0.5, 0.9)) -> DataFrame:

@@ -40,3 +40,10 @@ def test_merged_states_are_those_of_the_whole(spark):
     plan = states._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan") == 1 and plan.count("Exchange ") == 1
     assert profiles.merged_profile(profiles.column_states(df.filter("false"), ["s"], ["n"])).count() == 0
+
+
+def test_top_values_of_merged_states_are_exact(spark):
+    """A value that is rare in each state and frequent over all of them; long values are told apart."""
+    rows = [(d, f"{d}-{k}") for d in range(4) for k in range(300) for _ in range(2)] + [(d, "zz") for d in range(4)] + [(0, "x" * 300 + e) for e in "ab" for _ in range(3)]
+    top = profiles.merged_values(profiles.value_states(spark.createDataFrame(rows, "d int, t string"), ["d"], ["t"]), n=3).collect()
+    assert {(r.value, r.n) for r in top} == {("zz", 4), ("x" * 300 + "a", 3), ("x" * 300 + "b", 3)}
