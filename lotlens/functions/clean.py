@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +15,11 @@ JUNK_UNITS_LONG = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value computed once a row, however often it names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_float(c: Column, default: float | None = 0.0) -> Column:
     return F.coalesce(c.try_cast("double"), F.lit(default).cast("double"))
 
@@ -61,10 +66,13 @@ DATE_IN_TEXT = rf"(?i)\b(\d{{1,2}}/\d{{1,2}}/\d{{4}}|\d{{1,2}}/\d{{1,2}}/\d{{2}}
 
 def parse_display_date(c: Column) -> Column:
     """The first date inside a display text: 1/5/2024, 1/5/24, Jan 5, 2024 or January 5, 2024."""
-    found = F.regexp_replace(F.regexp_extract(c, DATE_IN_TEXT, 1), r"\s+", " ")
-    named = F.regexp_replace(F.initcap(found), r"^([A-Z][a-z]{2})[a-z]*", "$1")
-    numeric = _by_pattern(found, (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"), (r"\d{1,2}/\d{1,2}/\d{2}", "M/d/yy"))
-    return F.coalesce(numeric, F.when(named.rlike("^[A-Z][a-z]{2} "), F.try_to_date(named, "MMM d, yyyy")))
+
+    def day(found: Column) -> Column:
+        numeric = _by_pattern(found, (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"), (r"\d{1,2}/\d{1,2}/\d{2}", "M/d/yy"))
+        named = F.regexp_replace(F.initcap(found), r"^([A-Z][a-z]{2})[a-z]*", "$1")
+        return F.coalesce(numeric, let(named, lambda n: F.when(n.rlike("^[A-Z][a-z]{2} "), F.try_to_date(n, "MMM d, yyyy"))))
+
+    return let(F.regexp_replace(F.regexp_extract(c, DATE_IN_TEXT, 1), r"\s+", " "), day)
 
 
 def capture_time(c: Column) -> Column:

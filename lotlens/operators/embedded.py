@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lotlens.functions.clean import money, parse_display_date
+from lotlens.functions.clean import let, money, parse_display_date
 
 _TOKEN = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|["\[\]{}]', re.DOTALL)
 _STRING = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', re.DOTALL)
@@ -169,17 +169,18 @@ def listing_record(text: Column) -> Column:
     first = lambda name: F.get(v[name], F.lit(0))
     categories = F.filter(F.map_values(_parsed(first("shown"), "map<string,string>")), lambda x: F.startswith(x, F.lit("[")))
     items = F.flatten(F.transform(categories, lambda x: _parsed(x, "array<string>")))
-    shown = F.array_compact(F.transform(items, lambda x: F.when(_is_object(x), F.get_json_object(x, "$.name")).otherwise(x)))
+    named = F.array_compact(F.transform(items, lambda x: F.when(_is_object(x), F.get_json_object(x, "$.name")).otherwise(x)))
     features = F.transform(_parsed(first("features"), "array<struct<name:string,description:string>>"), lambda f: F.coalesce(f["name"], f["description"], F.lit("")))
+    shown = let(named, lambda x: F.when(F.size(x) > 0, x))
     owned = F.get(F.filter(F.transform(v["owner"], lambda x: _parsed(x, "owner string, developer string")), lambda o: o["owner"].isNotNull() & o["developer"].isNotNull()), F.lit(0))
     place = _parsed(first("address"), "street string, city string, state string, zipCode string")
     pets = F.filter(_parsed(first("policies"), "array<string>"), lambda p: _is_object(p) & F.contains(F.lower(p), F.lit("pet")))
     breakdown = lambda name: json_values(first(name), {"rows": r'(?=\{[^{}]*"bedroomTitle")'})["rows"]
     told = F.get_json_object(F.concat(F.lit('{"d":'), first("description"), F.lit("}")), "$.d")
-    plain = F.regexp_replace(F.regexp_replace(F.replace(told, F.lit("</p>"), F.lit(" ")), "<[^>]*>", ""), r"^\s+|\s+$", "")
+    bare = F.regexp_replace(F.regexp_replace(F.replace(told, F.lit("</p>"), F.lit(" ")), "<[^>]*>", ""), r"^\s+|\s+$", "")
     return F.struct(
         _parsed(first("listed"), "list array<string>")["list"].alias("amenities"),
-        F.when(F.size(shown) > 0, shown).alias("amenities_shown"),
+        shown.alias("amenities_shown"),
         features.alias("unit_features"),
         F.nullif(F.nullif(owned["owner"], F.lit(NO_OWNER)), F.lit("")).alias("owner"),
         F.nullif(owned["developer"], F.lit("")).alias("developer"),
@@ -188,13 +189,13 @@ def listing_record(text: Column) -> Column:
         _regex(text, r'"buildingId":"(\d+)"').alias("building_id"),
         F.get(pets, F.lit(0)).alias("pet_policy"),
         breakdown("sale").alias("sale_inventory"), breakdown("rental").alias("rental_inventory"),
-        F.when(F.length(plain) > 20, plain).alias("description"),
+        let(bare, lambda x: F.when(F.length(x) > 20, x)).alias("description"),
     )
 
 
 def _truthy(value: Column) -> Column:
     """A filled value; an empty text, list or object, 0 and false are passed over."""
-    return F.when(~value.isin("", "0", "0.0", "false", "[]", "{}"), value)
+    return let(value, lambda x: F.when(~x.isin("", "0", "0.0", "false", "[]", "{}"), x))
 
 
 def first_layer(html: Column, known: Sequence[str] = LAYER_KEYS) -> Column:
@@ -209,15 +210,22 @@ def layer_record(html: Column) -> Column:
 
     Where a name stands at the top and one level down, or twice, the last one holds. Numbers lose `$` and `,`.
     """
-    layer = first_layer(html)
-    top = F.map_entries(_parsed(layer, "map<string,string>"))
-    nested = F.coalesce(F.flatten(F.transform(top, lambda e: F.when(_is_object(e["value"]), F.map_entries(_parsed(e["value"], "map<string,string>"))).otherwise(F.array(e)))), F.array())
-    at = lambda name: _truthy(F.try_element_at(F.filter(nested, lambda e: e["key"] == name), F.lit(-1))["value"])
-    columns = []
-    for name, synonyms in LAYER_FIELDS.items():
-        value = F.coalesce(*[at(s) for s in synonyms])
-        columns.append((money(value) if name in LAYER_NUMBERS else value).alias(name))
-    return F.struct(*columns, layer.alias("raw"))
+    wanted = sorted({s for synonyms in LAYER_FIELDS.values() for s in synonyms})
+
+    def record(layer: Column) -> Column:
+        top = F.map_entries(_parsed(layer, "map<string,string>"))
+        nested = F.coalesce(F.flatten(F.transform(top, lambda e: F.when(_is_object(e["value"]), F.map_entries(_parsed(e["value"], "map<string,string>"))).otherwise(F.array(e)))), F.array())
+        return let(F.filter(nested, lambda e: e["key"].isin(*wanted)), lambda known: fields(known, layer))
+
+    def fields(known: Column, layer: Column) -> Column:
+        at = lambda name: _truthy(F.try_element_at(F.filter(known, lambda e: e["key"] == name), F.lit(-1))["value"])
+        columns = []
+        for name, synonyms in LAYER_FIELDS.items():
+            value = F.coalesce(*[at(s) for s in synonyms])
+            columns.append((money(value) if name in LAYER_NUMBERS else value).alias(name))
+        return F.struct(*columns, layer.alias("raw"))
+
+    return let(first_layer(html), record)
 
 
 def past_listings(html: Column) -> Column:
@@ -226,19 +234,20 @@ def past_listings(html: Column) -> Column:
     All lists under a history's name; without items in them, the lists in the component's props, or the props as one
     item; without those, the first list of objects anywhere whose first object is dated, priced or an event.
     """
-    v = json_values(html, HISTORY_OPENINGS, inner=["blobs"])
     items = lambda x: F.filter(F.coalesce(_parsed(x, "array<string>"), F.array().cast("array<string>")), _is_object)
-    lists = F.flatten(F.transform(v["lists"], items))
-    held = lambda obj: F.flatten(F.array(*[items(F.get_json_object(obj, f"$.{k}")) for k in PROP_LISTS]))
-    props = F.flatten(F.transform(F.filter(v["props"], lambda o: F.json_object_keys(o).isNotNull()), lambda o: F.when(F.size(held(o)) > 0, held(o)).otherwise(F.array(o))))
     keys = F.array(*[F.lit(k) for k in BLOB_KEYS])
-    dated = lambda x: F.coalesce(F.arrays_overlap(F.json_object_keys(F.get_json_object(x, "$[0]")), keys), F.lit(False))
-    blob = items(F.get(F.filter(v["blobs"], dated), F.lit(0)))
-    rows = F.when(F.size(lists) > 0, lists).when(F.size(props) > 0, props).otherwise(blob)
+
+    def found(v: Column) -> Column:
+        lists = F.flatten(F.transform(v["lists"], items))
+        held = lambda obj: F.flatten(F.array(*[items(F.get_json_object(obj, f"$.{k}")) for k in PROP_LISTS]))
+        props = F.flatten(F.transform(F.filter(v["props"], lambda o: F.json_object_keys(o).isNotNull()), lambda o: let(held(o), lambda h: F.when(F.size(h) > 0, h).otherwise(F.array(o)))))
+        dated = lambda x: F.coalesce(F.arrays_overlap(F.json_object_keys(F.get_json_object(x, "$[0]")), keys), F.lit(False))
+        blob = items(F.get(F.filter(v["blobs"], dated), F.lit(0)))
+        return let(lists, lambda x: F.when(F.size(x) > 0, x).otherwise(let(props, lambda y: F.when(F.size(y) > 0, y).otherwise(blob))))
 
     def row(item: Column) -> Column:
         value = {name: F.coalesce(*[_truthy(F.get_json_object(item, f"$.{s}")) for s in synonyms]) for name, synonyms in HISTORY_FIELDS.items()}
-        day = F.coalesce(parse_display_date(value["event_date"]).cast("string"), value["event_date"])
+        day = let(value["event_date"], lambda d: F.coalesce(parse_display_date(d).cast("string"), d))
         return F.struct(day.alias("event_date"), value["event_type"].alias("event_type"), money(value["price"]).alias("price"), money(value["price_change"]).alias("price_change"), value["broker"].alias("broker"), item.alias("raw"))
 
-    return F.transform(rows, row)
+    return F.transform(let(json_values(html, HISTORY_OPENINGS, inner=["blobs"]), found), row)

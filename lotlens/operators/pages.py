@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotlens.functions.clean import parse_display_date, price_in_text
+from lotlens.functions.clean import let, parse_display_date, price_in_text
 from lotlens.operators import embedded
 
 
@@ -64,8 +64,12 @@ def embedded_object(text: Column, name: str, schema: str) -> Column:
 
 
 def building_record(html: Column) -> Column:
+    """`text_record` of a page's embedded text."""
+    return let(embedded_text(html), text_record)
+
+
+def text_record(text: Column) -> Column:
     """Struct of amenities, features, policies, owner, address and inventory from the embedded data."""
-    text = embedded_text(html)
     listed = "array<string>"
     return F.struct(
         embedded_object(text, "amenities", listed).alias("amenities"),
@@ -163,10 +167,14 @@ def table_cells(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
 def table_history(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """id, row, event_date, price, event of history tables: the first cell with a date, with a price, and with neither."""
-    dated = F.get(F.filter("cells", lambda c: parse_display_date(c).isNotNull()), F.lit(0))
-    priced = F.get(F.filter("cells", lambda c: F.contains(c, F.lit("$"))), F.lit(0))
-    rest = F.get(F.filter("cells", lambda c: parse_display_date(c).isNull() & ~F.contains(c, F.lit("$"))), F.lit(0))
-    out = table_cells(pages, id_col, html_col).select("id", "row", parse_display_date(dated).alias("event_date"), price_in_text(priced).alias("price"), rest.alias("event"))
+    read = F.transform("cells", lambda c: F.struct(c.alias("cell"), parse_display_date(c).alias("day"), F.contains(c, F.lit("$")).alias("price")))
+
+    def fields(cells: Column) -> Column:
+        first = lambda test: F.get(F.filter(cells, test), F.lit(0))
+        rest = first(lambda c: c["day"].isNull() & ~c["price"])["cell"]
+        return F.struct(first(lambda c: c["day"].isNotNull())["day"].alias("event_date"), price_in_text(first(lambda c: c["price"])["cell"]).alias("price"), rest.alias("event"))
+
+    out = table_cells(pages, id_col, html_col).select("id", "row", let(read, fields).alias("_f")).select("id", "row", "_f.*")
     return out.filter("event_date is not null or price is not null or event is not null")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotlens.operators import embedded, pages
-from lotlens.plans.registry import Tables, query
+from lotlens.plans.registry import Tables, query, spread
 from lotlens.sources import io
 
 _SIZE = "p_size"
@@ -51,8 +51,8 @@ def building_records(t: Tables) -> DataFrame:
     about = F.replace(about, F.lit('"'), F.lit('\\"'))
     whole = _text(BUILDING, id="p_partkey", n=_SIZE, zip=F.lpad(n.cast("string"), 3, "0"), owner=F.when(k == 0, F.col("p_brand")).otherwise(embedded.NO_OWNER), developer=F.when(k == 1, F.col("p_type")).otherwise(""), about=about)
     record = F.when(k < 2, whole).otherwise(_text(PLAIN_BUILDING, id="p_partkey"))
-    page = t.part.select("p_partkey", F.concat(F.lit("<html><title>x</title>"), _pushed(record, 60), F.lit("</html>")).alias("html"))
-    b = page.select("p_partkey", embedded.listing_record(pages.embedded_text(F.col("html"))).alias("b")).select("p_partkey", "b.*")
+    page = spread(t.part).select("p_partkey", F.concat(F.lit("<html><title>x</title>"), _pushed(record, 60), F.lit("</html>")).alias("html"))
+    b = page.select("p_partkey", pages.embedded_text(F.col("html")).alias("x")).select("p_partkey", embedded.listing_record(F.col("x")).alias("b")).select("p_partkey", "b.*")
     joined = lambda c: F.array_join(F.col(c), ",").alias(c)
     rows = lambda c: F.array_join(F.transform(c, lambda r: F.concat_ws(" ", F.get_json_object(r, "$.bedroomTitle"), F.get_json_object(r, "$.available"))), ",")
     return b.select(
@@ -70,7 +70,7 @@ def data_layers(t: Tables) -> DataFrame:
     two = _text('<script>dataLayer=[{"beds":<m>,"numBedrooms":3,"listingPrice":<p>,"price":0,"nested":{"lat":40.5,"agentName":"<brand>"},"streetAddress":"2 Oak"}]</script>', m=F.col(_SIZE) % 5, p=2000 + F.col(_SIZE), brand="p_brand")
     none = F.lit('<script>dataLayer.push({"event":"load","deep":{"price":1}}); dataLayer.push({"price":</script>')
     html = F.when(F.col(_SIZE) % 3 == 0, one).when(F.col(_SIZE) % 3 == 1, two).otherwise(none)
-    rows = t.part.select("p_partkey", html.alias("html")).select("p_partkey", embedded.layer_record(F.col("html")).alias("r"))
+    rows = spread(t.part).select("p_partkey", html.alias("html")).select("p_partkey", embedded.layer_record(F.col("html")).alias("r"))
     return rows.select("p_partkey", "r.price", "r.beds", "r.status", "r.amenities", "r.address", "r.agent", "r.latitude")
 
 
@@ -86,7 +86,7 @@ def listing_histories(t: Tables) -> DataFrame:
     blob = F.lit('<script>var a = [{"id":1,"kids":[{"k":[2]}]}], b = [{"date":"2/3/2022","price":3000,"event_type":"Rented","more":{"c":["}"]}}, {"price":5}], c = [{"price":9}];</script>')
     bare = _text('<script>"PastListingsExperience":{"date":"2021-01-01","status":"gone","price":<n>,"list":[[]]}</script>', n=_SIZE)
     html = F.when(k == 0, lists).when(k == 1, props).when(k == 2, blob).when(k == 3, bare).otherwise(F.lit('<script>"pastListings":[{"date":"2020-01-01"</script>'))
-    rows = t.part.select("p_partkey", html.alias("html")).select("p_partkey", F.posexplode(embedded.past_listings(F.col("html"))).alias("pos", "h"))
+    rows = spread(t.part).select("p_partkey", html.alias("html")).select("p_partkey", F.posexplode(embedded.past_listings(F.col("html"))).alias("pos", "h"))
     return rows.select("p_partkey", "pos", "h.event_date", "h.event_type", "h.price", "h.price_change", "h.broker")
 
 

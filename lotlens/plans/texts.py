@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lotlens.functions import address
 from lotlens.operators import pages, windows
 from lotlens.operators import text_units as tu
-from lotlens.plans.registry import Tables, query
+from lotlens.plans.registry import Tables, query, spread
 
 
 @query("""SELECT c_custkey, unnest([CAST(1 + c_custkey % 40 AS VARCHAR) || 'B', 'C' || CAST(1 + c_custkey % 9 AS VARCHAR), 'PENTHOUSE']) AS unit FROM customer""")
@@ -117,7 +117,7 @@ def table_history(t: Tables) -> DataFrame:
     d = F.date_format(F.date_add(F.lit("2024-01-05").cast("date"), F.col("p_size")), "MMM d, yyyy")
     event = F.when(F.col("p_size") % 2 == 0, "Listed").otherwise("Sold")
     html = F.concat(F.lit("<table><tr><th>Date</th><th>Event</th><th>Price</th></tr><tr><td>"), d, F.lit("</td><td>"), event, F.lit("</td><td>$"), F.format_number(1000 + F.col("p_partkey"), 0), F.lit("</td></tr></table><table><tr><th>Age</th></tr><tr><td>1</td><td>$2</td></tr></table>"))
-    return pages.table_history(t.part.select("p_partkey", html.alias("html")), "p_partkey", "html").select(F.col("id").alias("p_partkey"), "event_date", "price", "event")
+    return pages.table_history(spread(t.part).select("p_partkey", html.alias("html")), "p_partkey", "html").select(F.col("id").alias("p_partkey"), "event_date", "price", "event")
 
 
 @query("""SELECT p_partkey, n AS pos, CAST(p_size + n AS VARCHAR) || 'A' AS unit, 1000.0 + p_partkey AS price, CASE WHEN n = 0 THEN 0.0 ELSE 2.0 END::DOUBLE AS beds, 1.5::DOUBLE AS baths FROM part, (SELECT CAST(unnest([0, 1]) AS INTEGER) AS n)""")
@@ -177,7 +177,7 @@ def embedded_records(t: Tables) -> DataFrame:
     rent = F.when(F.col("p_size") % 2 == 0, F.lit(f",{q}forRent{q}:1")).otherwise("")
     second = F.concat(F.lit(f",{q}owner{q}: {{{q}name{q}: {q}Owner '"), "p_brand", F.lit(f"'{q}}},{q}address{q}: {{{q}street{q}: {q}"), n, F.lit(f" Main St{q}}},{q}inventory{q}: {{{q}forSale{q}: "), n, rent, F.lit("}}"))
     html = F.concat(F.lit('<script>self.__next_f.push([1,"'), first, F.lit('"])</script><script>self.__next_f.push([1,"'), second, F.lit('"])</script>'))
-    rows = t.part.select("p_partkey", html.alias("html")).select("p_partkey", pages.building_record(F.col("html")).alias("b"), pages.embedded_text(F.col("html")).alias("x"))
+    rows = spread(t.part).select("p_partkey", pages.embedded_text(html).alias("x")).select("p_partkey", pages.text_record(F.col("x")).alias("b"), "x")
     opening = F.substring_index("x", ",\"owner", 1)
     return rows.select("p_partkey", F.array_join("b.amenities", ",").alias("amenities"), F.replace("b.owner", F.lit("'"), F.lit('"')).alias("owner"), F.col("b.address.street").alias("street"), F.col("b.inventory.forSale").alias("for_sale"), F.col("b.inventory.forRent").alias("for_rent"), opening.alias("opening"))
 
