@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter, defaultdict
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,15 +113,16 @@ GRAM = 4
 def phrase_join(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, max_bytes: int = 8 << 20) -> DataFrame:
     """Rows of `texts` with each phrase that they contain as a substring, in any case; repeated rows are kept.
 
-    The phrases are measured. Under `max_bytes` they are broadcast and tested one by one. Beyond that a phrase is
-    looked up by the one of its grams of four signs (or, if it is shorter, by itself) that fewest phrases hold, in the
+    The phrases are measured. Under `max_bytes` they are collected and each text is tested, in Arrow batches, only for
+    those of which it holds one gram of `LONG` signs, so a text is read about once whatever their number. Beyond that a
+    phrase is looked up by the one of its grams of four signs (or, if it is shorter, by itself) that fewest phrases hold, in the
     distinct grams of each text. Only a hash of the text goes through that join with its grams; the texts meet the
     phrases they may hold once, by the hash, and are tested as before. Both ways give the same rows.
     """
-    holds = F.contains(F.lower(F.col(text)), F.lower(F.col(phrase)))
-    if phrases.agg(F.coalesce(F.sum(F.octet_length(phrase)), F.lit(0))).first()[0] <= max_bytes:
-        return texts.join(F.broadcast(phrases), holds)
     lowered = phrases.select(F.lower(phrase).alias("_p")).filter("_p is not null").distinct()
+    if phrases.agg(F.coalesce(F.sum(F.octet_length(phrase)), F.lit(0))).first()[0] <= max_bytes:
+        held = _held_phrases([r[0] for r in lowered.collect()])
+        return texts.withColumn("_p", F.explode(held(F.lower(text)))).join(F.broadcast(phrases.withColumn("_p", F.lower(phrase))), "_p").drop("_p")
     sizes = [r[0] for r in lowered.select(F.least(F.length("_p"), F.lit(GRAM))).distinct().collect()]  # 0 to GRAM
     grams = lowered.select("_p", F.explode(_grams(F.col("_p"), F.least(F.length("_p"), F.lit(GRAM)))).alias("_gram"))
     held = grams.groupBy("_gram").agg(F.count("*").alias("_n"))
@@ -131,6 +134,40 @@ def phrase_join(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, ma
     return found.join(phrases.withColumn("_p", F.lower(phrase)), "_p").drop("_p")
 
 
+#: Signs of the key by which texts are tested for collected phrases, and keys of a phrase that are compared.
+LONG, TRIED = 12, 8
+
+
+def _held_phrases(phrases: Sequence[str]) -> Callable[[Column], Column]:
+    """A function of lower-case texts that gives the array of the phrases they hold.
+
+    A phrase hangs at the one of up to `TRIED` of its grams of `LONG` signs that fewest phrases share; shorter ones are
+    tested one by one.
+    """
+    tried = lambda p: {p[i : i + LONG] for i in range(0, len(p) - LONG + 1, len(p) // TRIED + 1)}
+    counts = Counter(g for p in phrases for g in tried(p))
+    short, by_gram = [], defaultdict(list)
+    for p in sorted(phrases):
+        if grams := tried(p):
+            by_gram[min(grams, key=lambda g: (counts[g], g))].append(p)
+        else:
+            short.append(p)
+    keys = set(by_gram)
+
+    @F.arrow_udf("array<string>")
+    def held(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            if t is None:
+                out.append(None)
+                continue
+            near = keys.intersection(t[i : i + LONG] for i in range(len(t) - LONG + 1))
+            out.append([p for p in short if p in t] + [p for g in sorted(near) for p in by_gram[g] if p in t])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return held
+
+
 def _grams(c: Column, n: Column) -> Column:
     """Distinct substrings of n signs; none of a shorter text."""
     last = F.length(c) - n + 1

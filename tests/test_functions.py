@@ -130,3 +130,13 @@ def test_placeholders_fill_the_whole_gap(spark):
     expected = spark.createDataFrame([(1, 1203), (2, 1), (3, 22_000)], "key long, n int")
     got = with_placeholders(units, expected, "key", "unit", "n").groupBy("key", "is_placeholder").agg(F.count_distinct("unit").alias("k")).collect()
     assert {(r.key, r.is_placeholder): r.k for r in got} == {(1, False): 2, (1, True): 1201, (2, False): 1, (3, True): 22_000}
+
+
+def test_phrases_are_not_tested_pair_by_pair(spark):
+    """Few phrases and many: no nested loop; short, empty, null, long and repeated phrases as before."""
+    texts = spark.createDataFrame([(1, "The Old HOUSE on the hill has a long and narrow garden"), (2, None), (3, ""), (4, "a long and narrow GARDENia")], "i int, t string")
+    phrases = spark.createDataFrame([("LONG AND NARROW garden",), ("long and narrow garden",), ("long and narrow gardenia",), ("old house on the hill has a longer",), ("ho",), ("",), (None,)], "p string")
+    near = joins.phrase_join(texts, "t", phrases, "p")
+    plain = texts.crossJoin(phrases).filter(F.contains(F.lower("t"), F.lower("p")))
+    assert sorted(map(tuple, near.select("i", "p").collect())) == sorted(map(tuple, plain.select("i", "p").collect()))
+    assert "NestedLoop" not in near._jdf.queryExecution().executedPlan().toString()
