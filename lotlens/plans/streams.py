@@ -92,7 +92,7 @@ def watchlist_replay(t: Tables) -> DataFrame:
     path = scratch(t.spark)
     schema = "key bigint, op string, kind string, event_id bigint, at timestamp"
     for batch in _batches(t):
-        batch.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        batch.write.mode("append").parquet(f"{path}/in")
         stream = t.spark.readStream.schema(schema).parquet(f"{path}/in")
         alerts = watched_alerts(stream, silence="8 days", delay="2 days")
         _finished(alerts.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start())
@@ -104,7 +104,7 @@ def late_window_replay(t: Tables) -> DataFrame:
     """Daily counts in append mode over the same batches: rows of windows that were closed are dropped, open windows wait."""
     path = scratch(t.spark)
     for batch in _batches(t):
-        batch.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        batch.write.mode("append").parquet(f"{path}/in")
         stream = t.spark.readStream.schema("key bigint, op string, kind string, event_id bigint, at timestamp").parquet(f"{path}/in")
         counts = windowed_counts(stream.filter("op = 'event'").withColumnRenamed("kind", "event_type"), "at", "1 day", delay="2 days").select(F.col("window.start").cast("date").alias("day"), "event_type", "n")
         _finished(counts.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start())

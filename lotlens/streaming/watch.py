@@ -14,6 +14,7 @@ time or a key are dropped.
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -38,19 +39,26 @@ def watched_alerts(rows: DataFrame, silence: str, delay: str) -> DataFrame:
         watermark = state.getCurrentWatermarkMs() // 1000
         changes, alerted = (json.loads(x) for x in state.get) if state.exists else ([], {})
         if not state.hasTimedOut:
-            batch = pd.concat(list(parts))
-            batch = batch.assign(change=batch["op"] != "event", second=batch["at"].astype("datetime64[s]").astype("int64"))
-            batch = batch.sort_values(["second", "change", "op", "kind", "event_id"], ascending=[True, False, True, True, True], kind="stable")
-            for r in batch[batch["change"]].itertuples():
-                changes.append([int(r.second), int(r.op == "watch")])
+            # plain lists: a key has few rows, for which a frame's own steps cost more than the work
+            new, events = [], []
+            for part in parts:
+                at = part["at"]
+                rows = zip(at.astype("datetime64[s]").astype("int64").tolist(), part["op"].tolist(), part["kind"].tolist(), part["event_id"].tolist(), at.tolist())
+                for second, op, kind, event_id, moment in rows:
+                    if op == "event":
+                        events.append((second, kind, event_id, moment))
+                    else:
+                        new.append((second, op))
+            changes += [[second, int(op == "watch")] for second, op in sorted(new)]
             changes.sort(key=lambda c: c[0])
+            moments = [at for at, _ in changes]
             out = []
-            for r in batch[~batch["change"]].itertuples():
-                before = [on for at, on in changes if at <= r.second]
-                name = f"{r.kind}|{r.event_id}"
-                if before and before[-1] and alerted.get(name, -1) < r.second:
-                    alerted[name] = int(r.second) + seconds
-                    out.append((int(key[0]), r.kind, int(r.event_id), r.at))
+            for second, kind, event_id, moment in sorted(events, key=lambda e: e[:3]):
+                known = bisect_right(moments, second)
+                name = f"{kind}|{event_id}"
+                if known and changes[known - 1][1] and alerted.get(name, -1) < second:
+                    alerted[name] = second + seconds
+                    out.append((int(key[0]), kind, int(event_id), moment))
             if out:
                 yield pd.DataFrame(out, columns=["key", "kind", "event_id", "at"])
         changes, alerted = _settled(changes, watermark), {k: v for k, v in alerted.items() if v > watermark}

@@ -45,3 +45,12 @@ def test_alerts_over_five_batches_and_restarts(spark, tmp_path):
         assert q.exception() is None
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == brute(batches, timedelta(days=5), timedelta(days=1)) and len(got) > 30
+
+
+def test_batches_of_a_replay_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """A pull written by one task would put it whole into that task."""
+    from lotlens.plans import catalog, streams
+
+    monkeypatch.setattr(streams, "scratch", lambda _: str(tmp_path))
+    assert catalog.QUERIES["late_window_replay"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(list((tmp_path / "in").glob("part-*"))) > 5
