@@ -85,3 +85,16 @@ def test_one_key_is_read_from_one_bucket(star):
 def test_buckets_are_one_file_each(spark, tmp_path):
     t = write_bucketed(spark.range(1000).withColumnRenamed("id", "k"), str(tmp_path / "t"), "k", buckets=4)
     assert len(list((tmp_path / "t").glob("*.parquet"))) == 4 and t.count() == 1000
+
+
+def test_rows_of_one_text_share_their_postings_and_pairs_are_dealt(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"{'Large' if k % 3 else 'small'} ring {k % 2}", k % 7) for k in range(600)], "id long, address string, units int")
+    index = GramIndex.build(df, "id", "address", str(tmp_path / "x"), ["units"], folders=4)
+    assert spark.read.parquet(f"{index.path}/postings").filter("gram = 'rin'").count() <= 4 * df.rdd.getNumPartitions()
+    assert sum(r.n for r in index._read("counts", "n bigint").filter("gram = 'rin'").collect()) == 600
+    assert index.search("LARGE").columns == ["id", "text", "units"] and index.search("large").count() == 400
+    asked = spark.createDataFrame([(k, ["ring", "SMALL", "zz", "", None][k % 5]) for k in range(50)] + [(0, "ring")], "who int, f string")
+    got = index.pairs(asked, "f")
+    assert sorted((r.who, r.id) for r in got.collect()) == sorted((w, i) for w, f in [(r.who, r.f) for r in asked.collect()] if f for i in range(600) if f == "ring" or (f == "SMALL" and i % 3 == 0))
+    spread = got.rdd.glom().map(len).filter(lambda n: n > 0).collect()
+    assert len(spread) >= 4 and got.columns == ["who", "f", "id"]  # two fragments, and more tasks that make pairs
