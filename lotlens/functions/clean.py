@@ -55,9 +55,12 @@ def _by_pattern(c: Column, *patterns: tuple[str, str]) -> Column:
 
 def normalize_date(c: Column) -> Column:
     """ISO with or without a time, YYYYMMDD or M/D/YYYY; anything else is null."""
-    text = F.trim(c.cast("string"))
-    iso = F.when(text.rlike(r"^\d{4}-"), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
-    return F.coalesce(iso, _by_pattern(text, (r"\d{8}", "yyyyMMdd"), (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy")))
+
+    def day(text: Column) -> Column:
+        iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(text, 1, 10).try_cast("date"))
+        return F.coalesce(iso, _by_pattern(text, (r"\d{8}", "yyyyMMdd"), (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy")))
+
+    return let(F.trim(c.cast("string")), day)
 
 
 MONTH_NAME = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"

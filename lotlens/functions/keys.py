@@ -29,10 +29,10 @@ def borough_digit(c: Column) -> Column:
 
 def make_key(borough: Column, block: Column, lot: Column) -> Column:
     """Ten digits as a number, or null: a borough name or digit, a block, and the last four digits of the lot."""
-    parts = (borough_digit(borough), F.trim(block.cast("string")), F.trim(lot.cast("string")))
-    text = F.concat(parts[0], zero_filled(parts[1], 5), F.right(zero_filled(parts[2], 4), F.lit(4)))
-    filled = (parts[0] != "") & (parts[1] != "") & (parts[2] != "")
-    return F.when(filled & text.rlike(r"^[1-5]\d{9}$"), text.try_cast("bigint"))
+    # each part is named as seldom as it can be, the text once: the code of many copies is only interpreted by the JVM
+    filled = lambda c: F.nullif(F.trim(c.cast("string")), F.lit(""))
+    text = F.concat(F.nullif(borough_digit(borough), F.lit("")), zero_filled(filled(block), 5), F.substring(zero_filled(filled(lot), 4), -4, 4))
+    return F.regexp_extract(text, r"^[1-5]\d{9}$", 0).try_cast("bigint")
 
 
 def padded_key(borough: Column, block: Column, lot: Column) -> Column:

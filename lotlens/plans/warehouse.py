@@ -49,8 +49,11 @@ def by_bbl(df: DataFrame, known: DataFrame, column: str = "bbl") -> DataFrame:
 
 
 def by_parts(df: DataFrame, borough: str = "borough", block: str = "block", lot: str = "lot", usable: bool = True) -> DataFrame:
-    out = df.withColumn("bbl", keys.make_key(c(borough), c(block), c(lot)))
-    return out.filter(c("bbl").isNotNull()) if usable else out
+    key = keys.make_key(c(borough), c(block), c(lot))
+    if not usable:
+        return df.withColumn("bbl", key)
+    # a filter on the key itself would go below the columns and make the key once more
+    return df.withColumn("bbl", F.explode(F.array(key))).filter(c("bbl").isNotNull())
 
 
 def sales(master: DataFrame, legals: DataFrame, parties: DataFrame, known: DataFrame, types: tuple[str, ...] = DOC_TYPES) -> DataFrame:

@@ -140,3 +140,18 @@ def test_phrases_are_not_tested_pair_by_pair(spark):
     plain = texts.crossJoin(phrases).filter(F.contains(F.lower("t"), F.lower("p")))
     assert sorted(map(tuple, near.select("i", "p").collect())) == sorted(map(tuple, plain.select("i", "p").collect()))
     assert "NestedLoop" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_and_dates_are_made_once_a_row(spark):
+    key = keys.make_key(*[F.col(x) for x in "abc"])
+    rows = [("1", "2", "30004", 1000020004), (" Brooklyn ", "1", "1", 3000010001), ("1", " ", "1", None), ("1", "1", "", None), (None, "1", "1", None), ("6", "1", "1", None), ("1", "123456", "1", None), ("1", "x", "1", None), ("1", "12345", "7", 1123450007)]
+    assert [r[0] for r in spark.createDataFrame(rows, "a string, b string, c string, want long").select(key).collect()] == [r[3] for r in rows]
+    dates = ["2024-01-05T00", "2024-1-05", "2024-02-30", "2024-01-0x", "0000-01-01", "20240230", "13/01/2024"]
+    days = spark.createDataFrame([(d,) for d in dates], "d string").select(clean.normalize_date(F.col("d")).cast("string"))
+    assert [r[0] for r in days.collect()] == ["2024-01-05", None, None, None, "0000-01-01", None, None]
+    from lotlens.plans import warehouse
+
+    raw = spark.createDataFrame([("1", "1", "1", "2024-01-05"), ("7", "1", "1", "x")], "borough string, block string, lot string, d string")
+    made = warehouse.by_parts(raw.withColumn("lot", F.reverse("lot")).withColumn("d", F.reverse(F.reverse("d")))).select("bbl", clean.normalize_date(F.col("d")).alias("day"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count() == 1 and plan.count("regexp_extract") == 1 and plan.count("reverse(reverse(") == 1
