@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotlens.functions import address, clean, keys
@@ -44,16 +44,18 @@ def by_bin(df: DataFrame, lookup: DataFrame) -> DataFrame:
     return joins.bridge(df.withColumn("bin", c("bin").cast("string").try_cast("bigint")), lookup, "bin", "bbl")
 
 
+def _keyed(df: DataFrame, key: Column) -> DataFrame:
+    """With the key as `bbl`, made once a row: a filter on the key itself would go below the columns and make it once more."""
+    return df.withColumn("bbl", F.explode(F.array(key)))
+
+
 def by_bbl(df: DataFrame, known: DataFrame, column: str = "bbl") -> DataFrame:
-    return joins.semi(df.withColumn("bbl", keys.key_from_number(c(column))), known.select("bbl"), "bbl")
+    return joins.semi(_keyed(df, keys.key_from_number(c(column))), known.select("bbl"), "bbl")
 
 
 def by_parts(df: DataFrame, borough: str = "borough", block: str = "block", lot: str = "lot", usable: bool = True) -> DataFrame:
     key = keys.make_key(c(borough), c(block), c(lot))
-    if not usable:
-        return df.withColumn("bbl", key)
-    # a filter on the key itself would go below the columns and make the key once more
-    return df.withColumn("bbl", F.explode(F.array(key))).filter(c("bbl").isNotNull())
+    return _keyed(df, key).filter(c("bbl").isNotNull()) if usable else df.withColumn("bbl", key)
 
 
 def sales(master: DataFrame, legals: DataFrame, parties: DataFrame, known: DataFrame, types: tuple[str, ...] = DOC_TYPES) -> DataFrame:
@@ -149,11 +151,11 @@ def tax_liens(raw: DataFrame) -> DataFrame:
 
 def dob_now_jobs(raw: DataFrame) -> DataFrame:
     key = F.coalesce(keys.key_from_number(c("bbl")), keys.make_key(c("borough"), c("block"), c("lot")))
-    return raw.withColumn("bbl", key).filter(keys.is_usable(c("bbl"))).select("bbl", c("job_filing_number").alias("job_id"), "job_type", day(c("filing_date")).alias("filing_date"), clean.money(c("initial_cost"), 0.0).alias("estimated_cost"))
+    return _keyed(raw, key).filter(keys.is_usable(c("bbl"))).select("bbl", c("job_filing_number").alias("job_id"), "job_type", day(c("filing_date")).alias("filing_date"), clean.money(c("initial_cost"), 0.0).alias("estimated_cost"))
 
 
 def vacate_orders(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("bbl", keys.key_from_number(c("bbl"))).filter(keys.is_usable(c("bbl"))).select("bbl", "vacate_type", "primary_vacate_reason", day(c("vacate_effective_date")).alias("effective_date"), count("number_of_vacated_units").alias("units"))
+    return _keyed(raw, keys.key_from_number(c("bbl"))).filter(keys.is_usable(c("bbl"))).select("bbl", "vacate_type", "primary_vacate_reason", day(c("vacate_effective_date")).alias("effective_date"), count("number_of_vacated_units").alias("units"))
 
 
 def subway_stations(raw: DataFrame) -> DataFrame:

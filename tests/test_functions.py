@@ -155,3 +155,13 @@ def test_keys_and_dates_are_made_once_a_row(spark):
     made = warehouse.by_parts(raw.withColumn("lot", F.reverse("lot")).withColumn("d", F.reverse(F.reverse("d")))).select("bbl", clean.normalize_date(F.col("d")).alias("day"))
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert made.count() == 1 and plan.count("regexp_extract") == 1 and plan.count("reverse(reverse(") == 1
+
+
+def test_keys_of_jobs_are_made_before_they_are_tested(spark):
+    from lotlens.plans import warehouse
+
+    raw = spark.createDataFrame([("0", "1", "2", "3", "J1", "t", "20240105", "$1"), ("x", "", "2", "3", "J2", "t", "", "")], "bbl string, borough string, block string, lot string, job_filing_number string, job_type string, filing_date string, initial_cost string")
+    raw = raw.withColumn("bbl", F.when(F.col("bbl") != "0", F.col("bbl"))).withColumn("lot", F.reverse("lot"))
+    made = warehouse.dob_now_jobs(raw)
+    assert [r.bbl for r in made.collect()] == [1000020003]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
