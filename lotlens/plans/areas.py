@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lotlens.operators import areas, joins
 from lotlens.plans.registry import Tables, query
-from lotlens.plans.scoring import _BOARD, part_board, score_buildings
+from lotlens.plans.scoring import _BOARD, area_board, score_buildings
 
 ASKED = ("Anvil", "g", "east widget row", "Brand#11, Brand#12", "12345", "zzz", " BOLT ", "", "ol", "small nut and bolt")
 
@@ -33,22 +33,12 @@ def area_zips(t: Tables) -> DataFrame:
     return areas.resolve_areas(asked, "asked", _names(t))
 
 
-def _scored(t: Tables, area: DataFrame) -> DataFrame:
-    """Scores of some buildings; the semi join stands before the aggregates, so they read these buildings' events alone."""
-
-    class Area(Tables):
-        part = area
-        lineitem = joins.semi(t.lineitem, area.select(F.col("p_partkey").alias("l_partkey")), "l_partkey")
-
-    return score_buildings(part_board(Area(t.spark, t.sf_dir)))
-
-
 @query(_BOARD + ", " + _NAMES.removeprefix("WITH ").rstrip().removesuffix(",") + " SELECT key, quality, availability FROM x JOIN part ON p_partkey = key WHERE p_brand IN (SELECT zip FROM n WHERE name = 'anvil' OR contains(name, 'olt'))")
 def score_named_area(t: Tables) -> DataFrame:
     """Buildings of the areas that two texts name, a whole name and a part of several."""
     asked = t.spark.createDataFrame([("Anvil",), ("olt",)], "asked string")
     zips = areas.resolve_areas(asked, "asked", _names(t)).select(F.col("zip").alias("p_brand")).distinct()
-    return _scored(t, joins.semi(t.part, zips, "p_brand")).select("key", "quality", "availability")
+    return score_buildings(area_board(t, joins.semi(t.part, zips, "p_brand"))).select("key", "quality", "availability")
 
 
 @query(_BOARD + ", a AS (SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS k FROM part WHERE contains(p_name, 'large w')) WHERE k <= 20 UNION SELECT max(p_partkey) FROM part) SELECT key, quality, availability, signal_count FROM x WHERE key IN (SELECT p_partkey FROM a)")
@@ -57,4 +47,4 @@ def score_one(t: Tables) -> DataFrame:
     key = t.part.agg(F.max("p_partkey")).first()[0]
     one = lambda asked, digits: areas.look_up(t.part, asked, "p_partkey", "p_name", "p_size", digits)
     found = one("Large W", 10).union(one(str(key), len(str(key)))).distinct()
-    return _scored(t, found).select("key", "quality", "availability", "signal_count")
+    return score_buildings(area_board(t, found)).select("key", "quality", "availability", "signal_count")

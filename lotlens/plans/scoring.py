@@ -30,6 +30,10 @@ def score_buildings(board: DataFrame, *keep: str) -> DataFrame:
     return out.withColumn("combined", c("quality") + c("availability"))
 
 
+#: Pairs of which one task takes the distinct ones.
+PAIRS = 1_000_000
+
+
 def part_board(t: Tables) -> DataFrame:
     """The aggregates of a building come from one pass over its lines and two for distinct counts, instead of eleven."""
     day = F.col("l_shipdate").cast("date")
@@ -41,12 +45,34 @@ def part_board(t: Tables) -> DataFrame:
         F.count_if(F.col("l_quantity") == 1).alias("agreements"), F.count_if(F.col("l_quantity") == 2).alias("satisfactions"),
     )
     base = t.part.select(F.col("p_partkey").alias("key"), F.col("p_retailprice").alias("area"), F.col("p_size").alias("units"), (1870 + F.col("p_size") * 3).alias("year"), (F.col("p_size") % 12).alias("floors"), (F.col("p_size") % 5 == 0).alias("stabilized"))
-    # distinct counts beside the others would multiply every row; two narrow aggregations each don't
-    n_distinct = lambda c: t.lineitem.select(F.col("l_partkey").alias("key"), c).distinct().groupBy("key").agg(F.count("*").alias("_n"))
+    # distinct counts beside the others would multiply every row; two narrow aggregations each don't. Pairs seldom repeat, so
+    # they are dealt before they are hashed, a bounded number to a task
+    n = max(t.spark.sparkContext.defaultParallelism, -(-Tables(t.spark, t.sf_dir).lineitem.count() // PAIRS))
+    n_distinct = lambda c: t.lineitem.select(F.col("l_partkey").alias("key"), c).repartition(n, "key", c).distinct().groupBy("key").agg(F.count("*").alias("_n"))
     owners = n_distinct("l_suppkey").select("key", (F.col("_n") >= 33).alias("owner_changed"))
     return joins.star(base, "key", lines, owners, n_distinct("l_orderkey").withColumnRenamed("_n", "traded"))
 
 
+#: Buildings of an area whose keys are broadcast.
+FEW = 100_000
+
+
+def area_board(t: Tables, area: DataFrame) -> DataFrame:
+    """The board of some buildings, which are counted first.
+
+    The lines of few are picked by a broadcast of their keys, before they are aggregated. Lines of many would have to be
+    shuffled and sorted whole to be picked, once for each aggregate and all in one task; so all lines are aggregated
+    where they are read, and the joins to the buildings drop what belongs to others.
+    """
+    keys = area.select(F.col("p_partkey").alias("l_partkey"))
+    lines = joins.semi(t.lineitem, F.broadcast(keys), "l_partkey") if keys.limit(FEW + 1).count() <= FEW else t.lineitem
+
+    class Area(Tables):
+        part, lineitem = area, lines
+
+    return part_board(Area(t.spark, t.sf_dir))
+
+
 _BOARD = """WITH l AS (SELECT l_partkey, count(*) FILTER (WHERE l_returnflag = 'R') AS complaints, count(*) FILTER (WHERE l_returnflag = 'R' AND CAST(l_shipdate AS DATE) >= DATE '2000-01-01') AS recent, count(*) FILTER (WHERE l_linestatus = 'F') AS noise,
   count(*) FILTER (WHERE l_discount > 0.08) AS permits, coalesce(max(l_extendedprice) FILTER (WHERE l_discount > 0.08), 0) AS cost, bool_or(l_discount > 0.08 AND l_tax > 0.06) AS alteration, count(*) FILTER (WHERE l_quantity = 49) AS cases,
   bool_or(l_quantity = 49 AND l_returnflag = 'A') AS tenant, count(*) FILTER (WHERE l_quantity < 10) AS distress, count(*) FILTER (WHERE l_quantity = 50) AS evictions, count(*) FILTER (WHERE l_tax >= 0.08) AS unpaid,
@@ -101,11 +127,5 @@ def score_summary(t: Tables) -> DataFrame:
 
 @query(_BOARD + "SELECT key, quality, availability FROM x JOIN part ON p_partkey = key WHERE p_brand IN ('Brand#11', 'Brand#22')")
 def score_area(t: Tables) -> DataFrame:
-    """Scores of one area only: the semi join stands before the aggregates, so they read the area's events alone."""
-    area = t.part.filter(F.col("p_brand").isin("Brand#11", "Brand#22"))
-
-    class Area(Tables):
-        part = area
-        lineitem = joins.semi(t.lineitem, area.select(F.col("p_partkey").alias("l_partkey")), "l_partkey")
-
-    return score_buildings(part_board(Area(t.spark, t.sf_dir))).select("key", "quality", "availability")
+    """Scores of one area only."""
+    return score_buildings(area_board(t, t.part.filter(F.col("p_brand").isin("Brand#11", "Brand#22")))).select("key", "quality", "availability")

@@ -2,6 +2,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lotlens.operators import areas, profiles
+from lotlens.plans import catalog, scoring
 
 
 def test_texts_become_zips(spark):
@@ -47,3 +48,24 @@ def test_top_values_of_merged_states_are_exact(spark):
     rows = [(d, f"{d}-{k}") for d in range(4) for k in range(300) for _ in range(2)] + [(d, "zz") for d in range(4)] + [(0, "x" * 300 + e) for e in "ab" for _ in range(3)]
     top = profiles.merged_values(profiles.value_states(spark.createDataFrame(rows, "d int, t string"), ["d"], ["t"]), n=3).collect()
     assert {(r.value, r.n) for r in top} == {("zz", 4), ("x" * 300 + "a", 3), ("x" * 300 + "b", 3)}
+
+
+def test_lines_of_many_buildings_are_not_shuffled_to_be_picked(spark, monkeypatch):
+    """Without broadcasts of Spark's own, as beyond its threshold: few keys are broadcast, many pick nothing; the rows are the same."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("score_area", "score_one"):
+            monkeypatch.setattr(scoring, "FEW", 100_000)
+            few = catalog.QUERIES[name](spark, "/root/testdata/sf0.01")
+            monkeypatch.setattr(scoring, "FEW", 0)
+            monkeypatch.setattr(scoring, "PAIRS", 1000)
+            many = catalog.QUERIES[name](spark, "/root/testdata/sf0.01")
+            joined = [line for line in plan(few).splitlines() if "LeftSemi" in line]
+            assert len(joined) == 2 and all("BroadcastHashJoin [l_partkey" in line for line in joined)
+            assert "LeftSemi" not in plan(many)
+            # pairs are dealt to as many tasks as there are thousands of the 60,000 lines, before anything is hashed
+            assert plan(many).count(", 60), REPARTITION_BY_NUM") == 1  # what is traded is not asked for
+            assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
