@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotlens.operators.windows import first_n
+from lotlens.operators.windows import ranked
 
 
 def share(part: Column, whole: Column, digits: int = 4, factor: float = 100.0) -> Column:
@@ -27,11 +27,14 @@ def safe_sum(c: Column) -> Column:
 def first_k_text(df: DataFrame, by: Sequence[str], value: str, order: Sequence[str], k: int = 3, sep: str = "; ", max_length: int = 200, name: str = "text") -> DataFrame:
     """The first k values of each group by the order and the value, joined and cut.
 
-    The group is cut to k rows before it is collected, already in each task, so no group is ever held whole.
+    The group is cut to k rows already in each task, and their texts are taken in the order in which the rows stand for
+    that: nothing is collected, sorted or hashed again, and no group is ever held whole.
     """
-    kept = first_n(df.filter(F.col(value).isNotNull()).select(*by, *order, value), by, [F.col(c) for c in (*order, value)], k)
-    ordered = F.array_sort(F.collect_list(F.struct(*order, value)))
-    return kept.groupBy(*by).agg(F.left(F.array_join(F.transform(ordered, lambda x: x[value]), sep), F.lit(max_length)).alias(name))
+    sort = [F.col(c) for c in (*order, value)]
+    kept = ranked(df.filter(F.col(value).isNotNull()).select(*by, *order, value), by, sort, "_rank").filter(F.col("_rank") <= k)
+    later = [F.lead(value, i).over(Window.partitionBy(*by).orderBy(*sort)) for i in range(1, k)]
+    texts = kept.select(*by, "_rank", F.concat_ws(sep, value, *later).alias("_text")).filter("_rank = 1")
+    return texts.select(*by, F.left("_text", F.lit(max_length)).alias(name))
 
 
 def labelled_text(label: str, value: str, sep: str = ", ") -> Column:

@@ -27,6 +27,17 @@ def anti(df: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
     return df.join(keys, on, "left_anti")
 
 
+def narrowed(keys: DataFrame, on: str, most: int, *tables: DataFrame) -> list[DataFrame]:
+    """The tables with the rows of the keys alone, by a broadcast, if the keys are counted as at most `most`; else as they are.
+
+    For tables that are aggregated by the key and then joined to it. Rows of many keys would have to be shuffled and sorted
+    whole to be picked, for each aggregate and all in one task; it is less to aggregate them all and let the join drop them.
+    """
+    if keys.limit(most + 1).count() > most:
+        return list(tables)
+    return [semi(df, F.broadcast(keys), on) for df in tables]
+
+
 def left_default(df: DataFrame, other: DataFrame, on: str | Sequence[str], defaults: dict[str, object]) -> DataFrame:
     return df.join(other, on, "left").fillna(defaults)
 

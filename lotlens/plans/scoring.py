@@ -58,14 +58,8 @@ FEW = 100_000
 
 
 def area_board(t: Tables, area: DataFrame) -> DataFrame:
-    """The board of some buildings, which are counted first.
-
-    The lines of few are picked by a broadcast of their keys, before they are aggregated. Lines of many would have to be
-    shuffled and sorted whole to be picked, once for each aggregate and all in one task; so all lines are aggregated
-    where they are read, and the joins to the buildings drop what belongs to others.
-    """
-    keys = area.select(F.col("p_partkey").alias("l_partkey"))
-    lines = joins.semi(t.lineitem, F.broadcast(keys), "l_partkey") if keys.limit(FEW + 1).count() <= FEW else t.lineitem
+    """The board of some buildings; the lines of few of them are picked before they are aggregated."""
+    (lines,) = joins.narrowed(area.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", FEW, t.lineitem)
 
     class Area(Tables):
         part, lineitem = area, lines

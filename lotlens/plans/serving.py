@@ -11,15 +11,18 @@ from lotlens.operators.upsert import new_only
 from lotlens.plans.registry import Tables, query
 
 
+#: Documents whose keys are broadcast.
+FEW = 100_000
+
+
 def assemble_documents(master: DataFrame, legals: DataFrame, parties: DataFrame, doc: str, types: tuple[str, ...], type_col: str, k: int = 3) -> DataFrame:
     """Documents of the target types with one parcel each (the smallest) and up to k names per side.
 
-    Legals and parties are reduced to the kept documents before they are aggregated.
+    Legals and parties of few documents are reduced to these before they are aggregated; of many, the joins drop the rest.
     """
     kept = master.filter(F.col(type_col).isin(*types))
-    ids = kept.select(doc)
-    parcel = joins.semi(legals, ids, doc).groupBy(doc).agg(F.min("parcel").alias("parcel"))
-    named = joins.semi(parties, ids, doc)
+    lots, named = joins.narrowed(kept.select(doc), doc, FEW, legals, parties)
+    parcel = lots.groupBy(doc).agg(F.min("parcel").alias("parcel"))
     side = lambda s, name: agg.first_k_text(named.filter(F.col("side") == s), [doc], "name", [], k, name=name)
     return joins.star(kept.join(parcel, doc), doc, side(1, "sellers"), side(2, "buyers")).fillna({"sellers": "", "buyers": ""})
 

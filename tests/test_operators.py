@@ -5,8 +5,9 @@ import random
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from lotlens.operators import joins, upsert, windows
+from lotlens.operators import aggregates, joins, upsert, windows
 from lotlens.operators.text_units import BASIC, mine_units
+from lotlens.plans import serving
 from lotlens.plans.listings import dedup_listings
 from lotlens.plans.texts import queue_links
 from lotlens.plans.units import with_placeholders
@@ -102,3 +103,30 @@ def test_found_links_are_queued_once(spark):
     found = spark.createDataFrame([Row(url="http://x.org/a", l=["/b?q=1", "/b/", "http://y.org/"]), Row(url="http://x.org/0", l=["/b", "/a"])])
     known = spark.createDataFrame([("http://x.org/a",)], "canonical string")
     assert rows(queue_links(found, "l", "url", known)) == [("https://x.org/b", "http://x.org/0"), ("https://y.org", "http://x.org/a")]
+
+
+def test_first_names_are_neither_collected_nor_sorted_again(spark):
+    """The rows stand in order for the cut to k; missing names, equal names, short groups and long texts keep their outcome."""
+    rows = [(1, 2, "b"), (1, 1, "c"), (1, 1, "a"), (1, 3, "z"), (1, None, "n"), (2, 1, None), (3, 1, "x"), (3, 1, "x"), (None, 1, "k"), (4, 1, "y" * 150), (4, 2, "y" * 150)]
+    got = aggregates.first_k_text(spark.createDataFrame(rows, "g int, o int, v string"), ["g"], "v", ["o"], name="t")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert {r.g: r.t for r in got.collect()} == {1: "n; a; c", 3: "x; x", None: "k", 4: "y" * 150 + "; " + "y" * 48}
+    assert {r.g: r.v for r in aggregates.first_k_text(spark.createDataFrame(rows, "g int, o int, v string"), ["g"], "v", [], k=1, name="v").collect()} == {1: "a", 3: "x", None: "k", 4: "y" * 150}
+    assert "Aggregate" not in plan and plan.count("Sort [") == 2  # before and after the one exchange
+
+
+def test_tables_of_many_documents_are_not_shuffled_to_be_reduced(spark, monkeypatch):
+    """Without broadcasts of Spark's own, as beyond its threshold."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        master = spark.createDataFrame([(d, "DEED" if d % 3 else "MAP") for d in range(9)], "d int, kind string")
+        legals = spark.createDataFrame([(d, d * 10 + i) for d in range(8) for i in (2, 1)], "d int, parcel int")
+        parties = spark.createDataFrame([(d, 1 + i % 2, f"n{i}") for d in range(8) for i in range(9 if d == 4 else 1)], "d int, side int, name string")
+        want = {(d, "DEED", d * 10 + 1, "n0; n2; n4" if d == 4 else "n0", "n1; n3; n5" if d == 4 else "") for d in (1, 2, 4, 5, 7)}
+        for few, picked in ((100_000, 3), (0, 0)):
+            monkeypatch.setattr(serving, "FEW", few, raising=False)
+            got = serving.assemble_documents(master, legals, parties, "d", ("DEED",), "kind")
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert set(map(tuple, got.collect())) == want and plan.count("LeftSemi") == picked
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
