@@ -30,25 +30,38 @@ def score_buildings(board: DataFrame, *keep: str) -> DataFrame:
     return out.withColumn("combined", c("quality") + c("availability"))
 
 
-#: Pairs of which one task takes the distinct ones.
-PAIRS = 1_000_000
+#: Lines that one task aggregates, pairs of which it takes the distinct ones, and tasks up to which Spark writes a shuffle
+#: without holding its rows (the default of `spark.shuffle.sort.bypassMergeThreshold`).
+LINES, PAIRS, UNHELD = 2_000_000, 1_000_000, 200
 
 
 def part_board(t: Tables) -> DataFrame:
-    """The aggregates of a building come from one pass over its lines and two for distinct counts, instead of eleven."""
-    day = F.col("l_shipdate").cast("date")
-    lines = t.lineitem.groupBy(F.col("l_partkey").alias("key")).agg(
-        F.count_if(F.col("l_returnflag") == "R").alias("complaints"), F.count_if((F.col("l_returnflag") == "R") & (day >= F.lit("2000-01-01").cast("date"))).alias("recent"),
-        F.count_if(F.col("l_linestatus") == "F").alias("noise"), F.count_if(F.col("l_discount") > 0.08).alias("permits"), F.max(F.when(F.col("l_discount") > 0.08, F.col("l_extendedprice"))).alias("permit_cost"),
-        F.bool_or((F.col("l_discount") > 0.08) & (F.col("l_tax") > 0.06)).alias("alteration"), F.count_if(F.col("l_quantity") == 49).alias("cases"), F.bool_or((F.col("l_quantity") == 49) & (F.col("l_returnflag") == "A")).alias("tenant_action"),
-        F.count_if(F.col("l_quantity") < 10).alias("distress"), F.count_if(F.col("l_quantity") == 50).alias("evictions"), F.sum(F.when(F.col("l_tax") >= 0.08, F.col("l_extendedprice")).otherwise(0.0)).alias("unpaid"),
-        F.count_if(F.col("l_quantity") == 1).alias("agreements"), F.count_if(F.col("l_quantity") == 2).alias("satisfactions"),
+    """The aggregates of a building come from one pass over its lines and two for distinct counts, instead of eleven.
+
+    A split may name about as many buildings as it has lines, so lines are dealt by building before they are hashed, as marks
+    and the few prices that count. Beyond `UNHELD` tasks a split's rows are held to be dealt: lines, which are folded as
+    they come, are dealt to no more; pairs are once a task would take twice its number.
+    """
+    day, price, permit, fined = F.col("l_shipdate").cast("date"), F.col("l_extendedprice"), F.col("l_discount") > 0.08, F.col("l_tax") >= 0.08
+    total, least = Tables(t.spark, t.sf_dir).lineitem.count(), t.spark.sparkContext.defaultParallelism
+    n_lines, n_pairs = min(-(-total // LINES), UNHELD), -(-total // PAIRS)
+    if n_pairs <= 2 * UNHELD:
+        n_pairs = min(n_pairs, UNHELD)
+    marks = t.lineitem.select(
+        F.col("l_partkey").alias("key"), (F.col("l_returnflag") == "R").alias("complaint"), ((F.col("l_returnflag") == "R") & (day >= F.lit("2000-01-01").cast("date"))).alias("recent"),
+        (F.col("l_linestatus") == "F").alias("noise"), permit.alias("permit"), F.when(permit, price).alias("cost"), (permit & (F.col("l_tax") > 0.06)).alias("alteration"),
+        (F.col("l_quantity") == 49).alias("case"), ((F.col("l_quantity") == 49) & (F.col("l_returnflag") == "A")).alias("tenant"), (F.col("l_quantity") < 10).alias("distress"),
+        (F.col("l_quantity") == 50).alias("eviction"), F.when(fined, price).otherwise(0.0).alias("fine"), (F.col("l_quantity") == 1).alias("agreement"), (F.col("l_quantity") == 2).alias("satisfaction"),
+    )
+    lines = marks.repartition(max(least, n_lines), "key").groupBy("key").agg(
+        F.count_if("complaint").alias("complaints"), F.count_if("recent").alias("recent"), F.count_if("noise").alias("noise"), F.count_if("permit").alias("permits"), F.max("cost").alias("permit_cost"),
+        F.bool_or("alteration").alias("alteration"), F.count_if("case").alias("cases"), F.bool_or("tenant").alias("tenant_action"), F.count_if("distress").alias("distress"),
+        F.count_if("eviction").alias("evictions"), F.sum("fine").alias("unpaid"), F.count_if("agreement").alias("agreements"), F.count_if("satisfaction").alias("satisfactions"),
     )
     base = t.part.select(F.col("p_partkey").alias("key"), F.col("p_retailprice").alias("area"), F.col("p_size").alias("units"), (1870 + F.col("p_size") * 3).alias("year"), (F.col("p_size") % 12).alias("floors"), (F.col("p_size") % 5 == 0).alias("stabilized"))
     # distinct counts beside the others would multiply every row; two narrow aggregations each don't. Pairs seldom repeat, so
-    # they are dealt before they are hashed, a bounded number to a task
-    n = max(t.spark.sparkContext.defaultParallelism, -(-Tables(t.spark, t.sf_dir).lineitem.count() // PAIRS))
-    n_distinct = lambda c: t.lineitem.select(F.col("l_partkey").alias("key"), c).repartition(n, "key", c).distinct().groupBy("key").agg(F.count("*").alias("_n"))
+    # they too are dealt before they are hashed
+    n_distinct = lambda c: t.lineitem.select(F.col("l_partkey").alias("key"), c).repartition(max(least, n_pairs), "key", c).distinct().groupBy("key").agg(F.count(c).alias("_n"))
     owners = n_distinct("l_suppkey").select("key", (F.col("_n") >= 33).alias("owner_changed"))
     return joins.star(base, "key", lines, owners, n_distinct("l_orderkey").withColumnRenamed("_n", "traded"))
 

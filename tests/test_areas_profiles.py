@@ -1,3 +1,4 @@
+import duckdb
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -69,3 +70,32 @@ def test_lines_of_many_buildings_are_not_shuffled_to_be_picked(spark, monkeypatc
             assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_are_dealt_by_building_before_they_are_hashed(spark, monkeypatch, tmp_path):
+    """No aggregate stands below the exchange that deals lines, of which there are no more tasks than hold nothing; the rows are those of the SQL's."""
+    source = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{source}/lineitem.parquet").limit(2000)
+    odd = lines.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name != "l_partkey" else F.lit(1).cast(f.dataType).alias(f.name) for f in lines.schema])
+    keyless = lines.limit(3).withColumn("l_partkey", F.lit(None).cast("long"))
+    hot = lines.limit(300).withColumn("l_partkey", F.lit(2).cast("long"))
+    lines.union(odd).union(keyless).union(hot).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{source}/part.parquet").write.parquet(f"{tmp_path}/part.parquet")
+    whole = sorted(map(tuple, catalog.QUERIES["building_scores"](spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(scoring, "LINES", 10)
+    monkeypatch.setattr(scoring, "PAIRS", 10)
+    monkeypatch.setattr(scoring, "UNHELD", 7)
+    dealt = catalog.QUERIES["building_scores"](spark, str(tmp_path))
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    deals = [k for k, line in enumerate(plan.splitlines()) if "REPARTITION_BY_NUM" in line]
+    texts = plan.splitlines()
+    assert sum(", 7), REPARTITION_BY_NUM" in texts[k] for k in deals) == 1  # lines
+    assert sum(", 231), REPARTITION_BY_NUM" in texts[k] for k in deals) == 2  # pairs of suppliers and of orders: 2304 lines
+    for k in deals:  # what follows a deal in the tree, up to the scan, is not an aggregate
+        below = texts[k + 1 : next(m for m in range(k, len(texts)) if "Scan" in texts[m]) + 1]
+        assert not any("Aggregate" in line for line in below)
+    assert sorted(map(tuple, dealt.collect())) == whole
+    con = duckdb.connect()
+    for name in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(con.execute(catalog.ORACLES["building_scores"]).fetchall()) == whole
