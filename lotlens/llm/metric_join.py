@@ -12,9 +12,9 @@ there. So groups are formed first, by what a link implies:
 
 - two linked sets share one of their first n - ceil(t n) + 1 shingles in any one order; documents meet in groups by
   these shingles, of which those that only one set begins with are dropped after they are counted. The order is by hash;
-- the sizes of linked sets differ by the factor t at most: groups of more than `NODE` are split into windows of sizes;
-- if a window still holds more, as with a passage that very many documents share, its shingle is put behind all others
+- shingles that more than `OFTEN` sets begin with, as of lines that very many documents share, are put behind all others
   in the order (at most `HOT` of them, which are sent to all tasks), and the sets that begin with one are read again;
+- the sizes of linked sets differ by the factor t at most: groups of more than `NODE` are split into windows of sizes;
 - counts of a set's shingles in bins have an L1 distance that never exceeds the symmetric difference of the sets, which
   the sizes and t bound for linked ones. What no such bound keeps apart is one cluster.
 
@@ -24,6 +24,10 @@ triangle inequality, without being compared; the others, in blocks, meet the reg
 grows with (sets outside the core) x (sets) / REGION.
 
 Sets are compared as 64-bit hashes of their shingles, as in `near_dedup`; equal sets are told by 128 bits.
+
+First shingles and texts are many times what is left of them, so they are not shuffled to be joined: a filter of bits
+(`key_filter`) of the keys that are wanted goes to all tasks, which drop nearly all others where they are read. What
+passes by chance is dropped by an exact count or join. All texts are read once, and signed and stored once.
 """
 
 from __future__ import annotations
@@ -45,8 +49,14 @@ from lotlens.llm.near_dedup import Link, _confirm_sets, _stars, shingle_sets
 from lotlens.llm.spark_util import materialize, pick, skew_join
 
 SHINGLE = 4
-#: Sets that meet by one shingle in one task; shingles that are moved behind all others.
-NODE, HOT = 500, 100_000
+#: Sets that meet by one shingle in one task.
+NODE = 500
+#: Sets of such a group of which only those are looked at together whose sizes allow a link.
+PAIRS = 50
+#: Sets that may begin with a shingle before it is moved behind all others, shingles that are moved, and times they are looked for.
+OFTEN, HOT, ROUNDS = 50, 100_000, 2
+#: Bits of a filter: for each key, of a slot (at least), and at most (16 MB).
+KEY_BITS, SLOT_BITS, MOST_BITS = 8, 1 << 15, 1 << 27
 #: Sets and shingles that one task compares (16 MB of hashes).
 REGION, REGION_SHINGLES = 3000, 2_000_000
 #: Pivots of a region that is split, and of a region within a task.
@@ -57,6 +67,8 @@ DEPTH = 6
 #: Bins of counts: a power of two, an eighth of the shingles or more.
 LEAST_BINS, MOST_BINS = 64, 1 << 14
 _EPS = 1e-9
+_DEALT = "slot long, places array<short>"
+Run = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def bins_of(n: int) -> int:
@@ -95,21 +107,142 @@ def _sign(percent: int, width: int, batches: Iterable[pa.RecordBatch]) -> Iterat
             yield pa.RecordBatch.from_arrays(columns, ["row_key", "doc_id", "n_shingles", "cls", "prefix", "sketch"][: len(columns)])
 
 
-def _reordered(percent: int, width: int, hot: np.ndarray, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cls and new prefix of the texts whose prefix holds a hot shingle, hot ones put behind."""
+def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The two bits of each key, itself a hash."""
+    return [((keys >> np.uint64(by)) & np.uint64(bits - 1)).astype(np.int64) for by in (0, 26)]
+
+
+def _dealt(bits: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """slot, places of the keys' bits."""
+    for batch in batches:
+        places = np.unique(np.concatenate(_places(batch.column(0).to_numpy().view(np.uint64), bits)))
+        slots, begin = np.unique(places // SLOT_BITS, return_index=True)
+        inside = pa.array((places % SLOT_BITS).astype(np.uint16).view(np.int16))
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.ListArray.from_arrays(pa.array([*begin, len(places)], pa.int32()), inside)], ["slot", "places"])
+
+
+def _bits_set(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """slot and its bits."""
+    for batch in batches:
+        out = []
+        for row in range(batch.num_rows):
+            bits = np.zeros(SLOT_BITS, np.uint8)
+            bits[batch.column(1)[row].values.flatten().to_numpy().view(np.uint16)] = 1
+            out.append(np.packbits(bits, bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["slot", "bits"])
+
+
+def _bits_for(n: int) -> int:
+    return max(SLOT_BITS, min(MOST_BITS, 1 << (KEY_BITS * n).bit_length()))
+
+
+def _words(dealt: DataFrame, bits: int) -> np.ndarray:
+    slots = dealt.groupBy("slot").agg(F.collect_list("places").alias("places")).mapInArrow(_bits_set, "slot long, bits binary").toArrow()
+    words = np.zeros((bits // SLOT_BITS, SLOT_BITS // 64), np.uint64)
+    for slot, held in zip(slots.column("slot").to_pylist(), slots.column("bits").to_pylist(), strict=True):  # at most MOST_BITS / SLOT_BITS
+        words[slot] = np.frombuffer(held, np.uint64)
+    return words.ravel()
+
+
+def key_filter(keys: DataFrame, key: str, bits: int = 0) -> np.ndarray:
+    """Words of bits, two for each key (a hash): all bits of every key are set, and few other keys have theirs set.
+
+    With more than `MOST_BITS` / `KEY_BITS` keys more of the others pass; the words grow no more.
+    """
+    bits = bits or _bits_for(keys.count())
+    return _words(keys.select(key).mapInArrow(partial(_dealt, bits), _DEALT), bits)
+
+
+def _may_hold(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    out = np.ones(len(keys), bool)
+    for place in _places(keys, 64 * len(words)):
+        out &= (words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return out
+
+
+def _one_of(few: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values are among a few sorted ones."""
+    return few[np.minimum(np.searchsorted(few, values), len(few) - 1)] == values if len(few) else np.zeros(len(values), bool)
+
+
+def _passed(words: np.ndarray, inside: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose first column, a key, passes the filter, or all the others."""
+    for batch in batches:
+        yield batch.filter(pa.array(_may_hold(words, batch.column(0).to_numpy().view(np.uint64)) == inside))
+
+
+def _alone(copied: np.ndarray, run: Run, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return run(_passed(copied, False, batches))
+
+
+class Signs:
+    """One row of each class of signed rows; only rows that may have copies are shuffled for it."""
+
+    def __init__(self, signed: DataFrame, classes: DataFrame):
+        self.rows = signed.select(F.xxhash64("cls").alias("cid"), "cls", "row_key", F.col("n_shingles").alias("n"), "prefix", "sketch")
+        self.bits = _bits_for(classes.count())
+        self.copied = key_filter(classes.filter("class_size > 1"), "cid")
+        some = self.rows.mapInArrow(partial(_passed, self.copied, True), self.rows.schema)
+        first = [F.first(x).alias(x) for x in ("n", "prefix", "sketch")]
+        self.some = materialize(some.groupBy("cid", "cls").agg(F.min("row_key").alias("row_key"), *first))
+
+    def run(self, run: Run, schema: str, *columns: str) -> DataFrame:
+        """Batches of cid and the columns, in one Python step of each task."""
+        most = self.rows.select("cid", *columns).mapInArrow(partial(_alone, self.copied, run), schema)
+        return most.union(self.some.select("cid", *columns).mapInArrow(run, schema))
+
+
+def _begun(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node of the first shingles."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(1).flatten()], ["node"])
+
+
+def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.rename_columns(["cid", "payload"])
+
+
+def _prefixes(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of a column of lists, and the row of each."""
+    lists = batch.column(k)
+    return lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+
+
+def _kept(words: np.ndarray, hot: np.ndarray, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cid, n, node of the first shingles that pass the filter, without hot ones."""
     for batch in batches:
-        for _, _, data, offsets in tx.slices(batch.column(0)):
+        shingles, row = _prefixes(batch, 2)
+        some = np.flatnonzero(_may_hold(words, shingles) & ~_one_of(hot, shingles))
+        who = pa.array(row[some])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(shingles[some].view(np.int64))], ["cid", "n", "node"])
+
+
+def _touched(hot: np.ndarray, bits: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """slot, places of the row_key of the sets that begin with a hot shingle."""
+    for batch in batches:
+        shingles, row = _prefixes(batch, 2)
+        some = pa.array(np.unique(row[_one_of(hot, shingles)]))
+        yield from _dealt(bits, [pa.RecordBatch.from_arrays([batch.column(1).take(some)], ["row_key"])])
+
+
+def _reordered(percent: int, width: int, hot: np.ndarray, words: np.ndarray, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cls, n and new first shingles, with hot ones put behind, of the texts that begin with a hot one; rows by a filter."""
+    for batch in _passed(words, True, batches):
+        for _, _, data, offsets in tx.slices(batch.column(1)):
             sets, begin = shingle_sets(data, offsets, width)
             n = np.diff(begin)
-            late = hot[np.minimum(np.searchsorted(hot, sets), len(hot) - 1)] == sets
+            late = _one_of(hot, sets)
             length = prefix_length(n, percent)
-            cls, prefix = [], []
+            cls, size, more = [], [], []
             for i in np.flatnonzero(n):
                 own, behind = sets[begin[i] : begin[i + 1]], late[begin[i] : begin[i + 1]]
                 if behind[: length[i]].any():
+                    first = np.argsort(behind, kind="stable")[: length[i]]
                     cls.append(xxhash.xxh128_digest(own.tobytes()))
-                    prefix.append(own[np.argsort(behind, kind="stable")[: length[i]]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["cls", "prefix"])
+                    size.append(len(own))
+                    more.append(own[first[(first >= length[i]) | behind[first]]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(size, pa.int64()), pa.array(more, pa.list_(pa.int64()))], ["cls", "n", "more"])
 
 
 def _by_counts(payload: list[bytes], percent: int) -> Link:
@@ -272,26 +405,26 @@ def region_links(rows: DataFrame, percent: int, level: int = 0) -> list[DataFram
     parts = parts.groupBy("region").agg(F.max("n").alias("most"), F.sum("n").alias("all")).join(large.groupBy("region").agg(F.count("*").alias("m")), "region")
     splits = (F.col("most") <= SHRINK * F.col("m")) & (F.col("all") <= COPIES * F.col("m")) & F.lit(level < DEPTH)
     parts = materialize(parts.select("region", splits.alias("splits")))
-    kept = ["cls", "region", "payload", "query", "chunks", "chunk", "home", "dist", "windows"]
-    joined = large.join(placed, ["cls", "region"]).join(parts, "region")
+    joined = large.join(placed, ["cls", "region"])
+    # a row for each large region goes to all tasks
     if parts.filter("splits").limit(1).count() > 0:
-        inner = joined.filter("splits").select("region", "cls", "payload", "query", "home", F.explode("windows").alias("pivot"))
+        inner = joined.join(F.broadcast(parts.filter("splits")), "region").select("region", "cls", "payload", "query", "home", F.explode("windows").alias("pivot"))
         inner = materialize(inner.select(F.xxhash64("region", "pivot").alias("region"), "cls", "payload", (F.col("query") & (F.col("home") == F.col("pivot"))).alias("query")))
         sizes = inner.groupBy("region").agg(F.count("*").alias("size"), F.sum(F.octet_length("payload") / 8).alias("weight"), F.bool_or("query").alias("any"))
         out += region_links(skew_join(inner, sizes.filter("any").drop("any"), "region"), percent, level + 1)
     if parts.filter("not splits").limit(1).count() == 0:
         return out
-    dense = materialize(joined.filter("not splits").select(*kept))
     inside = F.col("dist") < (1 - percent / 100) / 2 - _EPS
-    cores = dense.filter(inside).groupBy("region", "home").agg(F.count("*").alias("n")).groupBy("region").agg(F.max_by("home", F.struct("n", "home")).alias("core"), F.max("n").alias("n_core"))
-    dense = dense.join(cores, "region", "left").withColumn("in_core", F.coalesce(inside & (F.col("home") == F.col("core")), F.lit(False)))
-    dense = materialize(dense.withColumn("block", F.pmod(F.xxhash64("cls", F.lit(7)), "chunks").cast("int")))
+    cores = placed.filter(inside).groupBy("region", "home").agg(F.count("*").alias("n")).groupBy("region").agg(F.max_by("home", F.struct("n", "home")).alias("core"), F.max("n").alias("n_core"))
+    whole = parts.filter("not splits").select("region").join(cores, "region", "left")
+    dense = joined.join(F.broadcast(whole), "region").withColumn("in_core", F.coalesce(inside & (F.col("home") == F.col("core")), F.lit(False)))
+    dense = materialize(dense.select("region", "cls", "payload", "query", "chunks", "chunk", "core", "n_core", "in_core", F.pmod(F.xxhash64("cls", F.lit(7)), "chunks").cast("int").alias("block")))
     out.append(dense.filter("in_core").select(F.col("cls").alias("node"), F.col("core").alias("root"), F.when(F.col("query"), F.col("n_core") - 1).otherwise(0).alias("links")))
-    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    left = dense.filter("not in_core").select("region", "cls", "payload", "query", "block", every.alias("chunk"), F.lit(1).alias("side"))
-    right = dense.select("region", "cls", "payload", "query", every.alias("block"), "chunk", F.when(F.col("in_core"), 3).otherwise(2).alias("side"))
+    outside = dense.filter("not in_core")
+    left = outside.select("region", "cls", "payload", "query", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("side"))
     # only blocks that hold someone
-    right = right.join(left.select("region", "block").distinct(), ["region", "block"], "left_semi")
+    blocks = outside.groupBy("region").agg(F.collect_set("block").alias("blocks"))
+    right = dense.join(F.broadcast(blocks), "region").select("region", "cls", "payload", "query", F.explode("blocks").alias("block"), "chunk", F.when(F.col("in_core"), 3).otherwise(2).alias("side"))
     out.append(_found(left.unionByName(right), ["region", "block", "chunk"], percent))
     return out
 
@@ -309,34 +442,70 @@ def _near(percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _by_sizes(percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """g1, g2, cid of groups (g1, g2, members): a set with all later ones whose sizes allow a link, or a large group as it is."""
+    for batch in batches:
+        members = batch.column(2)
+        ends, flat = members.offsets.to_numpy() - members.offsets[0].as_py(), members.flatten()
+        cid, n = (flat.field(k).to_numpy() for k in range(2))
+        sizes = np.diff(ends)
+        large = np.repeat(sizes > PAIRS, sizes)
+        g1, g2 = (np.repeat(batch.column(k).to_numpy(), sizes)[large] for k in range(2))
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for m in np.unique(sizes[sizes <= PAIRS]).tolist():
+            i, j = np.triu_indices(m, 1)
+            begin = ends[:-1][sizes == m][:, None]
+            i, j = (begin + i).ravel(), (begin + j).ravel()
+            may = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            left.append(cid[i[may]])
+            right.append(cid[j[may]])
+        left, right = np.concatenate(left), np.concatenate(right)
+        own = np.unique(left)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((g1, left, own), (g2, np.zeros(len(left) + len(own), np.int64)), (cid[large], right, own))], ["g1", "g2", "cid"])
+
+
 def _shared(tokens: DataFrame) -> DataFrame:
     """node, size of the shingles that two sets or more begin with."""
     return materialize(tokens.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"))
 
 
-def candidate_clusters(keyed: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
+def _meeting(keyed: DataFrame, signs: Signs, percent: int, width: int) -> DataFrame:
+    """cid, n, node, size of the shingles that two sets or more begin with, frequent ones put behind all others.
+
+    Without its hot shingles a set begins with those that it began with, and with `more`.
+    """
+    shared = _shared(signs.run(_begun, "node long", "prefix"))
+    once, hot = key_filter(shared, "node"), np.zeros(0, np.uint64)
+    shape = "cid long, n long, node long"
+    tokens = signs.run(partial(_kept, once, hot), shape, "n", "prefix")
+    for _ in range(ROUNDS):
+        often = shared.filter(F.col("size") > min(OFTEN, NODE)).orderBy(F.col("size").desc(), "node").limit(HOT).select("node").toArrow()  # at most HOT numbers
+        often = np.setdiff1d(often.column("node").to_numpy().view(np.uint64), hot)[: HOT - len(hot)]
+        if not len(often):
+            break
+        hot = np.union1d(hot, often)
+        touched = _words(signs.run(partial(_touched, hot, signs.bits), _DEALT, "row_key", "prefix"), signs.bits)
+        again = keyed.select("row_key", "text").mapInArrow(partial(_reordered, percent, width, hot, touched), "cls binary, n long, more array<long>")
+        more = again.groupBy("cls").agg(F.first("n").alias("n"), F.first("more").alias("more"))
+        more = materialize(more.select(F.xxhash64("cls").alias("cid"), "n", F.explode("more").alias("node")))
+        words = once | key_filter(more, "node", 64 * len(once))
+        tokens = signs.run(partial(_kept, words, hot), shape, "n", "prefix").union(more)
+        shared = _shared(tokens)
+    return materialize(skew_join(tokens, shared, "node"))
+
+
+def candidate_clusters(keyed: DataFrame, signs: Signs, percent: int, width: int) -> DataFrame:
     """node (cid) and label of the sets that no bound keeps apart; sets with one cid are taken together."""
-    tokens = classes.select("cid", "n", F.explode("prefix").alias("node"))
-    shared = _shared(tokens)
     band = F.floor(F.log("n") / (-math.log(percent / 100) * (1 + _EPS))) if percent < 100 else F.col("n")
-    often = shared.filter(F.col("size") > NODE).orderBy(F.col("size").desc(), "node").limit(HOT).select("node")
-    often = tokens.join(F.broadcast(often), "node").groupBy("node", band.alias("band")).agg(F.count("*").alias("size"))
-    hot = often.filter(F.col("size") > NODE).select("node").distinct().toArrow()
-    if len(hot):
-        behind = np.sort(hot.column("node").to_numpy().view(np.uint64))  # at most HOT numbers
-        again = keyed.select("text").mapInArrow(partial(_reordered, percent, width, behind), "cls binary, prefix array<long>")
-        again = materialize(again.groupBy("cls").agg(F.first("prefix").alias("new")))
-        tokens = classes.join(again, "cls", "left").select("cid", "n", F.explode(F.coalesce("new", "prefix")).alias("node"))
-        shared = _shared(tokens)
-    level = materialize(skew_join(tokens.select("cid", "node"), shared, "node"))
-    banded = level.filter(F.col("size") > NODE).select("cid", "node").join(classes.select("cid", "n"), "cid").select("cid", F.explode(F.array(band, band + 1)).alias("band"), "node")
-    banded = banded.select("cid", F.xxhash64("node", "band").alias("node"))
+    level = _meeting(keyed, signs, percent, width)
+    banded = level.filter(F.col("size") > NODE).select("cid", "n", F.explode(F.array(band, band + 1)).alias("band"), "node")
+    banded = banded.select("cid", "n", F.xxhash64("node", "band").alias("node"))
     banded = materialize(skew_join(banded, banded.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "node"))
-    small = level.filter(F.col("size") <= NODE).select("node", "cid").union(banded.filter(F.col("size") <= NODE).select("node", "cid"))
+    small = level.filter(F.col("size") <= NODE).select("node", "cid", "n").union(banded.filter(F.col("size") <= NODE).select("node", "cid", "n"))
     # members that meet by many shingles are looked at once
-    nodes = small.groupBy("node").agg(F.sort_array(F.collect_list("cid")).alias("members"))
+    nodes = small.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("cid", "n"))).alias("members"))
     nodes = nodes.groupBy(F.xxhash64(F.lit(1), "members").alias("g1"), F.xxhash64(F.lit(2), "members").alias("g2")).agg(F.first("members").alias("members"))
-    once = nodes.select("g1", "g2", F.explode("members").alias("cid")).join(classes.select("cid", F.col("sketch").alias("payload")), "cid")
+    once = nodes.mapInArrow(partial(_by_sizes, percent), "g1 long, g2 long, cid long").distinct().join(signs.run(_sketches, "cid long, payload binary", "sketch"), "cid")
     groups = once.groupBy("g1", "g2").agg(F.sort_array(F.collect_list(F.struct("cid", "payload"))).alias("members"))
     near = groups.select("members").mapInArrow(partial(_near, percent), "a long, b long")
     large = banded.filter(F.col("size") > NODE).select("node", "cid")
@@ -360,14 +529,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = "long" if isinstance(kind, IntegralType) else kind.simpleString()
     keyed = pick(docs, row_key=F.xxhash64(F.when(doc_id.isNull(), docs[text_col]), doc_id), doc_id=doc_id, text=docs[text_col])
     shape = f"row_key long, doc_id {kind}, n_shingles long, cls binary"
-    signed = keyed.mapInArrow(partial(_sign, percent, width), f"{shape}, prefix array<long>, sketch binary").filter("n_shingles > 0")
-    first: Callable[[str], Column] = lambda c: F.first(c).alias(c)
-    classes = signed.groupBy("cls").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n"), first("prefix"), first("sketch"))
-    classes = materialize(classes.withColumn("cid", F.xxhash64("cls")))
-    members = candidate_clusters(keyed, classes, percent, width).withColumnRenamed("node", "cid").join(classes.select("cid", "cls", "row_key", "n"), "cid")
+    signed = materialize(keyed.mapInArrow(partial(_sign, percent, width), f"{shape}, prefix array<long>, sketch binary"))
+    some = signed.filter("n_shingles > 0")
+    classes = materialize(some.groupBy("cls").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n")).withColumn("cid", F.xxhash64("cls")))
+    signs = Signs(some, classes)
+    members = candidate_clusters(keyed, signs, percent, width).withColumnRenamed("node", "cid").join(classes.select("cid", "cls", "row_key", "n"), "cid")
     sized = members.groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
     wanted = materialize(skew_join(members, sized, "label").select("row_key", "cls", F.xxhash64("label").alias("grp"), "size", "weight"))
-    read = keyed.join(wanted, "row_key").select("text", "cls", "grp", "size", "weight")
+    texts = keyed.select("row_key", "text").mapInArrow(partial(_passed, key_filter(wanted, "row_key"), True), "row_key long, text string")
+    # not broadcast: rows with one id and text must come together, to be taken once
+    read = texts.join(wanted.hint("merge"), "row_key").select("text", "cls", "grp", "size", "weight")
     full = materialize(read.mapInArrow(partial(_confirm_sets, width=width), "cls binary, grp long, size long, weight long, payload binary"))
     tables = region_links(full.select(F.col("grp").alias("region"), "size", "weight", "cls", "payload", F.lit(True).alias("query")), percent)
     found = tables[0]
@@ -378,8 +549,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = found.groupBy(F.col("node").alias("cls")).agg(F.sum("links").alias("n_links"))
     rooted = classes.select("cls", "least", "class_size").join(labels.withColumnRenamed("node", "cls"), "cls", "left").join(links, "cls", "left").withColumn("root", F.coalesce("label", "cls"))
     resolved = skew_join(rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "class_size", "component_id", "n_links")
-    # the texts are read once more instead of kept with their digests
-    rows = keyed.mapInArrow(partial(_sign, 0, width), shape).select("doc_id", "n_shingles", "cls")
-    out = rows.join(resolved, "cls", "left")
+    out = signed.select("doc_id", "n_shingles", "cls").join(resolved, "cls", "left")
     count: Callable[[str], Column] = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), count("class_size"), count("n_links"))

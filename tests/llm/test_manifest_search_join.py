@@ -303,3 +303,37 @@ def test_window_of_a_pivot_holds_what_is_linked():
 def test_rows_of_joined_types(spark):
     df = jaccard_join(spark.createDataFrame([Row(doc_id="b", text="a b c d e"), Row(doc_id="a", text="A B c d e")]))
     assert sorted(tuple(r) for r in df.collect()) == [("a", 2, "a", 2, 0), ("b", 2, "a", 2, 0)]
+
+
+def test_lines_that_many_documents_share_make_no_clusters(spark, monkeypatch):
+    """Few of the sets reach the regions, whose work is all pairs, and first shingles are shuffled with their sets only if shared."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    lines = [" ".join(word() for _ in range(9)) for _ in range(4)]
+    texts = [" ".join([lines[0], *(word() for _ in range(60)), lines[1], *(word() for _ in range(60)), lines[2 + k % 2]]) for k in range(400)]
+    rows = [*enumerate(texts), (1000, f"new {texts[0]}")]
+    bounds(monkeypatch, NODE=40)
+    seen = []
+    inner = metric_join.region_links
+    monkeypatch.setattr(metric_join, "region_links", lambda *a: seen.append(a[0].count()) or inner(*a))
+    got = joined(spark, rows, 85)
+    assert got == brute_join(rows, 85) and sum(r[4] for r in got) == 2
+    assert seen == [2]
+
+
+def test_a_filter_holds_all_its_keys_and_few_others(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("k"))
+    inside = keys.toArrow().column("k").to_numpy().view(np.uint64)
+    others = spark.range(5000, 105_000).select(F.xxhash64("id").alias("k")).toArrow().column("k").to_numpy().view(np.uint64)
+    words = metric_join.key_filter(keys, "k")
+    assert metric_join._may_hold(words, inside).all() and metric_join._may_hold(words, others).mean() < 0.06
+    words = metric_join.key_filter(keys, "k", 1 << 15)  # too few bits let others pass and lose none
+    assert len(words) == 512 and metric_join._may_hold(words, inside).all()
+    assert not metric_join._may_hold(metric_join.key_filter(keys.filter("k is null"), "k"), others).any()
+
+
+def test_rows_with_one_id_and_text_are_one_set_wherever_they_stand(spark):
+    rows = [(7, "a b c d e f g h i j k l m n o p q r s t u v w x y z"), (8, "a b c d e f g h i j k l m n o p q r s t u v w x y z aa")]
+    df = jaccard_join(spark.createDataFrame(rows * 3, "doc_id long, text string").repartition(6))
+    assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()  # nor are texts read again for the result
+    assert sorted(tuple(r) for r in df.collect()) == sorted([(7, 23, 7, 3, 1), (8, 24, 7, 3, 1)] * 3)
