@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lotlens.operators import gram_index
 from lotlens.operators.bucketed import BucketedStar, Kind, write_bucketed
 from lotlens.operators.gram_index import GramIndex
 
@@ -98,3 +99,15 @@ def test_rows_of_one_text_share_their_postings_and_pairs_are_dealt(spark, tmp_pa
     assert sorted((r.who, r.id) for r in got.collect()) == sorted((w, i) for w, f in [(r.who, r.f) for r in asked.collect()] if f for i in range(600) if f == "ring" or (f == "SMALL" and i % 3 == 0))
     spread = got.rdd.glom().map(len).filter(lambda n: n > 0).collect()
     assert len(spread) >= 4 and got.columns == ["who", "f", "id"]  # two fragments, and more tasks that make pairs
+
+
+def test_pairs_are_made_of_one_asker_and_one_block_at_a_time(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(k, f"ring {k % 3}") for k in range(900)], "id long, address string")
+    index = GramIndex.build(df, "id", "address", str(tmp_path / "x"), folders=4)
+    asked = spark.createDataFrame([(k, "RING" if k % 2 else "1") for k in range(300)] + [(300, None), (301, ""), (302, "zz")], "who int, f string")
+    monkeypatch.setattr(gram_index, "MEET", 20, raising=False)
+    got = index.pairs(asked, "f")
+    above = plan(got).split("SortMergeJoin")[0]
+    assert above.count("Generate") == 1 and "inline" not in plan(got).split("FileScan")[0]  # askers are rows as they meet
+    assert got.count() == 150 * 900 + 150 * 300 and got.distinct().count() == got.count() and got.filter("who >= 300").count() == 0
+    assert plan(got).count(str(4 * 45)) > 0  # 900 rows hold a gram: 45 deals of 20
